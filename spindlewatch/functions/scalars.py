@@ -34,31 +34,41 @@ def r4(c: Column) -> Column:
     return F.when(c < 0, -half_up).otherwise(half_up) + F.lit(0.0)
 
 
-def _scaled_half_even(x: Column, digits: int) -> Column:
-    """|x|·10^digits as a whole number, rounded on the exact binary value with ties to even."""
-    scale = float(10**digits)
-    a = F.abs(x)
-    p = a * F.lit(scale)
-    # error-free product: split a into two halves whose products with the small scale are exact
-    t = a * F.lit(134217729.0)
-    hi = t - (t - a)
-    err = (hi * F.lit(scale) - p) + (a - hi) * F.lit(scale)
-    low = F.floor(p).cast("double")
-    frac = p - low
-    even_up = F.when(low % 2 == 0, low).otherwise(low + 1)
-    at_half = F.when(err < 0, low).when(err > 0, low + 1).otherwise(even_up)
-    return F.when(frac == 0.5, at_half).when(frac > 0.5, low + 1).otherwise(low)
+def _scaled_half_even(x: str, digits: int) -> str:
+    """|x|·10^digits as a whole number, rounded on the exact binary value with ties to even (SQL text).
 
+    The error-free product splits |x| into two halves whose products with the small scale are exact.
+    """
+    scale = f"{10**digits}.0D"
+    a = f"abs({x})"
+    p, low = f"({a} * {scale})", f"floor({a} * {scale})"
+    hi = f"({a} * 134217729.0D - ({a} * 134217729.0D - {a}))"
+    err = f"(({hi} * {scale} - {p}) + ({a} - {hi}) * {scale})"
+    at_half = f"CASE WHEN {err} < 0 THEN {low} WHEN {err} > 0 THEN {low} + 1 ELSE {low} + {low} % 2 END"
+    return f"CASE WHEN {p} - {low} = 0.5D THEN {at_half} WHEN {p} - {low} > 0.5D THEN {low} + 1 ELSE {low} END"
+
+
+def half_even_sql(x: str, digits: int) -> str:
+    """Correctly rounded decimal of the exact binary value of ``x`` (SQL text)."""
+    return f"(CASE WHEN {x} < 0 THEN -1.0D ELSE 1.0D END * ({_scaled_half_even(x, digits)}) / {10**digits}.0D)"
 
-def round_half_even(x: Column, digits: int) -> Column:
-    """Correctly rounded decimal of the exact binary value (ties to even)."""
-    v = _scaled_half_even(x, digits) / F.lit(float(10**digits))
-    return F.when(x < 0, -v).otherwise(v)
 
+def fixed_sql(x: str, digits: int, plus: bool = False) -> str:
+    """Fixed-point text of ``x``; ``plus`` writes a sign on non-negative values too (SQL text)."""
+    return f"format_string('%{'+' if plus else ''}.{digits}f', {half_even_sql(x, digits)})"
 
-def fixed(x: Column, digits: int, plus: bool = False) -> Column:
-    """Fixed-point text; ``plus`` writes a sign on non-negative values too."""
-    return F.format_string(f"%{'+' if plus else ''}.{digits}f", round_half_even(x, digits))
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """Half-even decimal rounding of a column, exact for binary ties."""
+    scale = float(10**digits)
+    p = F.abs(x) * F.lit(scale)
+    t = F.abs(x) * F.lit(134217729.0)
+    hi = t - (t - F.abs(x))
+    err = (hi * F.lit(scale) - p) + (F.abs(x) - hi) * F.lit(scale)
+    low = F.floor(p).cast("double")
+    at_half = F.when(err < 0, low).when(err > 0, low + 1).otherwise(low + low % 2)
+    v = F.when(p - low == 0.5, at_half).when(p - low > 0.5, low + 1).otherwise(low) / F.lit(scale)
+    return F.when(x < 0, -v).otherwise(v)
 
 
 def parse_day(c: Column, formats: tuple[str, ...] = ("yyyy-MM-dd", "yyyyMMdd", "yyyy/MM/dd")) -> Column:

@@ -1,86 +1,76 @@
 """Rule scores, root cause, events and the target record of a window, as expressions on its ``stats`` array."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from spindlewatch.functions.names import SCORED_CAUSES
-from spindlewatch.functions.scalars import clip01
 from spindlewatch.operators.rulebook import Scoring
-
-
-def _group_parts(stats: Column, group: str) -> tuple[Column, Column, Column]:
-    items = F.filter(stats, lambda s: s.group == group)
-    gains = F.filter(F.transform(items, lambda s: s.contrib), lambda c: c > 0)
-    return F.size(items), F.size(gains), gains
+from spindlewatch.operators.windows import stage
 
 
 def with_scores(df: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
     """Adds ``score_<group>``, ``available_<group>`` and ``signals_<group>``."""
-    stats, cols = F.col("stats"), {}
+    counts = {}
     for g in SCORED_CAUSES:
-        available, active, gains = _group_parts(stats, g)
-        top = F.slice(F.reverse(F.array_sort(gains)), 1, scoring.top_k_per_group)
-        raw = F.aggregate(top, F.lit(0.0), lambda a, c: a + c)
-        spread = F.greatest(available, F.lit(1)).cast("double")
-        cols[f"available_{g}"] = available
-        cols[f"signals_{g}"] = active
-        cols[f"score_{g}"] = raw / F.sqrt(spread) * (F.lit(0.75) + F.lit(0.25) * active / spread)
-    return df.withColumns(cols)
-
-
-def ranked_scores(names: list[str] = SCORED_CAUSES, prefix: str = "score_") -> Column:
-    """(score, cause) pairs, best first; equal scores keep the order of the causes."""
-    pairs = F.array(*[F.struct((-F.col(prefix + g)).alias("neg"), F.lit(i).alias("i"), F.lit(g).alias("cause")) for i, g in enumerate(names)])
-    return F.transform(F.array_sort(pairs), lambda p: F.struct((-p.neg).alias("score"), p.cause.alias("cause")))
+        counts[f"available_{g}"] = f"size(filter(stats, s -> s.group = '{g}'))"
+        counts[f"_gain_{g}"] = f"filter(filter(stats, s -> s.group = '{g}').contrib, c -> c > 0)"
+    df = stage(df, counts)
+    scores = {}
+    for g in SCORED_CAUSES:
+        spread = f"cast(greatest(available_{g}, 1) AS double)"
+        raw = f"aggregate(slice(reverse(array_sort(_gain_{g})), 1, {scoring.top_k_per_group}), 0.0D, (a, c) -> a + c)"
+        scores[f"signals_{g}"] = f"size(_gain_{g})"
+        scores[f"score_{g}"] = f"{raw} / sqrt({spread}) * (0.75D + 0.25D * size(_gain_{g}) / {spread})"
+    return stage(df, scores).drop(*[f"_gain_{g}" for g in SCORED_CAUSES])
 
 
 def with_root_cause(df: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    df = df.withColumn("ranked", ranked_scores())
-    best, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    """Adds ``ranked`` (score, cause; best first, ties in cause order), ``root_cause`` and ``max_score``."""
+    pairs = ", ".join(f"struct(-score_{g} AS neg, {i} AS i, '{g}' AS cause)" for i, g in enumerate(SCORED_CAUSES))
+    df = stage(df, {"ranked": f"transform(array_sort(array({pairs})), p -> struct(-p.neg AS score, p.cause AS cause))"})
     rest = SCORED_CAUSES[:4]
-    present = sum((F.col(f"available_{g}") > 0).cast("int") for g in rest)
-    bar = F.when(F.col("available_workload") <= 1, scoring.workload_support_threshold * 0.85).otherwise(scoring.workload_support_threshold)
-    support = sum((F.col(f"score_{g}") >= bar).cast("int") for g in rest)
-    need_signals = F.least(F.lit(scoring.workload_min_feature_signals), F.greatest(F.lit(1), F.col("available_workload")))
-    alone = (support < F.least(F.lit(scoring.workload_min_support), present)) & (F.col("signals_workload") < need_signals)
+    bar = f"if(available_workload <= 1, {scoring.workload_support_threshold * 0.85!r}D, {scoring.workload_support_threshold!r}D)"
+    support = " + ".join(f"cast(score_{g} >= {bar} AS int)" for g in rest)
+    present = " + ".join(f"cast(available_{g} > 0 AS int)" for g in rest)
+    alone = (
+        f"({support}) < least({scoring.workload_min_support}, {present}) AND signals_workload < "
+        f"least({scoring.workload_min_feature_signals}, greatest(1, available_workload))"
+    )
     cause = (
-        F.when(best.score < scoring.low_threshold, "unknown")
-        .when(best.score - second.score < scoring.margin_threshold, "unknown")
-        .when((best.cause == "workload") & ((F.col("available_workload") <= 0) | alone), "unknown")
-        .otherwise(best.cause)
+        f"CASE WHEN ranked[0].score < {scoring.low_threshold!r}D OR ranked[0].score - ranked[1].score < {scoring.margin_threshold!r}D "
+        f"THEN 'unknown' WHEN ranked[0].cause = 'workload' AND (available_workload <= 0 OR ({alone})) THEN 'unknown' ELSE ranked[0].cause END"
     )
-    return df.withColumns({"root_cause": cause, "max_score": F.greatest(*[F.col(f"score_{g}") for g in SCORED_CAUSES])})
+    return stage(df, {"root_cause": cause, "max_score": "ranked[0].score"})
 
 
-def window_events(top_k: int = 3) -> Column:
+def events_sql(top_k: int = 3) -> str:
     """The most severe abnormal sensors with a known group, as (feature, type, severity, window_days)."""
-    hits = F.filter("stats", lambda s: s.current_abnormal & (s.group != "unknown"))
-    kind = lambda s: (
-        F.when(s["mode"] == "delta", "spike").when(s.direction.isin("high_bad", "high_warn"), "monotonic_increase").otherwise("drop")
+    kind = "CASE WHEN s.mode = 'delta' THEN 'spike' WHEN s.direction IN ('high_bad', 'high_warn') THEN 'monotonic_increase' ELSE 'drop' END"
+    event = f"struct(s.smart AS feature, {kind} AS type, s.severity AS severity, s.n AS window_days)"
+    keyed = (
+        "transform(filter(stats, s -> s.current_abnormal AND s.group != 'unknown'), "
+        f"s -> struct(-s.severity AS a, -abs(s.deviation_abs) AS b, s.pos AS i, {event} AS e))"
     )
-    keyed = F.transform(
-        hits,
-        lambda s: F.struct(
-            (-s.severity).alias("k1"), (-F.abs(s.deviation_abs)).alias("k2"), s.pos.alias("k3"),
-            F.struct(s.smart.alias("feature"), kind(s).alias("type"), clip01(s.severity).alias("severity"), s.n.alias("window_days")).alias("e"),
-        ),
-    )
-    return F.transform(F.slice(F.array_sort(keyed), 1, top_k), lambda k: k.e)
+    return f"slice(array_sort({keyed}), 1, {top_k}).e"
 
 
 def with_target(df: DataFrame) -> DataFrame:
     """The supervised record of a window: events, cause, risk, hardness and confidence; short windows are capped."""
-    short, top = F.col("n_rows") < 3, F.col("max_score")
-    cap = lambda c, hi: F.when(short, F.least(c, F.lit(hi))).otherwise(c)
-    df = df.withColumns(
+    cap = lambda c, hi: f"if(n_rows < 3, least({c}, {hi}D), {c})"
+    df = stage(
+        df,
+        {
+            "events": events_sql(),
+            "root_cause": "if(n_rows < 3, 'unknown', root_cause)",
+            "risk_hint": cap("least(1.0D, max_score / 2.0D)", 0.30),
+            "hardness": cap("least(1.0D, max_score / 2.4D)", 0.30),
+            "confidence": cap("least(1.0D, 0.25D + 0.5D * max_score / 2.0D)", 0.35),
+        },
+    )
+    return stage(
+        df,
         {
-            "events": window_events(),
-            "root_cause": F.when(short, F.lit("unknown")).otherwise(F.col("root_cause")),
-            "risk_hint": cap(clip01(top / 2.0), 0.30),
-            "hardness": cap(clip01(top / 2.4), 0.30),
-            "confidence": cap(clip01(F.lit(0.25) + F.lit(0.5) * top / 2.0), 0.35),
-        }
+            "near_positive": "risk_hint >= 0.6D",
+            "label_noise_risk": "if(root_cause = 'unknown' AND risk_hint > 0.35D, 0.4D, 0.1D)",
+        },
     )
-    noisy = (F.col("root_cause") == "unknown") & (F.col("risk_hint") > 0.35)
-    return df.withColumns({"near_positive": F.col("risk_hint") >= 0.6, "label_noise_risk": F.when(noisy, 0.4).otherwise(0.1)})

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindlewatch.functions.names import canonical_name
@@ -78,15 +78,19 @@ def rule_for(feature: str, rules: dict[str, Rule] | None = None) -> Rule:
     return replace(DEFAULT_NORMALIZED if default_source(feature) == "normalized" else DEFAULT_RAW, label=key or feature)
 
 
-def rule_struct(position: int, feature: str, rule: Rule) -> Column:
-    """A rule as a literal struct, so that wide rows fan out to (feature, rule) without a join."""
-    values = asdict(rule)
-    return F.struct(
-        F.lit(position).alias("pos"),
-        F.lit(feature).alias("feature"),
-        F.lit(default_source(feature)).alias("src"),
-        *[F.lit(values[k]).alias(k) for k in RULE_FIELDS],
-    )
+def _literal(v) -> str:
+    if isinstance(v, str):
+        return "'" + v.replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else str(v)
+
+
+def rules_sql(features: list[str], rules: dict[str, Rule] | None = None) -> str:
+    """The rules of the given sensors as a literal array of structs, so that wide rows fan out without a join (SQL text)."""
+    items = []
+    for i, feature in enumerate(features):
+        values = {"pos": i, "feature": feature, "src": default_source(feature), **asdict(rule_for(feature, rules))}
+        items.append("named_struct(" + ", ".join(f"'{k}', {_literal(v)}" for k, v in values.items()) + ")")
+    return "array(" + ", ".join(items) + ")"
 
 
 def merge_layers(layers: list[DataFrame], key: str = "feature", fields: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text summary of a window. Every line is a column expression on the ``stats`` array.
+"""Text summary of a window. Every line is a SQL expression on the ``stats`` array.
 
 Number formatting happens once per sensor row (``text_fields``), so line building only sorts, filters and joins strings.
 """
@@ -8,152 +8,127 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindlewatch.functions.names import SCORED_CAUSES, mask_disk_id
-from spindlewatch.functions.scalars import clip01, fixed
+from spindlewatch.functions.scalars import fixed_sql
+from spindlewatch.operators.windows import stage
 
 
-def text_fields() -> dict[str, Column]:
+def text_fields() -> dict[str, str]:
     """Formatted pieces of a sensor row, to be added before rows are gathered per window."""
-    in_delta = F.col("mode") == "delta"
-    base = F.when(in_delta, F.col("signal_baseline")).otherwise(F.col("baseline"))
-    cur = F.when(in_delta, F.col("signal_current")).otherwise(F.col("current"))
-    pct = F.concat(F.when(F.col("deviation_pct") * 100.0 >= 0, "+").otherwise(""), fixed(F.col("deviation_pct") * 100.0, 1))
-    sev = fixed(clip01(F.col("severity")), 2)
-    persistence = F.when(F.col("abnormal_ratio_14d") == 0, F.col("abnormal_ratio")).otherwise(F.col("abnormal_ratio_14d"))
-    state = F.when(F.col("current_abnormal"), "abnormal").when(F.col("active"), "watch").otherwise("history")
-    z, s3, s14 = fixed(F.col("z_like"), 2), fixed(F.col("slope_3"), 3, True), fixed(F.col("slope_14"), 3, True)
-    burst, ratio = fixed(F.col("burst_ratio"), 2), fixed(F.col("abnormal_ratio"), 2)
-    cat, lit, smart = F.concat, F.lit, F.col("smart")
-    trend = cat(F.when(F.col("deviation_pct") >= 0, "+").otherwise(""), fixed(F.col("deviation_pct"), 3))
+    base = "if(mode = 'delta', signal_baseline, baseline)"
+    cur = "if(mode = 'delta', signal_current, current)"
+    sign = "if(deviation_pct >= 0, '+', '')"
+    pct = f"{sign}, {fixed_sql('(deviation_pct * 100.0D)', 1)}"
+    state = "CASE WHEN current_abnormal THEN 'abnormal' WHEN active THEN 'watch' ELSE 'history' END"
+    persistence = "if(abnormal_ratio_14d = 0, abnormal_ratio, abnormal_ratio_14d)"
+    f2 = lambda c: fixed_sql(c, 2)
+    s3, s14 = fixed_sql("slope_3", 3, True), fixed_sql("slope_14", 3, True)
     return {
-        "t_line": cat(
-            lit("- "), smart, lit(" "), F.col("src"), lit(" "), F.col("mode"), lit(" baseline="), fixed(base, 2), lit(" current="),
-            fixed(cur, 2), lit(" delta_pct="), pct, lit(" z="), z, lit(" severity="), sev, lit(" state="), state,
-        ),
-        "t_table": cat(
-            lit("- feat="), smart, lit("|src="), F.col("src"), lit("|mode="), F.col("mode"), lit("|dir="), F.col("direction"),
-            lit("|baseline="), fixed(base, 2), lit("|current="), fixed(cur, 2), lit("|delta_pct="), pct, lit("|abnormal_ratio="), ratio,
-            lit("|persistence="), fixed(persistence, 2), lit("|slope3="), s3, lit("|slope14="), s14, lit("|burst_ratio="), burst,
-            lit("|severity="), sev, lit("|group="), F.col("group"),
-        ),
-        "t_ratio": cat(smart, lit("="), ratio),
-        "t_trend": cat(smart, lit("="), trend),
-        "t_delta": cat(smart, lit("="), pct, lit("%|z"), z, lit("|sev"), sev),
-        "t_profile": cat(
-            smart, lit("=p3:"), fixed(F.col("abnormal_ratio_3d"), 2), lit(",p7:"), fixed(F.col("abnormal_ratio_7d"), 2), lit(",p14:"),
-            fixed(F.col("abnormal_ratio_14d"), 2), lit(",streak:"), F.col("streak_tail").cast("string"),
-        ),
-        "t_burst": cat(smart, lit("=s3:"), s3, lit(",s14:"), s14, lit(",burst:"), burst),
-        "t_sev": cat(smart, lit("("), sev, lit(")")),
-    }
-
-
-def _by_severity(items: Column, ascending: bool = False) -> Column:
-    sign = 1.0 if ascending else -1.0
-    keyed = F.transform(
-        items,
-        lambda s, i: F.struct(
-            (s.severity * sign).alias("a"), (F.abs(s.deviation_abs) * sign).alias("b"), i.alias("i"), s.alias("s")
-        ),
-    )
-    return F.transform(F.array_sort(keyed), lambda k: k.s)
+        "t_line": f"concat('- ', smart, ' ', src, ' ', mode, ' baseline=', {f2(base)}, ' current=', {f2(cur)}, ' delta_pct=', {pct}, "
+        f"' z=', {f2('z_like')}, ' severity=', {f2('severity')}, ' state=', {state})",
+        "t_table": f"concat('- feat=', smart, '|src=', src, '|mode=', mode, '|dir=', direction, '|baseline=', {f2(base)}, '|current=', {f2(cur)}, "
+        f"'|delta_pct=', {pct}, '|abnormal_ratio=', {f2('abnormal_ratio')}, '|persistence=', {f2(persistence)}, '|slope3=', {s3}, '|slope14=', {s14}, "
+        f"'|burst_ratio=', {f2('burst_ratio')}, '|severity=', {f2('severity')}, '|group=', group)",
+        "t_ratio": f"concat(smart, '=', {f2('abnormal_ratio')})",
+        "t_trend": f"concat(smart, '=', {sign}, {fixed_sql('deviation_pct', 3)})",
+        "t_delta": f"concat(smart, '=', {pct}, '%|z', {f2('z_like')}, '|sev', {f2('severity')})",
+        "t_profile": f"concat(smart, '=p3:', {f2('abnormal_ratio_3d')}, ',p7:', {f2('abnormal_ratio_7d')}, ',p14:', {f2('abnormal_ratio_14d')}, "
+        "',streak:', streak_tail)",
+        "t_burst": f"concat(smart, '=s3:', {s3}, ',s14:', {s14}, ',burst:', {f2('burst_ratio')})",
+        "t_sev": f"concat(smart, '(', {f2('severity')}, ')')",
+    }
 
 
-def _first_per_sensor(items: Column) -> Column:
-    names = F.transform(items, lambda s: s.smart)
-    return F.filter(items, lambda s, i: F.array_position(names, s.smart) == i + 1)
+def _by_severity(items: str, ascending: bool = False) -> str:
+    sign = "" if ascending else "-"
+    key = f"struct({sign}s.severity AS a, {sign}abs(s.deviation_abs) AS b, i AS i, s AS s)"
+    return f"array_sort(transform({items}, (s, i) -> {key})).s"
 
 
-def selected_items(top_k: int = 8) -> Column:
-    """Abnormal before watched, known groups before unknown ones, most severe first."""
-    rank = lambda s: F.when(s.group == "unknown", 2).otherwise(0) + F.when(s.current_abnormal, 0).otherwise(1)
-    keyed = F.transform(
-        F.filter("stats", lambda s: s.active),
-        lambda s: F.struct(
-            rank(s).alias("r"), (-s.severity).alias("a"), (-F.abs(s.deviation_abs)).alias("b"), s.pos.alias("i"), s.alias("s")
-        ),
-    )
-    return F.transform(F.slice(F.array_sort(keyed), 1, max(1, top_k)), lambda k: k.s)
+def _first_per_sensor(column: str) -> str:
+    return f"filter({column}, (s, i) -> array_position({column}.smart, s.smart) = i + 1)"
 
 
-def _line(head: str, tokens: Column) -> Column:
-    return F.concat(F.lit(head), F.when(F.size(tokens) == 0, "none").otherwise(F.array_join(tokens, " ")))
+def _line(head: str, tokens: str) -> str:
+    return f"concat('{head}', if(size({tokens}) = 0, 'none', array_join({tokens}, ' ')))"
 
 
-def _best_token(token: str, weight) -> Column:
+def _best_token(token: str, weight: str) -> str:
     """One token per sensor in selection order: the one of largest ``weight``, the first on ties."""
-    sel = F.col("_sel")
-    names = F.array_distinct(F.transform(sel, lambda s: s.smart))
-    tagged = F.transform(sel, lambda s, i: F.struct(weight(s).alias("w"), (-i).alias("i"), s[token].alias("t"), s.smart.alias("n")))
-    return F.transform(names, lambda n: F.array_max(F.filter(tagged, lambda t: t.n == n)).t)
-
-
-def _evidence(group: str) -> Column:
-    items = F.filter("stats", lambda s: s.group == group)
-    pos = _first_per_sensor(_by_severity(F.filter(items, lambda s: s.active)))
-    kept = F.transform(pos, lambda s: s.pos)
-    neg = _by_severity(F.filter(items, lambda s: ~F.array_contains(kept, s.pos)), ascending=True)
-    plus = F.transform(F.slice(pos, 1, 2), lambda s: F.concat(F.lit("+"), s.t_sev))
-    minus = F.transform(F.slice(neg, 1, 1), lambda s: F.concat(F.lit("-"), s.t_sev))
-    tokens = F.concat(plus, F.when((F.size(plus) == 0) & (F.size(minus) == 0), F.array(F.lit("-none"))).otherwise(minus))
-    body = F.when(F.size(items) == 0, F.lit("none")).otherwise(F.array_join(tokens, ","))
-    return F.concat(F.lit(f"{group}="), body)
+    tagged = f"transform(_sel, (s, i) -> struct({weight} AS w, -i AS i, s.{token} AS t, s.smart AS n))"
+    return f"transform(array_distinct(_sel.smart), n -> array_max(filter({tagged}, t -> t.n = n)).t)"
 
 
-def _group_signal(group: str) -> Column:
-    items = F.filter("stats", lambda s: s.group == group)
-    hot = F.filter(items, lambda s: s.active)
-    worst = clip01(F.coalesce(F.array_max(F.transform(hot, lambda s: s.severity)), F.lit(0.0)))
-    return F.concat(F.lit(f"{group}="), F.size(hot).cast("string"), F.lit("/"), F.size(items).cast("string"), F.lit(":"), fixed(worst, 2))
+def _or_none(lines: str) -> str:
+    return f"if(size({lines}) = 0, '- none', array_join({lines}, '\\n'))"
 
 
 def with_lines(df: DataFrame, top_k: int = 8, anomaly_top_k: int = 8) -> DataFrame:
     """Adds one column per summary line (``l_*``); needs scores and root cause."""
-    df = df.withColumn("_sel", selected_items(top_k))
-    df = df.withColumns({"_top": _first_per_sensor(_by_severity(F.col("_sel"))), "_cov": F.aggregate(
-        "stats", F.lit(0.0), lambda a, s: a + F.least(F.lit(1.0), s.n / F.col("n_rows")))})
-    total = F.size("stats")
-    df = df.withColumn("_missing", F.when(total > 0, clip01(1.0 - F.col("_cov") / F.greatest(total, F.lit(1)))).otherwise(F.lit(1.0)))
-    top5 = F.slice("_top", 1, 5)
-    count = lambda f: F.size(F.filter("stats", f)).cast("string")
-    score = lambda g: F.concat(F.lit(f"{g}="), fixed(F.col(f"score_{g}"), 3))
-    first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
-    iso = lambda d: F.date_format(d, "yyyy-MM-dd")
-    table = F.transform(F.slice(_by_severity(F.col("_sel")), 1, max(1, anomaly_top_k)), lambda s: s.t_table)
-    lines = F.transform("_sel", lambda s: s.t_line)
-    or_none = lambda a: F.when(F.size(a) == 0, F.array(F.lit("- none"))).otherwise(a)
-    return df.withColumns(
+    # abnormal before watched, known groups before unknown ones, most severe first
+    rank = "if(s.group = 'unknown', 2, 0) + if(s.current_abnormal, 0, 1)"
+    key = f"struct({rank} AS r, -s.severity AS a, -abs(s.deviation_abs) AS b, s.pos AS i, s AS s)"
+    cols = {
+        "_sel": f"slice(array_sort(transform(filter(stats, s -> s.active), s -> {key})), 1, {max(1, top_k)}).s",
+        "_cov": "aggregate(stats, 0.0D, (a, s) -> a + least(1.0D, s.n / cast(n_rows AS double)))",
+    }
+    for g in SCORED_CAUSES:
+        cols[f"_in_{g}"] = f"filter(stats, s -> s.group = '{g}')"
+    df = stage(df, cols)
+    cols = {
+        "_ranked": _by_severity("_sel"),
+        "_missing": "coalesce(greatest(0.0D, least(1.0D, 1.0D - try_divide(_cov, size(stats)))), 1.0D)",
+        "_margin": "ranked[0].score - ranked[1].score",
+        "_first": "ranked[0].score",
+        "_second": "ranked[1].score",
+    }
+    for g in SCORED_CAUSES:
+        cols[f"_hot_{g}"] = _by_severity(f"filter(_in_{g}, s -> s.active)")
+        cols[f"_worst_{g}"] = f"coalesce(array_max(filter(_in_{g}, s -> s.active).severity), 0.0D)"
+    df = stage(df, cols)
+    cols = {"_top": f"slice({_first_per_sensor('_ranked')}, 1, 5)"}
+    for g in SCORED_CAUSES:
+        cols[f"_pos_{g}"] = _first_per_sensor(f"_hot_{g}")
+    df = stage(df, cols)
+    # what is not kept as positive evidence counts against the cause, the mildest first
+    df = stage(
+        df,
         {
-            "l_window": F.concat(
-                F.lit("WINDOW: "), iso(F.col("start_day")), F.lit("~"), iso(F.col("day")), F.lit(" ("), F.col("n_rows").cast("string"),
-                F.lit("d) disk="), mask_disk_id(F.col("disk")),
-            ),
-            "l_quality": F.concat(
-                F.lit("DATA_QUALITY: valid_days="), F.col("n_rows").cast("string"), F.lit(" missing_ratio="), fixed(F.col("_missing"), 2),
-                F.lit(" active_features="), count(lambda s: s.active), F.lit("/"), total.cast("string"), F.lit(" known_features="),
-                count(lambda s: s.group != "unknown"),
-            ),
-            "l_scores": F.concat(F.lit("RULE_SCORE: "), F.concat_ws(" ", *[score(g) for g in SCORED_CAUSES])),
-            "l_top2": F.concat(
-                F.lit("RULE_TOP2: "), first.cause, F.lit("="), fixed(first.score, 3), F.lit(" "), second.cause, F.lit("="),
-                fixed(second.score, 3), F.lit(" margin="), fixed(first.score - second.score, 3),
-            ),
-            "l_allowed": _line("ALLOWED_EVENT_FEATURES: ", F.array_distinct(F.transform("_sel", lambda s: s.smart))),
-            "l_table": F.concat(F.lit("ANOMALY_TABLE:\n"), F.array_join(or_none(table), "\n")),
-            "l_anomalies": F.concat(F.lit("ANOMALIES:\n"), F.array_join(or_none(lines), "\n")),
-            "l_persistence": _line("ANOMALY_PERSISTENCE: ", _best_token("t_ratio", lambda s: s.abnormal_ratio)),
-            "l_trend": _line("TREND_DELTA: ", _best_token("t_trend", lambda s: F.abs(s.deviation_pct))),
-            "l_delta": _line("FEATURE_DELTA_TOPK: ", F.transform(top5, lambda s: s.t_delta)),
-            "l_profile": _line("PERSISTENCE_PROFILE: ", F.transform(top5, lambda s: s.t_profile)),
-            "l_burst": _line("BURST_VS_DRIFT: ", F.transform(top5, lambda s: s.t_burst)),
-            "l_evidence": F.concat(
-                F.lit("CAUSE_EVIDENCE: "), F.when(total == 0, "none").otherwise(F.concat_ws(" ", *[_evidence(g) for g in SCORED_CAUSES]))
-            ),
-            "l_groups": F.concat(
-                F.lit("GROUP_SIGNAL: "), F.when(total == 0, "none").otherwise(F.concat_ws(" ", *[_group_signal(g) for g in SCORED_CAUSES]))
-            ),
-            "l_pred": F.concat(F.lit("RULE_PRED: "), F.col("root_cause")),
-        }
-    )
+            f"_neg_{g}": f"slice({_by_severity(f'filter(_in_{g}, s -> NOT array_contains(_pos_{g}.pos, s.pos))', ascending=True)}, 1, 1)"
+            for g in SCORED_CAUSES
+        },
+    )
+    evidence, groups = [], []
+    for g in SCORED_CAUSES:
+        tokens = (
+            f"concat(transform(slice(_pos_{g}, 1, 2), s -> concat('+', s.t_sev)), if(size(_pos_{g}) = 0 AND size(_neg_{g}) = 0, "
+            f"array('-none'), transform(_neg_{g}, s -> concat('-', s.t_sev))))"
+        )
+        evidence.append(f"concat('{g}=', if(size(_in_{g}) = 0, 'none', array_join({tokens}, ',')))")
+        groups.append(f"concat('{g}=', size(_hot_{g}), '/', size(_in_{g}), ':', {fixed_sql(f'_worst_{g}', 2)})")
+    scores = ", ".join(f"concat('{g}=', {fixed_sql(f'score_{g}', 3)})" for g in SCORED_CAUSES)
+    df = df.withColumn("_mask", mask_disk_id(F.col("disk")))
+    return stage(
+        df,
+        {
+            "l_window": "concat('WINDOW: ', date_format(start_day, 'yyyy-MM-dd'), '~', date_format(day, 'yyyy-MM-dd'), ' (', n_rows, 'd) disk=', _mask)",
+            "l_quality": f"concat('DATA_QUALITY: valid_days=', n_rows, ' missing_ratio=', {fixed_sql('_missing', 2)}, ' active_features=', "
+            "size(filter(stats, s -> s.active)), '/', size(stats), ' known_features=', size(filter(stats, s -> s.group != 'unknown')))",
+            "l_scores": f"concat('RULE_SCORE: ', concat_ws(' ', {scores}))",
+            "l_top2": f"concat('RULE_TOP2: ', ranked[0].cause, '=', {fixed_sql('_first', 3)}, ' ', ranked[1].cause, '=', {fixed_sql('_second', 3)}, "
+            f"' margin=', {fixed_sql('_margin', 3)})",
+            "l_allowed": _line("ALLOWED_EVENT_FEATURES: ", "array_distinct(_sel.smart)"),
+            "l_table": f"concat('ANOMALY_TABLE:\\n', {_or_none(f'slice(_ranked, 1, {max(1, anomaly_top_k)}).t_table')})",
+            "l_anomalies": f"concat('ANOMALIES:\\n', {_or_none('_sel.t_line')})",
+            "l_persistence": _line("ANOMALY_PERSISTENCE: ", _best_token("t_ratio", "s.abnormal_ratio")),
+            "l_trend": _line("TREND_DELTA: ", _best_token("t_trend", "abs(s.deviation_pct)")),
+            "l_delta": _line("FEATURE_DELTA_TOPK: ", "_top.t_delta"),
+            "l_profile": _line("PERSISTENCE_PROFILE: ", "_top.t_profile"),
+            "l_burst": _line("BURST_VS_DRIFT: ", "_top.t_burst"),
+            "l_evidence": f"concat('CAUSE_EVIDENCE: ', if(size(stats) = 0, 'none', concat_ws(' ', {', '.join(evidence)})))",
+            "l_groups": f"concat('GROUP_SIGNAL: ', if(size(stats) = 0, 'none', concat_ws(' ', {', '.join(groups)})))",
+            "l_pred": "concat('RULE_PRED: ', root_cause)",
+        },
+    )
 
 
 # Line order of the two layouts.

@@ -6,17 +6,22 @@ partition of the window grows with it.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindlewatch.functions.ordered import overlap_tiles
-from spindlewatch.functions.scalars import clip01, fixed, safe_double
 from spindlewatch.functions.names import smart_name
-from spindlewatch.operators.rulebook import Rule, Scoring, rule_for, rule_struct
+from spindlewatch.functions.ordered import overlap_tiles
+from spindlewatch.functions.scalars import safe_double
+from spindlewatch.operators.rulebook import Rule, Scoring, rules_sql
 
 TILE_DAYS = 120
 
 
+def stage(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Adds several SQL expressions at once; a stage can use the columns of the stages before it."""
+    return df.withColumns({name: F.expr(sql) for name, sql in exprs.items()})
+
+
 def window_rows(daily: DataFrame, features: list[str], window_days: int = 30, disk: str = "disk", day: str = "day") -> DataFrame:
     """One row per input row with ``points``: the disk's rows of the last ``window_days`` days as (day number, values)."""
     keep = [c for c in daily.columns if c not in features]
@@ -25,44 +30,28 @@ def window_rows(daily: DataFrame, features: list[str], window_days: int = 30, di
     tiled = overlap_tiles(base, F.col("_d"), TILE_DAYS, window_days - 1)
     frame = Window.partitionBy(disk, "_tile").orderBy("_d").rangeBetween(-(window_days - 1), 0)
     out = tiled.withColumn("points", F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_vals").alias("x"))).over(frame))
-    return (
-        out.where("_own")
-        .select(*keep, "_tile", "points")
-        .withColumn("n_rows", F.size("points"))
-        .withColumn("start_day", F.date_from_unix_date(F.array_min(F.transform("points", lambda p: p.d))))
-    )
-
-
-def median_of(values: Column) -> Column:
-    """Median of an array (mean of the middle two); null on an empty array."""
-    s = F.array_sort(values)
-    n = F.size(values)
-    at = lambda i: F.get(s, F.floor(i).cast("int"))
-    return (at((n - 1) / 2) + at(n / 2)) / 2.0
-
-
-def _head_size(n: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(n, F.ceil(n * F.lit(0.4)).cast("int")))
+    out = out.where("_own").select(*keep, "_tile", "points")
+    return stage(out, {"n_rows": "size(points)", "start_day": "date_from_unix_date(points[0].d)"})
 
 
-def _tail_ratio(flags: Column, n: Column, width: int) -> Column:
-    k = F.greatest(F.lit(1), F.least(n, F.lit(width)))
-    return F.size(F.filter(F.slice(flags, -k, k), lambda f: f)) / k
+def median_sql(values: str) -> str:
+    """Median of an array: the mean of the middle two; null when it is empty."""
+    s = f"array_sort({values})"
+    return f"((get({s}, (size({values}) - 1) div 2) + get({s}, size({values}) div 2)) / 2.0D)"
 
 
-def _tail_slope(sig: Column, n: Column, width: int) -> Column:
-    k = F.least(n, F.lit(width))
-    return F.when(k < 2, F.lit(0.0)).otherwise((F.get(sig, n - 1) - F.get(sig, n - k)) / F.greatest(k - 1, F.lit(1)))
+def _head_size(n: str) -> str:
+    return f"greatest(1, least({n}, cast(ceil({n} * 0.4D) AS int)))"
 
 
-def _longest(flags: Column) -> Column:
-    zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+def _tail_ratio(width: int) -> str:
+    k = f"greatest(1, least(m, {width}))"
+    return f"size(filter(slice(_flags, -{k}, {k}), f -> f)) / cast({k} AS double)"
 
-    def step(acc, f):
-        run = F.when(f, acc.run + 1).otherwise(F.lit(0))
-        return F.struct(run.alias("run"), F.greatest(acc.best, run).alias("best"))
 
-    return F.aggregate(flags, zero, step, lambda acc: acc.best)
+def _tail_slope(width: int) -> str:
+    k = f"least(m, {width})"
+    return f"CASE WHEN {k} < 2 THEN 0.0D ELSE (get(_sig, m - 1) - get(_sig, m - {k})) / greatest({k} - 1, 1) END"
 
 
 def feature_stats(
@@ -70,131 +59,126 @@ def feature_stats(
 ) -> DataFrame:
     """Fans windows out to one row per (window, sensor) with its statistics; sensors without a point have ``n`` = 0."""
     keep = [c for c in windows.columns if c != "points"]
-    fan = F.array(*[rule_struct(i, f, rule_for(f, rules)) for i, f in enumerate(features)])
-    df = windows.select(*keep, "points", F.inline(fan))
-    pairs = F.transform("points", lambda p: F.struct(p.d.alias("d"), F.get(p.x, F.col("pos")).alias("v")))
-    df = df.withColumn("_s", F.filter(pairs, lambda p: p.v.isNotNull())).drop("points")
-    df = df.withColumns(
-        {"_v": F.transform("_s", lambda p: p.v), "_days": F.transform("_s", lambda p: p.d), "n": F.size("_s")}
-    ).drop("_s")
-    n, delta = F.col("n"), (F.col("mode") == "delta") & (F.col("n") >= 2)
-    later = lambda c: F.slice(c, 2, F.greatest(n - 1, F.lit(0)))
-    earlier = lambda c: F.slice(c, 1, F.greatest(n - 1, F.lit(0)))
-    df = df.withColumns(
+    df = windows.selectExpr(*keep, "points", f"inline({rules_sql(features, rules)})")
+    df = stage(df, {"_s": "filter(transform(points, p -> named_struct('d', p.d, 'v', p.x[pos])), p -> p.v IS NOT NULL)"})
+    df = stage(df.drop("points"), {"_v": "_s.v", "_days": "_s.d", "n": "size(_s)"}).drop("_s")
+    later, earlier = "slice({0}, 2, greatest(n - 1, 0))", "slice({0}, 1, greatest(n - 1, 0))"
+    df = stage(df, {"signal_kind": "CASE WHEN mode = 'delta' AND n >= 2 THEN 'delta' ELSE 'level' END"})
+    df = stage(
+        df,
         {
-            "signal_kind": F.when(delta, "delta").otherwise("level"),
-            "_sig": F.when(delta, F.zip_with(later("_v"), earlier("_v"), lambda b, a: b - a)).otherwise(F.col("_v")),
-            "_sd": F.when(delta, later("_days")).otherwise(F.col("_days")),
-        }
+            "_sig": f"CASE WHEN signal_kind = 'delta' THEN zip_with({later.format('_v')}, {earlier.format('_v')}, (b, a) -> b - a) ELSE _v END",
+            "_sd": f"CASE WHEN signal_kind = 'delta' THEN {later.format('_days')} ELSE _days END",
+        },
     )
-    df = df.withColumn("m", F.size("_sig"))
-    df = df.withColumn("_head", F.slice("_sig", 1, _head_size(F.col("m"))))
-    df = df.withColumn("signal_baseline", median_of(F.col("_head")))
-    df = df.withColumn("_mad", median_of(F.transform("_head", lambda v: F.abs(v - F.col("signal_baseline")))))
+    df = stage(df, {"m": "size(_sig)", "_head": f"slice(_sig, 1, {_head_size('size(_sig)')})"})
+    df = stage(df, {"signal_baseline": median_sql("_head")})
     # the abnormal test uses the plain threshold, the severity also the robust floor
-    plain = F.greatest(F.col("min_abs_delta"), F.abs("signal_baseline") * F.col("min_pct_delta"))
-    df = df.withColumns({"_thr": plain, "threshold_abs": F.greatest(plain, F.lit(1.5 * 1.4826) * F.col("_mad"))})
-    side = F.when(F.col("direction").isin("high_bad", "high_warn"), 1.0).otherwise(-1.0)
-    df = df.withColumn("_side", side)
-    df = df.withColumn(
-        "_flags", F.transform("_sig", lambda v: F.col("_side") * (v - F.col("signal_baseline")) >= F.col("_thr"))
+    df = stage(
+        df,
+        {
+            "_gap": "transform(_head, v -> abs(v - signal_baseline))",
+            "_thr": "greatest(min_abs_delta, abs(signal_baseline) * min_pct_delta)",
+            "_side": "CASE WHEN direction IN ('high_bad', 'high_warn') THEN 1.0D ELSE -1.0D END",
+        },
     )
-    m = F.col("m")
-    hit_days = F.filter(F.zip_with("_sd", "_flags", lambda d, f: F.when(f, d)), lambda d: d.isNotNull())
-    false_at = F.array_position(F.reverse("_flags"), F.lit(False))
-    df = df.withColumns(
+    df = stage(
+        df,
         {
-            "_hits": hit_days,
-            "signal_current": F.get("_sig", m - 1),
-            "abnormal_ratio_3d": _tail_ratio(F.col("_flags"), m, 3),
-            "abnormal_ratio_7d": _tail_ratio(F.col("_flags"), m, 7),
-            "abnormal_ratio_14d": _tail_ratio(F.col("_flags"), m, 14),
-            "streak_tail": F.when(false_at == 0, m).otherwise(false_at - 1).cast("int"),
-            "streak_max": _longest(F.col("_flags")),
-            "slope_3": _tail_slope(F.col("_sig"), m, 3),
-            "slope_14": _tail_slope(F.col("_sig"), m, 14),
-            "mean": F.when(n > 0, F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / F.greatest(n, F.lit(1))),
-            "min": F.array_min("_v"),
-            "max": F.array_max("_v"),
-            "current": F.get("_v", n - 1),
-            "delta": F.coalesce(F.get("_v", n - 1) - F.get("_v", n - 2), F.lit(0.0)),
-            "baseline": median_of(F.slice("_v", 1, _head_size(n))),
-            "last_day": F.get("_days", n - 1),
-        }
+            "threshold_abs": f"greatest(_thr, {1.5 * 1.4826!r}D * {median_sql('_gap')})",
+            "_flags": "transform(_sig, v -> _side * (v - signal_baseline) >= _thr)",
+        },
+    )
+    longest = (
+        "aggregate(_flags, named_struct('run', 0, 'best', 0), (a, f) -> named_struct('run', if(f, a.run + 1, 0), "
+        "'best', greatest(a.best, if(f, a.run + 1, 0))), a -> a.best)"
     )
-    enough = m >= F.greatest(F.col("min_points"), F.lit(1))
-    df = df.withColumns(
+    df = stage(
+        df,
         {
-            "first_abnormal_day": F.get("_hits", F.lit(0)),
-            "last_abnormal_day": F.get("_hits", F.size("_hits") - 1),
-            "abnormal_ratio": F.when(enough, F.size("_hits") / F.greatest(m, F.lit(1))).otherwise(F.lit(0.0)),
-            "deviation_abs": F.col("_side") * (F.col("signal_current") - F.col("signal_baseline")) + F.lit(0.0),
-            "burst_ratio": F.least(F.abs("slope_3") / (F.abs("slope_14") + F.lit(1e-9)), F.lit(999.0)),
-            "reliability": clip01(m / F.greatest(F.col("min_points"), F.lit(1))),
-            # a cooldown asks for that many more abnormal points in a row
-            "current_abnormal": enough & (F.col("streak_tail") >= F.least(m, F.col("cooldown_days") + 1)) & (F.col("streak_tail") > 0),
-            "std": F.when(
-                n > 0,
-                F.sqrt(
-                    F.aggregate("_v", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean")))
-                    / F.greatest(n, F.lit(1))
-                ),
-            ),
-        }
+            "_hits": "filter(zip_with(_sd, _flags, (d, f) -> if(f, d, NULL)), d -> d IS NOT NULL)",
+            "signal_current": "get(_sig, m - 1)",
+            "abnormal_ratio_3d": _tail_ratio(3),
+            "abnormal_ratio_7d": _tail_ratio(7),
+            "abnormal_ratio_14d": _tail_ratio(14),
+            "streak_tail": "cast(if(array_position(reverse(_flags), false) = 0, m, array_position(reverse(_flags), false) - 1) AS int)",
+            "streak_max": longest,
+            "slope_3": _tail_slope(3),
+            "slope_14": _tail_slope(14),
+            "mean": "try_divide(aggregate(_v, 0.0D, (a, v) -> a + v), n)",
+            "min": "array_min(_v)",
+            "max": "array_max(_v)",
+            "current": "get(_v, n - 1)",
+            "delta": "coalesce(get(_v, n - 1) - get(_v, n - 2), 0.0D)",
+            "baseline": median_sql(f"slice(_v, 1, {_head_size('n')})"),
+            "last_day": "get(_days, n - 1)",
+            "enough": "m >= greatest(min_points, 1)",
+        },
     )
-    capped = F.least(clip01(F.abs("deviation_abs") / (F.col("threshold_abs") * 2.0 + F.lit(1e-9))), F.greatest(F.lit(0.0), F.col("cap")))
-    df = df.withColumns(
+    df = stage(
+        df,
         {
-            "deviation_pct": F.col("deviation_abs") / (F.abs("signal_baseline") + 1.0),
-            "severity": F.when(enough, capped).otherwise(F.least(capped, F.lit(0.25))),
-            "z_like": F.least(F.abs("deviation_abs") / (F.col("std") + F.lit(1e-9)), F.lit(99.0)),
-        }
+            "first_abnormal_day": "get(_hits, 0)",
+            "last_abnormal_day": "get(_hits, size(_hits) - 1)",
+            "abnormal_ratio": "if(enough, size(_hits) / cast(greatest(m, 1) AS double), 0.0D)",
+            "deviation_abs": "_side * (signal_current - signal_baseline) + 0.0D",
+            "burst_ratio": "least(abs(slope_3) / (abs(slope_14) + 1e-9D), 999.0D)",
+            "reliability": "least(1.0D, m / cast(greatest(min_points, 1) AS double))",
+            # a cooldown asks for that many more abnormal points in a row
+            "current_abnormal": "enough AND streak_tail > 0 AND streak_tail >= least(m, cooldown_days + 1)",
+            "std": "sqrt(try_divide(aggregate(_v, 0.0D, (a, v) -> a + (v - mean) * (v - mean)), n))",
+        },
     )
-    over_ratio = F.col("abnormal_ratio") >= scoring.watch_ratio_threshold
-    watch = enough & ~F.col("current_abnormal") & (over_ratio | (F.col("severity") >= scoring.watch_severity_threshold))
-    df = df.withColumn("watch_flag", watch)
-    status = (
-        F.when(~enough, "insufficient")
-        .when(F.col("current_abnormal"), "abnormal")
-        .when(F.col("watch_flag"), "watch")
-        .when(F.col("first_abnormal_day").isNotNull(), "was_abnormal")
-        .otherwise("normal")
+    df = stage(
+        df,
+        {
+            "_sev": "least(least(1.0D, abs(deviation_abs) / (threshold_abs * 2.0D + 1e-9D)), greatest(0.0D, cap))",
+            "deviation_pct": "deviation_abs / (abs(signal_baseline) + 1.0D)",
+            "z_like": "least(abs(deviation_abs) / (std + 1e-9D), 99.0D)",
+        },
     )
-    # points outside the watch state can still count as active by their ratio
-    active = F.col("current_abnormal") | F.col("watch_flag") | over_ratio
-    return df.withColumns({"status": status, "active": active, "smart": smart_name(F.col("feature"))}).drop(
-        "_v", "_days", "_sig", "_sd", "_head", "_mad", "_thr", "_side", "_flags", "_hits"
+    df = stage(df, {"severity": "if(enough, _sev, least(_sev, 0.25D))"})
+    bar = f"abnormal_ratio >= {scoring.watch_ratio_threshold!r}D"
+    df = stage(df, {"watch_flag": f"enough AND NOT current_abnormal AND ({bar} OR severity >= {scoring.watch_severity_threshold!r}D)"})
+    df = stage(
+        df,
+        {
+            "status": "CASE WHEN NOT enough THEN 'insufficient' WHEN current_abnormal THEN 'abnormal' WHEN watch_flag THEN 'watch' "
+            "WHEN first_abnormal_day IS NOT NULL THEN 'was_abnormal' ELSE 'normal' END",
+            "active": f"current_abnormal OR watch_flag OR {bar}",
+        },
     )
+    df = df.withColumn("smart", smart_name(F.col("feature")))
+    return df.drop("_v", "_days", "_sig", "_sd", "_head", "_gap", "_thr", "_side", "_flags", "_hits", "_sev", "enough")
 
 
-def contribution(scoring: Scoring = Scoring()) -> Column:
+def contribution_sql(scoring: Scoring = Scoring()) -> str:
     """What one sensor adds to the score of its group."""
-    age = (F.col("last_day") - F.col("last_abnormal_day")) / F.lit(float(scoring.recency_horizon_days))
-    recency = F.coalesce(F.greatest(F.lit(0.35), 1.0 - age), F.lit(0.35))
+    recency = f"coalesce(greatest(0.35D, 1.0D - (last_day - last_abnormal_day) / {float(scoring.recency_horizon_days)!r}D), 0.35D)"
     state = (
-        F.when(F.col("current_abnormal"), F.lit(scoring.abnormal_multiplier))
-        .when(F.col("active"), F.lit(scoring.watch_multiplier) * recency)
-        .otherwise(F.lit(0.0))
+        f"CASE WHEN current_abnormal THEN {scoring.abnormal_multiplier!r}D "
+        f"WHEN active THEN {scoring.watch_multiplier!r}D * {recency} ELSE 0.0D END"
     )
-    base = F.col("weight") * F.col("severity") * F.col("reliability") * state
-    return F.when(F.col("group") != "unknown", base).otherwise(F.lit(0.0))
+    return f"CASE WHEN group != 'unknown' THEN weight * severity * reliability * {state} ELSE 0.0D END"
+
+
+STAT_FIELDS = [
+    "pos", "feature", "smart", "src", "group", "direction", "mode", "n", "severity", "deviation_abs", "deviation_pct",
+    "current_abnormal", "watch_flag", "active", "abnormal_ratio", "contrib",
+]
 
 
-def disk_windows(stats: DataFrame, disk: str = "disk", day: str = "day", extra: dict[str, Column] | None = None) -> DataFrame:
+def disk_windows(stats: DataFrame, disk: str = "disk", day: str = "day", extra: dict[str, str] | None = None) -> DataFrame:
     """Gathers the sensor rows of a window into one row with ``stats`` in sensor order.
 
     Grouping by (disk, tile, day) keeps the partitioning of the window, so there is no second shuffle. A group holds at most one
     struct per sensor column.
     """
     extra = extra or {}
-    df = stats.withColumns({"contrib": contribution(), **extra})
-    names = [
-        "pos", "feature", "smart", "src", "group", "direction", "mode", "n", "severity", "deviation_abs", "deviation_pct",
-        "current_abnormal", "watch_flag", "active", "abnormal_ratio", "contrib", *extra,
-    ]
-    item = F.when(F.col("n") > 0, F.struct(*[F.col(c) for c in names]))
+    df = stage(stats, {"contrib": contribution_sql(), **extra})
+    item = f"if(n > 0, struct({', '.join([*STAT_FIELDS, *extra])}), NULL)"
     same = [c for c in ("model", "failure", "n_rows", "start_day") if c in df.columns]
     grouped = df.groupBy(disk, "_tile", day).agg(
-        *[F.first(c).alias(c) for c in same], F.array_sort(F.collect_list(item)).alias("stats")
+        *[F.first(c).alias(c) for c in same], F.expr(f"array_sort(collect_list({item}))").alias("stats")
     )
     return grouped.drop("_tile")
