@@ -133,9 +133,8 @@ def group_signals(text: Column) -> Column:
 
 def missing_blocks(text: Column) -> Column:
     lines = lines_of(text)
-    return F.array_compact(
-        F.array(*[F.when(~F.exists(lines, lambda x, p=p: x.startswith(p)), F.lit(p)) for p in REQUIRED_PREFIXES])
-    )
+    needed = F.array(*[F.lit(p) for p in REQUIRED_PREFIXES])
+    return F.filter(needed, lambda p: ~F.exists(lines, lambda x: F.startswith(x, p)))
 
 
 def malformed_rows(text: Column) -> Column:

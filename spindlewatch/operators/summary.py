@@ -1,6 +1,6 @@
 """Text summary of a window. Every line is a SQL expression on the ``stats`` array.
 
-Number formatting happens once per sensor row (``text_fields``), so line building only sorts, filters and joins strings.
+Number formatting happens once per sensor row (``with_text``), so line building only sorts, filters and joins strings.
 """
 from __future__ import annotations
 
@@ -12,30 +12,54 @@ from spindlewatch.functions.scalars import fixed_sql
 from spindlewatch.operators.windows import stage
 
 
-def text_fields() -> dict[str, str]:
-    """Formatted pieces of a sensor row, to be added before rows are gathered per window."""
-    base = "if(mode = 'delta', signal_baseline, baseline)"
-    cur = "if(mode = 'delta', signal_current, current)"
-    sign = "if(deviation_pct >= 0, '+', '')"
-    pct = f"{sign}, {fixed_sql('(deviation_pct * 100.0D)', 1)}"
-    state = "CASE WHEN current_abnormal THEN 'abnormal' WHEN active THEN 'watch' ELSE 'history' END"
-    persistence = "if(abnormal_ratio_14d = 0, abnormal_ratio, abnormal_ratio_14d)"
-    f2 = lambda c: fixed_sql(c, 2)
-    s3, s14 = fixed_sql("slope_3", 3, True), fixed_sql("slope_14", 3, True)
-    return {
-        "t_line": f"concat('- ', smart, ' ', src, ' ', mode, ' baseline=', {f2(base)}, ' current=', {f2(cur)}, ' delta_pct=', {pct}, "
-        f"' z=', {f2('z_like')}, ' severity=', {f2('severity')}, ' state=', {state})",
-        "t_table": f"concat('- feat=', smart, '|src=', src, '|mode=', mode, '|dir=', direction, '|baseline=', {f2(base)}, '|current=', {f2(cur)}, "
-        f"'|delta_pct=', {pct}, '|abnormal_ratio=', {f2('abnormal_ratio')}, '|persistence=', {f2(persistence)}, '|slope3=', {s3}, '|slope14=', {s14}, "
-        f"'|burst_ratio=', {f2('burst_ratio')}, '|severity=', {f2('severity')}, '|group=', group)",
-        "t_ratio": f"concat(smart, '=', {f2('abnormal_ratio')})",
-        "t_trend": f"concat(smart, '=', {sign}, {fixed_sql('deviation_pct', 3)})",
-        "t_delta": f"concat(smart, '=', {pct}, '%|z', {f2('z_like')}, '|sev', {f2('severity')})",
-        "t_profile": f"concat(smart, '=p3:', {f2('abnormal_ratio_3d')}, ',p7:', {f2('abnormal_ratio_7d')}, ',p14:', {f2('abnormal_ratio_14d')}, "
-        "',streak:', streak_tail)",
-        "t_burst": f"concat(smart, '=s3:', {s3}, ',s14:', {s14}, ',burst:', {f2('burst_ratio')})",
-        "t_sev": f"concat(smart, '(', {f2('severity')}, ')')",
-    }
+def _formatted(values: list[str], digits: int, plus: bool = False) -> str:
+    """Several numbers formatted alike in one array (one lambda instead of one expression tree per number)."""
+    return f"transform(array({', '.join(values)}), x -> {fixed_sql('x', digits, plus)})"
+
+
+def with_text(stats: DataFrame) -> DataFrame:
+    """Adds the formatted pieces of a sensor row (``t_*``), before rows are gathered per window."""
+    df = stage(
+        stats,
+        {
+            "_b": "if(mode = 'delta', signal_baseline, baseline)",
+            "_c": "if(mode = 'delta', signal_current, current)",
+            "_p": "if(abnormal_ratio_14d = 0, abnormal_ratio, abnormal_ratio_14d)",
+            "_sign": "if(deviation_pct >= 0, '+', '')",
+            "_state": "CASE WHEN current_abnormal THEN 'abnormal' WHEN active THEN 'watch' ELSE 'history' END",
+        },
+    )
+    two = ["_b", "_c", "_p", "z_like", "severity", "abnormal_ratio", "burst_ratio", "abnormal_ratio_3d", "abnormal_ratio_7d", "abnormal_ratio_14d"]
+    df = stage(
+        df,
+        {
+            "_f": _formatted(two, 2),
+            "_s": _formatted(["slope_3", "slope_14"], 3, True),
+            "_d": f"concat(_sign, {_formatted(['deviation_pct * 100.0D'], 1)}[0])",
+            "_t": f"concat(_sign, {_formatted(['deviation_pct'], 3)}[0])",
+        },
+    )
+    b, c, p, z, sev, ratio, burst, r3, r7, r14 = (f"_f[{i}]" for i in range(10))
+    df = stage(
+        df,
+        {
+            "t_line": f"concat('- ', smart, ' ', src, ' ', mode, ' baseline=', {b}, ' current=', {c}, ' delta_pct=', _d, ' z=', {z}, "
+            f"' severity=', {sev}, ' state=', _state)",
+            "t_table": f"concat('- feat=', smart, '|src=', src, '|mode=', mode, '|dir=', direction, '|baseline=', {b}, '|current=', {c}, "
+            f"'|delta_pct=', _d, '|abnormal_ratio=', {ratio}, '|persistence=', {p}, '|slope3=', _s[0], '|slope14=', _s[1], "
+            f"'|burst_ratio=', {burst}, '|severity=', {sev}, '|group=', group)",
+            "t_ratio": f"concat(smart, '=', {ratio})",
+            "t_trend": "concat(smart, '=', _t)",
+            "t_delta": f"concat(smart, '=', _d, '%|z', {z}, '|sev', {sev})",
+            "t_profile": f"concat(smart, '=p3:', {r3}, ',p7:', {r7}, ',p14:', {r14}, ',streak:', streak_tail)",
+            "t_burst": f"concat(smart, '=s3:', _s[0], ',s14:', _s[1], ',burst:', {burst})",
+            "t_sev": f"concat(smart, '(', {sev}, ')')",
+        },
+    )
+    return df.drop("_b", "_c", "_p", "_sign", "_state", "_f", "_s", "_d", "_t")
+
+
+TEXT_FIELDS = ["t_line", "t_table", "t_ratio", "t_trend", "t_delta", "t_profile", "t_burst", "t_sev"]
 
 
 def _by_severity(items: str, ascending: bool = False) -> str:
@@ -104,18 +128,26 @@ def with_lines(df: DataFrame, top_k: int = 8, anomaly_top_k: int = 8) -> DataFra
             f"array('-none'), transform(_neg_{g}, s -> concat('-', s.t_sev))))"
         )
         evidence.append(f"concat('{g}=', if(size(_in_{g}) = 0, 'none', array_join({tokens}, ',')))")
-        groups.append(f"concat('{g}=', size(_hot_{g}), '/', size(_in_{g}), ':', {fixed_sql(f'_worst_{g}', 2)})")
-    scores = ", ".join(f"concat('{g}=', {fixed_sql(f'score_{g}', 3)})" for g in SCORED_CAUSES)
+        i = SCORED_CAUSES.index(g)
+        groups.append(f"concat('{g}=', size(_hot_{g}), '/', size(_in_{g}), ':', _f2[{i}])")
+    scores = ", ".join(f"concat('{g}=', _f3[{i}])" for i, g in enumerate(SCORED_CAUSES))
     df = df.withColumn("_mask", mask_disk_id(F.col("disk")))
+    df = stage(
+        df,
+        {
+            "_f2": _formatted([*[f"_worst_{g}" for g in SCORED_CAUSES], "_missing"], 2),
+            "_f3": _formatted([*[f"score_{g}" for g in SCORED_CAUSES], "_first", "_second", "_margin"], 3),
+        },
+    )
     return stage(
         df,
         {
             "l_window": "concat('WINDOW: ', date_format(start_day, 'yyyy-MM-dd'), '~', date_format(day, 'yyyy-MM-dd'), ' (', n_rows, 'd) disk=', _mask)",
-            "l_quality": f"concat('DATA_QUALITY: valid_days=', n_rows, ' missing_ratio=', {fixed_sql('_missing', 2)}, ' active_features=', "
+            "l_quality": f"concat('DATA_QUALITY: valid_days=', n_rows, ' missing_ratio=', _f2[5], ' active_features=', "
             "size(filter(stats, s -> s.active)), '/', size(stats), ' known_features=', size(filter(stats, s -> s.group != 'unknown')))",
             "l_scores": f"concat('RULE_SCORE: ', concat_ws(' ', {scores}))",
-            "l_top2": f"concat('RULE_TOP2: ', ranked[0].cause, '=', {fixed_sql('_first', 3)}, ' ', ranked[1].cause, '=', {fixed_sql('_second', 3)}, "
-            f"' margin=', {fixed_sql('_margin', 3)})",
+            "l_top2": f"concat('RULE_TOP2: ', ranked[0].cause, '=', _f3[5], ' ', ranked[1].cause, '=', _f3[6], "
+            f"' margin=', _f3[7])",
             "l_allowed": _line("ALLOWED_EVENT_FEATURES: ", "array_distinct(_sel.smart)"),
             "l_table": f"concat('ANOMALY_TABLE:\\n', {_or_none(f'slice(_ranked, 1, {max(1, anomaly_top_k)}).t_table')})",
             "l_anomalies": f"concat('ANOMALIES:\\n', {_or_none('_sel.t_line')})",

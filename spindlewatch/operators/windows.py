@@ -168,14 +168,13 @@ STAT_FIELDS = [
 ]
 
 
-def disk_windows(stats: DataFrame, disk: str = "disk", day: str = "day", extra: dict[str, str] | None = None) -> DataFrame:
+def disk_windows(stats: DataFrame, disk: str = "disk", day: str = "day", extra: list[str] = ()) -> DataFrame:
     """Gathers the sensor rows of a window into one row with ``stats`` in sensor order.
 
     Grouping by (disk, tile, day) keeps the partitioning of the window, so there is no second shuffle. A group holds at most one
     struct per sensor column.
     """
-    extra = extra or {}
-    df = stage(stats, {"contrib": contribution_sql(), **extra})
+    df = stage(stats, {"contrib": contribution_sql()})
     item = f"if(n > 0, struct({', '.join([*STAT_FIELDS, *extra])}), NULL)"
     same = [c for c in ("model", "failure", "n_rows", "start_day") if c in df.columns]
     grouped = df.groupBy(disk, "_tile", day).agg(

@@ -8,6 +8,7 @@ from spindlewatch.functions.names import SCORED_CAUSES
 from spindlewatch.functions.scalars import r4
 from spindlewatch.operators import diagnosis, summary, windows
 from spindlewatch.operators.rulebook import RULE_FIELDS, rule_for
+from spindlewatch.session import cut_lineage
 from spindlewatch.plans.bridge import FEATURES, daily, daily_sql
 
 
@@ -21,7 +22,8 @@ def stats_of(spark, sf):
 
 def diagnosed(spark, sf, text: bool = False):
     """disk windows with scores, root cause and target; with ``text`` also the summary lines."""
-    df = windows.disk_windows(stats_of(spark, sf), extra=summary.text_fields() if text else None)
+    stats = stats_of(spark, sf)
+    df = windows.disk_windows(summary.with_text(stats), extra=summary.TEXT_FIELDS) if text else windows.disk_windows(stats)
     df = diagnosis.with_root_cause(diagnosis.with_scores(df))
     return summary.with_lines(df) if text else df
 
@@ -31,6 +33,12 @@ def summaries(spark, sf, layout: str = "structured_v2_with_legacy"):
     return diagnosis.with_target(diagnosed(spark, sf, text=True)).withColumn("summary_text", summary.summary_text(layout))
 
 
+def stored_summaries(spark, sf):
+    """The window text table (D12). Text and targets are a stored stage: what reads them starts from a checkpoint."""
+    cols = ["disk", "day", "model", "n_rows", "summary_text", "root_cause", "risk_hint", "hardness", "confidence", "events"]
+    return cut_lineage(summaries(spark, sf).select(*cols))
+
+
 def q_window_stats(spark, sf):
     df = stats_of(spark, sf).where("n > 0")
     dbl = ["signal_baseline", "threshold_abs", "signal_current", "abnormal_ratio", "severity", "reliability", "z_like", "mean", "std",
