@@ -56,6 +56,28 @@ def running(
     return out
 
 
+def running_extremes(
+    df: DataFrame, key: str, measures: dict[str, tuple[str, Column]], within: list[str] = (), exclusive: bool = True, ranges: int = 64
+) -> DataFrame:
+    """Like ``running`` for ``max``, ``min`` and ``last`` (the last non-null value); null while nothing was seen."""
+    fold = {"max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+    work = with_range(df, key, ranges)
+    for name, (_, expr) in measures.items():
+        work = work.withColumn(f"_m_{name}", expr)
+    group = [*within, "_range"]
+    tail = lambda n: F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col(key)))
+    totals = work.groupBy(*group).agg(
+        *[(tail(n) if kind == "last" else fold[kind](f"_m_{n}")).alias(f"_t_{n}") for n, (kind, _) in measures.items()]
+    )
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*group, *[fold[kind](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (kind, _) in measures.items()])
+    frame = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    local = work.select("*", *[fold[kind](f"_m_{n}").over(frame).alias(f"_l_{n}") for n, (kind, _) in measures.items()])
+    joined = local.join(offsets if within else F.broadcast(offsets), group)
+    pick = {"max": F.greatest, "min": F.least, "last": F.coalesce}
+    return joined.select(*df.columns, *[pick[kind](f"_l_{n}", f"_o_{n}").alias(n) for n, (kind, _) in measures.items()])
+
+
 def row_numbers(df: DataFrame, key: str, name: str = "n", ranges: int = 64, tie: list[str] = ()) -> DataFrame:
     """1-based position of every row in the whole-table order."""
     return running(df, key, {name: F.lit(1).cast("bigint")}, ranges=ranges, tie=tie)
