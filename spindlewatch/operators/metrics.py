@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spindlewatch.functions.ordered import overlap_tiles, previous, row_numbers, running
 from spindlewatch.functions.scalars import mean_of
 from spindlewatch.operators.windows import stage
+from spindlewatch.session import cut_lineage
 
 COUNTS = ["tp", "fp", "tn", "fn"]
 
@@ -257,7 +258,7 @@ def drift_evaluation(detections: DataFrame, key: str = "n", by: list[str] = ())
     it and before the next one; segments between true changes are numbered by a running sum, then aggregated.
     """
     flag = lambda c: F.col(c).cast("bigint")
-    df = running(detections, key, {"_seg": flag("true_change")}, within=list(by), exclusive=True)
+    df = running(cut_lineage(detections), key, {"_seg": flag("true_change")}, within=list(by), exclusive=True)
     seg = df.groupBy(*by, "_seg").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(flag("change")).alias("_det"), F.min(key).alias("_first"),
         F.min(F.when(F.col("change"), F.col(key))).alias("_hit"), F.count_if("true_change").alias("_true"),
