@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,16 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
     return spark
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for tables and stream state of one run."""
+    base = spark.conf.get(CHECKPOINT_KEY, None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
+        base = tempfile.mkdtemp(prefix="spindlewatch-work-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names; a local session without one gets its own folder."""
     spark = df.sparkSession
