@@ -20,24 +20,28 @@ ANSWER_SCHEMA = "root_cause string, risk_hint string, hardness string, confidenc
 
 
 def lines_of(text: Column) -> Column:
+    """Trimmed lines. The readers below take this array, so a text is split once however much is read from it."""
     return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
 
 
-def first_line(text: Column, prefix: str) -> Column:
+def first_line(lines: Column, prefix: str) -> Column:
     """First line that starts with ``prefix``; null if there is none."""
-    return F.get(F.filter(lines_of(text), lambda x: x.startswith(prefix)), F.lit(0))
+    return F.get(F.filter(lines, lambda x: x.startswith(prefix)), F.lit(0))
 
 
-def _payload(line: Column) -> Column:
-    body = F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1))
-    return F.when(F.lower(body) == "none", F.lit("")).otherwise(F.coalesce(body, F.lit("")))
+def _payload(lines: Column, prefix: str) -> Column:
+    return F.coalesce(F.trim(F.regexp_extract(first_line(lines, prefix), r"^[^:]*:(.*)$", 1)), F.lit(""))
 
 
-def rule_scores(text: Column) -> Column:
+def rule_scores(lines: Column) -> Column:
     """The five rule scores of the ``RULE_SCORE:`` line, in cause order; absent ones are 0."""
-    line = F.coalesce(first_line(text, "RULE_SCORE:"), F.lit(""))
-    grab = lambda c: F.coalesce(F.regexp_extract(line, c + r"\s*=\s*([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
-    return F.array(*[grab(c) for c in SCORED_CAUSES])
+    line = F.coalesce(first_line(lines, "RULE_SCORE:"), F.lit(""))
+
+    def grab(text):
+        number = lambda c: F.regexp_extract(text, c + r"\s*=\s*([0-9]+(?:\.[0-9]+)?)", 1)
+        return F.array(*[F.coalesce(number(c).try_cast("double"), F.lit(0.0)) for c in SCORED_CAUSES])
+
+    return F.get(F.transform(F.array(line), grab), F.lit(0))
 
 
 def top_cause(scores: Column, tie: str = "first") -> Column:
@@ -51,12 +55,12 @@ def top_cause(scores: Column, tie: str = "first") -> Column:
 
 def top_margin(scores: Column) -> Column:
     s = F.array_sort(scores)
-    return F.greatest(F.lit(0.0), F.get(s, F.size(s) - 1) - F.get(s, F.size(s) - 2))
+    return F.greatest(F.lit(0.0), F.get(s, F.size(scores) - 1) - F.get(s, F.size(scores) - 2))
 
 
-def key_values(text: Column, prefix: str) -> Column:
-    """``PREFIX: k=v k=v`` as an array of (feature, value); use ``lookup`` to read it, the last of equal keys counts."""
-    tokens = F.filter(F.split(_payload(first_line(text, prefix)), r"\s+"), lambda t: F.contains(t, F.lit("=")))
+def key_values(lines: Column, prefix: str) -> Column:
+    """``PREFIX: k=v k=v`` as an array of (feature, value); the last of equal keys counts."""
+    tokens = F.filter(F.split(_payload(lines, prefix), r"\s+"), lambda t: F.contains(t, F.lit("=")))
     pairs = F.transform(
         tokens,
         lambda t: F.struct(
@@ -64,34 +68,30 @@ def key_values(text: Column, prefix: str) -> Column:
             safe_double(F.regexp_extract(t, r"^[^=]*=(.*)$", 1), 0.0).alias("value"),
         ),
     )
-    return F.coalesce(F.filter(pairs, lambda p: p.feature != ""), F.array().cast("array<struct<feature:string,value:double>>"))
+    return F.filter(pairs, lambda p: p.feature != "")
 
 
-def lookup(pairs: Column, feature: Column, field: str) -> Column:
-    hits = F.filter(pairs, lambda p: p.feature == feature)
-    return F.get(hits, F.size(hits) - 1)[field]
+def table_lines(lines: Column) -> Column:
+    """Payloads of the rows below ``ANOMALY_TABLE:``, up to the first line that is not a row or says none: one pass over the lines."""
+    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<string>").alias("rows"))
 
+    def step(acc, x):
+        row = x.startswith("- ") & ~x.rlike(r"(?i)^-\s+none$")
+        state = F.when(acc.state == 1, F.when(row, 1).otherwise(2)).when((acc.state == 0) & x.startswith("ANOMALY_TABLE:"), 1).otherwise(acc.state)
+        rows = F.when((acc.state == 1) & row, F.concat(acc.rows, F.array(F.trim(F.substr(x, F.lit(3)))))).otherwise(acc.rows)
+        return F.struct(state.alias("state"), rows.alias("rows"))
 
-def table_lines(text: Column) -> Column:
-    """Payloads of the rows below ``ANOMALY_TABLE:``, up to the first line that is not a row or says none."""
-    lines = lines_of(text)
-    heads = F.transform(lines, lambda x: x.startswith("ANOMALY_TABLE:"))
-    at = F.array_position(heads, F.lit(True)).cast("int")
-    rest = F.when(at > 0, F.slice(lines, at + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    ends = F.transform(rest, lambda x: ~x.startswith("- ") | F.lower(x).rlike(r"^-\s+none$"))
-    stop = F.array_position(ends, F.lit(True)).cast("int")
-    rows = F.when(stop > 0, F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(rest)
-    return F.transform(rows, lambda x: F.trim(F.regexp_extract(x, r"^- (.*)$", 1)))
+    return F.aggregate(lines, start, step, lambda acc: acc.rows)
 
 
 def _cell(row: Column, key: str) -> Column:
     return F.trim(F.regexp_extract(row, rf"(?i)(?:^|\|)\s*{key}\s*=([^|]*)", 1))
 
 
-def anomaly_table(text: Column) -> Column:
+def anomaly_table(lines: Column) -> Column:
     """Rows of the anomaly table as (feature, persistence, trend_delta, burst_ratio, severity)."""
     rows = F.transform(
-        table_lines(text),
+        table_lines(lines),
         lambda r: F.struct(
             event_feature(_cell(r, "feat")).alias("feature"),
             clip01(safe_double(_cell(r, "persistence"), 0.0)).alias("persistence"),
@@ -103,59 +103,47 @@ def anomaly_table(text: Column) -> Column:
     return F.filter(rows, lambda r: r.feature != "")
 
 
-def allowed_features(text: Column) -> Column:
+def allowed_features(lines: Column) -> Column:
     """Features of the ``ALLOWED_EVENT_FEATURES:`` line; without that line, those named in anomaly rows."""
-    line = first_line(text, "ALLOWED_EVENT_FEATURES:")
-    listed = F.transform(F.filter(F.split(_payload(line), r"\s+"), lambda t: t != ""), lambda t: event_feature(t))
-    rows = F.filter(lines_of(text), lambda x: x.startswith("- "))
+    token = lambda t: (t != "") & (F.lower(t) != "none")
+    listed = F.filter(F.split(_payload(lines, "ALLOWED_EVENT_FEATURES:"), r"\s+"), token)
     named = F.transform(
-        rows,
+        F.filter(lines, lambda x: x.startswith("- ")),
         lambda x: F.coalesce(
             F.nullif(F.regexp_extract(x, r"(?i)^-\s+(SMART[_\- ]?\d+)\b", 1), F.lit("")),
             F.regexp_extract(x, r"(?i)\bfeat=([^|\s]+)", 1),
         ),
     )
-    inferred = F.transform(F.filter(named, lambda t: t != ""), lambda t: event_feature(t))
-    return F.array_distinct(F.when(line.isNotNull(), listed).otherwise(inferred))
+    has_line = F.exists(lines, lambda x: x.startswith("ALLOWED_EVENT_FEATURES:"))
+    found = F.when(has_line, listed).otherwise(F.filter(named, lambda t: t != ""))
+    return F.array_distinct(F.transform(found, lambda t: event_feature(t)))
 
 
-def group_signals(text: Column) -> Column:
+def group_signals(lines: Column) -> Column:
     """The ``GROUP_SIGNAL:`` line as (active, available, max_severity) per cause, in cause order."""
-    body = _payload(first_line(text, "GROUP_SIGNAL:"))
+    pattern = r"\s*=\s*(\d+)\s*/\s*(\d+)\s*:\s*([0-9]+(?:\.[0-9]+)?)"
 
-    def one(cause):
-        pattern = rf"(?:^|\s){cause}\s*=\s*(\d+)\s*/\s*(\d+)\s*:\s*([0-9]+(?:\.[0-9]+)?)"
-        part = lambda i: F.coalesce(F.regexp_extract(body, pattern, i).try_cast("double"), F.lit(0.0))
-        return F.struct(part(1).alias("active"), part(2).alias("available"), clip01(part(3)).alias("max_severity"))
+    def read(body):
+        part = lambda c, i: F.coalesce(F.regexp_extract(body, rf"(?:^|\s){c}{pattern}", i).try_cast("double"), F.lit(0.0))
+        one = lambda c: F.struct(part(c, 1).alias("active"), part(c, 2).alias("available"), clip01(part(c, 3)).alias("max_severity"))
+        return F.array(*[one(c) for c in SCORED_CAUSES])
 
-    return F.array(*[one(c) for c in SCORED_CAUSES])
+    return F.get(F.transform(F.array(_payload(lines, "GROUP_SIGNAL:")), read), F.lit(0))
 
 
-def missing_blocks(text: Column) -> Column:
-    lines = lines_of(text)
+def missing_blocks(lines: Column) -> Column:
     needed = F.array(*[F.lit(p) for p in REQUIRED_PREFIXES])
     return F.filter(needed, lambda p: ~F.exists(lines, lambda x: F.startswith(x, p)))
 
 
-def malformed_rows(text: Column) -> Column:
+def malformed_rows(lines: Column) -> Column:
     """Number of anomaly rows that lack one of the required keys."""
     keyed = lambda r: F.transform(F.split(r, r"\|"), lambda t: F.lower(F.trim(F.regexp_extract(t, r"^([^=]*)=", 1))))
     need = F.array(*[F.lit(k) for k in TABLE_KEYS])
-    return F.size(F.filter(table_lines(text), lambda r: F.size(F.array_except(need, keyed(r))) > 0))
+    return F.size(F.filter(table_lines(lines), lambda r: F.size(F.array_except(need, keyed(r))) > 0))
 
 
 def json_body(text: Column) -> Column:
     """The object inside a raw answer: code fence removed, first ``{`` to last ``}``; null if there is none."""
     body = F.regexp_extract(F.trim(text), r"(?s)\{.*\}", 0)
     return F.when(body != "", body)
-
-
-def parse_answer(raw: Column, repaired: Column | None = None) -> tuple[Column, Column]:
-    """(record, parse_source): the direct text, else the repaired text, else a default record."""
-    read = lambda c: F.from_json(json_body(c), ANSWER_SCHEMA, {"mode": "PERMISSIVE"})
-    some = lambda r: F.coalesce(r.root_cause, r.risk_hint, r.hardness, r.confidence, r.events.cast("string")).isNotNull()
-    first = read(raw)
-    second = read(repaired if repaired is not None else F.lit(None).cast("string"))
-    source = F.when(some(first), "direct").when(some(second), "repair").otherwise("default")
-    default = F.from_json(F.lit('{"root_cause":"unknown","risk_hint":"0","hardness":"0","confidence":"0","events":[]}'), ANSWER_SCHEMA)
-    return F.when(some(first), first).when(some(second), second).otherwise(default), source

@@ -47,9 +47,19 @@ class AnswerRules:
 
 
 def parse_answers(df: DataFrame, raw: str = "raw_text", repaired: str | None = None) -> DataFrame:
-    """Adds ``record`` and ``parse_source``."""
-    record, source = parse.parse_answer(F.col(raw), None if repaired is None else F.col(repaired))
-    return df.withColumns({"record": record, "parse_source": source})
+    """Adds ``record`` and ``parse_source``: the direct text, else the repaired text, else a default record.
+
+    Bodies and records are columns of their own, so each text is parsed once.
+    """
+    second = F.col(repaired) if repaired else F.lit(None).cast("string")
+    df = df.withColumns({"_b1": parse.json_body(F.col(raw)), "_b2": parse.json_body(second)})
+    read = lambda c: F.from_json(c, parse.ANSWER_SCHEMA, {"mode": "PERMISSIVE"})
+    keys = lambda c: F.coalesce(F.size(F.json_object_keys(c)), F.lit(0)) > 0
+    df = df.withColumns({"_ok1": keys(F.col("_b1")), "_ok2": keys(F.col("_b2"))})
+    default = F.lit('{"root_cause":"unknown","risk_hint":"0","hardness":"0","confidence":"0","events":[]}')
+    body = F.when(F.col("_ok1"), F.col("_b1")).when(F.col("_ok2"), F.col("_b2")).otherwise(default)
+    source = F.when(F.col("_ok1"), "direct").when(F.col("_ok2"), "repair").otherwise("default")
+    return df.withColumns({"record": read(body), "parse_source": source}).drop("_b1", "_b2", "_ok1", "_ok2")
 
 
 def _unit(c: Column, digits: int = 2) -> Column:
@@ -69,8 +79,9 @@ def default_derived(df: DataFrame) -> DataFrame:
 
 def normalize(df: DataFrame, mapping: EventMapping | None = None, rules: AnswerRules = AnswerRules(), summary: str = "summary_text") -> DataFrame:
     """Cleans an answer against its summary: events, blended cause, quality score, event gates and rule agreement."""
-    text = F.col(summary)
+    text = F.col("_lines")
     mapped = list(mapping.features) if mapping else []
+    df = df.withColumn("_lines", parse.lines_of(F.col(summary)))
     df = df.withColumns(
         {
             "_cause": normalize_cause(F.col("record.root_cause")),
@@ -247,7 +258,7 @@ def prompt_messages(summary: Column, references: Column, system: str, template:
     """
 
     def fill(text: Column) -> Column:
-        allowed = F.array_join(parse.allowed_features(text), " ")
+        allowed = F.array_join(parse.allowed_features(parse.lines_of(text)), " ")
         body = F.replace(F.lit(template), F.lit("{allowed_features}"), F.when(allowed == "", "none").otherwise(allowed))
         return F.replace(body, F.lit("{summary}"), text)
 

@@ -97,11 +97,19 @@ def ordered_kappas(df: DataFrame, key: str, truth: str = "true_class", pred: str
 
 
 def sliding(df: DataFrame, key: str, values: dict[str, Column], width: int, ranges: int = 64) -> DataFrame:
-    """Means over the last ``width`` rows of the whole-table order, per row (``n`` is the row's position)."""
+    """Means over the last ``width`` rows of the whole-table order, per row (``n`` is the row's position).
+
+    Running sums of a tile minus those ``width`` rows earlier: the cost of a row does not depend on the width.
+    """
     numbered = row_numbers(df, key, "n", ranges)
-    tiled = overlap_tiles(numbered, F.col("n"), max(4 * width, 10_000), width - 1)
-    frame = Window.partitionBy("_tile").orderBy("n").rowsBetween(-(width - 1), 0)
-    return tiled.withColumns({k: F.avg(v).over(frame) for k, v in values.items()}).where("_own").drop("_tile", "_own")
+    tiled = overlap_tiles(numbered, F.col("n"), max(4 * width, 10_000), width)
+    w = Window.partitionBy("_tile").orderBy("n")
+    total = w.rowsBetween(Window.unboundedPreceding, 0)
+    tiled = tiled.withColumns({f"_r_{k}": F.sum(v).over(total) for k, v in values.items()})
+    tiled = tiled.withColumns({f"_b_{k}": F.coalesce(F.lag(f"_r_{k}", width).over(w), F.lit(0)) for k in values})
+    rows = F.least(F.col("n"), F.lit(width))
+    out = tiled.where("_own").withColumns({k: (F.col(f"_r_{k}") - F.col(f"_b_{k}")) / rows for k in values})
+    return out.drop("_tile", "_own", *[f"_{x}_{k}" for x in "rb" for k in values])
 
 
 def learning_curve(df: DataFrame, key: str, values: dict[str, Column], every: int, ranges: int = 64) -> DataFrame:

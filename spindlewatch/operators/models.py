@@ -120,25 +120,27 @@ def prequential_naive_bayes(df: DataFrame, key: str, klass: str, features: list[
     return naive_bayes_predict(numbered, models, klass, features, ["chunk"])
 
 
-def multinomial_bayes(docs: DataFrame, doc: str, text: str, klass: str) -> DataFrame:
+def multinomial_bayes(docs: DataFrame, doc: str, text: str, klass: str, max_classes: int = 1000) -> DataFrame:
     """Multinomial naive Bayes on word counts with Laplace smoothing: predicted class per document.
 
-    Words are counted per document before any shuffle of the vocabulary; the word table has one array over the few classes.
+    Words are counted per document first. The word table holds one log probability per class and word, so scoring multiplies no rows:
+    one join on the word and one sum per class.
     """
+    classes = [r[0] for r in docs.select(klass).distinct().orderBy(klass).limit(max_classes + 1).collect()]
+    if len(classes) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
+    k = range(len(classes))
     words = docs.select(doc, klass, F.explode(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")).alias("word")).where("word != ''")
     bag = words.groupBy(doc, klass, "word").agg(F.count(F.lit(1)).alias("c"))
-    table = bag.groupBy("word", klass).agg(F.sum("c").alias("c"))
-    totals = table.groupBy(klass).agg(F.sum("c").alias("t"))
-    prior = docs.groupBy(klass).agg(F.count(F.lit(1)).alias("p"))
-    vocab = table.select("word").distinct().agg(F.count(F.lit(1))).scalar()
-    classes = prior.join(totals, klass).agg(F.array_sort(F.collect_list(F.struct(klass, "p", "t")))).scalar()
-    per_word = table.groupBy("word").agg(F.collect_list(F.struct(klass, "c")).alias("w"))
-    hits = bag.join(per_word, "word").withColumns({"_k": classes, "_v": vocab})
-    seen = lambda k: F.coalesce(F.get(F.filter("w", lambda x: x[klass] == k[klass]), F.lit(0))["c"], F.lit(0))
-    gains = F.transform("_k", lambda k: F.struct(k[klass].alias("k"), (F.col("c") * F.log((seen(k) + 1.0) / (k.t + F.col("_v")))).alias("g")))
-    scored = hits.select(doc, klass, F.inline(gains)).groupBy(doc, klass, "k").agg(F.sum("g").alias("g"))
-    scored = scored.join(prior.select(F.col(klass).alias("k"), F.log("p").alias("lp")), "k")
-    return scored.groupBy(doc, klass).agg(F.max_by("k", F.struct(F.col("g") + F.col("lp"), F.col("k"))).alias("prediction"))
+    table = bag.groupBy("word").agg(*[F.sum(F.when(F.col(klass) == c, F.col("c")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(classes)])
+    sizes = table.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"c{i}").alias(f"t{i}") for i in k])
+    table = table.withColumn("_t", sizes.select(F.struct(*sizes.columns)).scalar())
+    table = table.select("word", *[F.log((F.col(f"c{i}") + 1.0) / (F.col(f"_t.t{i}") + F.col("_t.v"))).alias(f"lp{i}") for i in k])
+    prior = docs.agg(*[F.log(F.count_if(F.col(klass) == c).cast("double")).alias(f"p{i}") for i, c in enumerate(classes)])
+    scored = bag.join(table, "word").groupBy(doc, klass).agg(*[F.sum(F.col("c") * F.col(f"lp{i}")).alias(f"g{i}") for i in k])
+    scored = scored.withColumn("_p", prior.select(F.struct(*prior.columns)).scalar())
+    best = F.array_max(F.array(*[F.struct((F.col(f"g{i}") + F.col(f"_p.p{i}")).alias("g"), F.lit(c).alias("k")) for i, c in enumerate(classes)]))
+    return scored.select(doc, klass, best.k.alias("prediction"))
 
 
 # ---- MLlib learners -----------------------------------------------------------------------------------------------------------

@@ -28,6 +28,8 @@ def window_rows(daily: DataFrame, features: list[str], window_days: int = 30, di
     base = daily.select(*keep, F.array(*[safe_double(F.col(f), finite=True) for f in features]).alias("_vals"))
     base = base.withColumn("_d", F.unix_date(day))
     tiled = overlap_tiles(base, F.col("_d"), TILE_DAYS, window_days - 1)
+    # work per row is large for its bytes, so the number of partitions is stated rather than coalesced by size
+    tiled = tiled.repartition(int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions")), disk, "_tile")
     frame = Window.partitionBy(disk, "_tile").orderBy("_d").rangeBetween(-(window_days - 1), 0)
     out = tiled.withColumn("points", F.collect_list(F.struct(F.col("_d").alias("d"), F.col("_vals").alias("x"))).over(frame))
     out = out.where("_own").select(*keep, "_tile", "points")

@@ -63,8 +63,8 @@ def q_parse(spark, sf):
 
 
 def q_parse_summary(spark, sf):
-    df = stored_summaries(spark, sf).select("disk", "day", "summary_text")
-    t = F.col("summary_text")
+    df = stored_summaries(spark, sf).select("disk", "day", parse.lines_of(F.col("summary_text")).alias("lines"))
+    t = F.col("lines")
     scores, sig = parse.rule_scores(t), parse.group_signals(t)
     df = df.select("disk", "day", scores.alias("s"), sig.alias("g"), parse.anomaly_table(t).alias("tab"), parse.allowed_features(t).alias("al"),
                    parse.key_values(t, "TREND_DELTA:").alias("td"))
@@ -134,7 +134,7 @@ def q_cache_miss(spark, sf):
 
 
 def rule_top(spark, sf):
-    df = stored_summaries(spark, sf).where("n_rows > 2").select("disk", "day", parse.rule_scores(F.col("summary_text")).alias("s"))
+    df = stored_summaries(spark, sf).where("n_rows > 2").select("disk", "day", parse.rule_scores(parse.lines_of(F.col("summary_text"))).alias("s"))
     return df.select("disk", "day", parse.top_cause(F.col("s")).alias("rule_top"))
 
 
@@ -155,7 +155,7 @@ def q_variant_report(spark, sf):
 
 
 def q_temporal(spark, sf):
-    rules = stored_summaries(spark, sf).where("n_rows > 2").select("disk", "day", parse.rule_scores(F.col("summary_text")).alias("s"))
+    rules = stored_summaries(spark, sf).where("n_rows > 2").select("disk", "day", parse.rule_scores(parse.lines_of(F.col("summary_text"))).alias("s"))
     rules = rules.select("disk", "day", parse.top_cause(F.col("s"), "last_name").alias("rule_top"), parse.top_margin(F.col("s")).alias("rule_margin"))
     out = gate.temporal_dense(cache(spark, sf), rules)
     return out.select("disk", "day", *[r4(F.get("z", F.lit(i))).alias(f"z_{i}") for i in range(14)])
@@ -163,7 +163,8 @@ def q_temporal(spark, sf):
 
 def q_summary_check(spark, sf):
     df = stored_summaries(spark, sf).select("model", "summary_text").withColumn("summary_text", F.expr("if(length(summary_text) % 5 = 0, replace(summary_text, '|dir=', '|'), summary_text)"))
-    df = df.select("model", parse.missing_blocks(F.col("summary_text")).alias("b"), parse.malformed_rows(F.col("summary_text")).alias("m"))
+    df = df.withColumn("lines", parse.lines_of(F.col("summary_text")))
+    df = df.select("model", parse.missing_blocks(F.col("lines")).alias("b"), parse.malformed_rows(F.col("lines")).alias("m"))
     ok = (F.size("b") == 0) & (F.col("m") == 0)
     return df.groupBy("model").agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"),

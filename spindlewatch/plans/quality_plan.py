@@ -64,7 +64,7 @@ def q_missing(spark, sf):
 
 def windows_with_top(spark, sf):
     s = stored_summaries(spark, sf)
-    return s.select("model", "disk", "day", "n_rows", F.col("root_cause").alias("truth"), parse.top_cause(parse.rule_scores(F.col("summary_text"))).alias("rule_top"))
+    return s.select("model", "disk", "day", "n_rows", F.col("root_cause").alias("truth"), parse.top_cause(parse.rule_scores(parse.lines_of(F.col("summary_text")))).alias("rule_top"))
 
 
 def q_quality(spark, sf):
