@@ -5,27 +5,38 @@ row per range carries the totals of everything before it. Sliding row frames use
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
 
 
-def range_bounds(df: DataFrame, key: str, ranges: int = 64) -> list:
-    """At most ``ranges`` split points of a numeric order key, by approximate quantiles (a bounded driver value)."""
+def range_bounds(df: DataFrame, key: str, ranges: int | None = None) -> list:
+    """Split points of a numeric order key by approximate quantiles: a driver value of at most MAX_RANGES numbers.
+
+    Without a number, there are twice as many ranges as shuffle partitions, at least 64.
+    """
+    if ranges is None:
+        ranges = max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranges = min(ranges, MAX_RANGES)
     probs = [i / ranges for i in range(1, ranges)]
     row = df.select(F.percentile_approx(F.col(key), probs, ranges * 20).alias("b")).first()
     return sorted(set(row.b or []))
 
 
-def with_range(df: DataFrame, key: str, ranges: int = 64, name: str = "_range") -> DataFrame:
+def with_range(df: DataFrame, key: str, ranges: int | None = None, name: str = "_range") -> DataFrame:
+    """Adds the number of split points below the key, which is monotone in it. Two steps of about √n comparisons find it."""
     bounds = range_bounds(df, key, ranges)
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    arr = F.array(*[F.lit(b) for b in bounds])
-    # number of split points below the key: the range ids are monotone in the key
-    return df.withColumn(name, F.size(F.filter(arr, lambda b: b < F.col(key))))
+    size = math.isqrt(len(bounds) - 1) + 1
+    blocks = [bounds[i : i + size] for i in range(0, len(bounds), size)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
+    df = df.withColumn("_block", below(F.array(*[F.lit(b[0]) for b in blocks])) - 1)
+    inside = F.get(F.array(*[F.array(*[F.lit(b) for b in block]) for block in blocks]), F.col("_block"))
+    return df.withColumn(name, F.when(F.col("_block") < 0, 0).otherwise(F.col("_block") * size + below(inside))).drop("_block")
 
 
 def running(
@@ -34,7 +45,7 @@ def running(
     sums: dict[str, Column],
     within: list[str] = (),
     exclusive: bool = False,
-    ranges: int = 64,
+    ranges: int | None = None,
     tie: list[str] = (),
 ) -> DataFrame:
     """Adds running sums over the unique order ``key`` (ties broken by ``tie``), optionally per ``within`` group.
@@ -57,7 +68,7 @@ def running(
 
 
 def running_extremes(
-    df: DataFrame, key: str, measures: dict[str, tuple[str, Column]], within: list[str] = (), exclusive: bool = True, ranges: int = 64
+    df: DataFrame, key: str, measures: dict[str, tuple[str, Column]], within: list[str] = (), exclusive: bool = True, ranges: int | None = None
 ) -> DataFrame:
     """Like ``running`` for ``max``, ``min`` and ``last`` (the last non-null value); null while nothing was seen."""
     fold = {"max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
@@ -78,12 +89,12 @@ def running_extremes(
     return joined.select(*df.columns, *[pick[kind](f"_l_{n}", f"_o_{n}").alias(n) for n, (kind, _) in measures.items()])
 
 
-def row_numbers(df: DataFrame, key: str, name: str = "n", ranges: int = 64, tie: list[str] = ()) -> DataFrame:
+def row_numbers(df: DataFrame, key: str, name: str = "n", ranges: int | None = None, tie: list[str] = ()) -> DataFrame:
     """1-based position of every row in the whole-table order."""
     return running(df, key, {name: F.lit(1).cast("bigint")}, ranges=ranges, tie=tie)
 
 
-def previous(df: DataFrame, key: str, value: str, name: str, default=None, steps: int = 1, ranges: int = 64) -> DataFrame:
+def previous(df: DataFrame, key: str, value: str, name: str, default=None, steps: int = 1, ranges: int | None = None) -> DataFrame:
     """``lag`` over the whole-table order: numbers the rows, then tiles them with an overlap of ``steps``."""
     numbered = row_numbers(df, key, "_rn", ranges)
     tiled = overlap_tiles(numbered, F.col("_rn"), 50_000, steps)

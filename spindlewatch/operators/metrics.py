@@ -85,7 +85,7 @@ def run_summary(daily: DataFrame, by: list[str] = ()) -> DataFrame:
     return stage(out, {"f1": "try_divide(2.0D * precision * recall, precision + recall)"})
 
 
-def ordered_kappas(df: DataFrame, key: str, truth: str = "true_class", pred: str = "pred_class", ranges: int = 64) -> DataFrame:
+def ordered_kappas(df: DataFrame, key: str, truth: str = "true_class", pred: str = "pred_class", ranges: int | None = None) -> DataFrame:
     """Kappa against the last class seen and against the running majority class, over the whole-table order ``key``."""
     ones = (F.col(truth) == 1).cast("bigint")
     df = previous(df.select(key, truth, pred), key, truth, "_last", 0, ranges=ranges)
@@ -96,7 +96,7 @@ def ordered_kappas(df: DataFrame, key: str, truth: str = "true_class", pred: str
     return stage(out, {"kappa_temporal": "try_divide(p0 - pt, 1.0D - pt)", "kappa_m": "try_divide(p0 - pm, 1.0D - pm)"})
 
 
-def sliding(df: DataFrame, key: str, values: dict[str, Column], width: int, ranges: int = 64) -> DataFrame:
+def sliding(df: DataFrame, key: str, values: dict[str, Column], width: int, ranges: int | None = None) -> DataFrame:
     """Means over the last ``width`` rows of the whole-table order, per row (``n`` is the row's position).
 
     Running sums of a tile minus those ``width`` rows earlier: the cost of a row does not depend on the width.
@@ -112,7 +112,7 @@ def sliding(df: DataFrame, key: str, values: dict[str, Column], width: int, rang
     return out.drop("_tile", "_own", *[f"_{x}_{k}" for x in "rb" for k in values])
 
 
-def learning_curve(df: DataFrame, key: str, values: dict[str, Column], every: int, ranges: int = 64) -> DataFrame:
+def learning_curve(df: DataFrame, key: str, values: dict[str, Column], every: int, ranges: int | None = None) -> DataFrame:
     """Mean of everything so far at every ``every``-th row: rows are summed per checkpoint first, then accumulated."""
     numbered = row_numbers(df, key, "n", ranges).withColumn("checkpoint", (F.ceil(F.col("n") / F.lit(every)) * every).cast("bigint"))
     parts = numbered.groupBy("checkpoint").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{k}") for k, v in values.items()])
@@ -121,7 +121,7 @@ def learning_curve(df: DataFrame, key: str, values: dict[str, Column], every: in
     return full.select("checkpoint", *[(F.col(f"_r_{k}") / F.col("seen")).alias(k) for k in values])
 
 
-def decayed(df: DataFrame, key: str, values: dict[str, Column], decay: float, every: int, ranges: int = 64) -> DataFrame:
+def decayed(df: DataFrame, key: str, values: dict[str, Column], decay: float, every: int, ranges: int | None = None) -> DataFrame:
     """Exponentially decayed sums at every ``every``-th row: per value ``k`` Σ v·decay^(n-i), and their total weight.
 
     Each tile of ``every`` rows is folded on its own; a checkpoint adds the last tiles, as many as a double can still tell apart.
@@ -142,19 +142,19 @@ def decayed(df: DataFrame, key: str, values: dict[str, Column], decay: float, ev
     return stage(folded.select("tile", *[f"_p_{k}" for k in sums]), {k: total(k) for k in sums}).select((F.col("tile") * every).alias("checkpoint"), *sums)
 
 
-def fading(df: DataFrame, key: str, values: dict[str, Column], alpha: float = 0.999, every: int = 1000, ranges: int = 64) -> DataFrame:
+def fading(df: DataFrame, key: str, values: dict[str, Column], alpha: float = 0.999, every: int = 1000, ranges: int | None = None) -> DataFrame:
     """Fading-factor means: e = alpha·e + v, b = alpha·b + 1, value e/b."""
     out = decayed(df, key, values, alpha, every, ranges)
     return out.select("checkpoint", *[(F.col(k) / F.col("weight")).alias(k) for k in values])
 
 
-def ewma(df: DataFrame, key: str, values: dict[str, Column], alpha: float = 0.01, every: int = 1000, ranges: int = 64) -> DataFrame:
+def ewma(df: DataFrame, key: str, values: dict[str, Column], alpha: float = 0.01, every: int = 1000, ranges: int | None = None) -> DataFrame:
     """Exponentially weighted means: e += alpha·(v - e), from 0."""
     out = decayed(df, key, values, 1.0 - alpha, every, ranges)
     return out.select("checkpoint", *[(F.col(k) * alpha).alias(k) for k in values])
 
 
-def auc(df: DataFrame, score: str, truth: str, by: list[str] = (), ranges: int = 64) -> DataFrame:
+def auc(df: DataFrame, score: str, truth: str, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """AUC, scored AUC, G-mean, recall and class ratio; 1 for both areas when a class is empty.
 
     Rows are first combined per distinct score, so a score shared by many rows is one row of the ordered pass.
@@ -188,7 +188,7 @@ def imbalance_metrics(counts: DataFrame) -> DataFrame:
     return stage(counts, {"gmean": "sqrt(try_divide(tp, tp + fn) * try_divide(tn, tn + fp))", "recall": "try_divide(tp, tp + fn)"})
 
 
-def regression(df: DataFrame, truth: str, pred: str, key: str, label_window: int = 20, by: list[str] = (), ranges: int = 64) -> DataFrame:
+def regression(df: DataFrame, truth: str, pred: str, key: str, label_window: int = 20, by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Absolute, squared and relative errors; the relative ones compare with the running mean of the targets seen before."""
     y, p = F.col(truth), F.col(pred)
     df = running(df, key, {"_sum": y, "_seen": F.lit(1).cast("bigint")}, within=list(by), exclusive=True, ranges=ranges)

@@ -240,7 +240,7 @@ def factor_ratings(ratings: DataFrame, rank: int = 10, iterations: int = 5, seed
     return model.transform(ratings)
 
 
-def running_rmse(df: DataFrame, key: str, truth: str, pred: str, ranges: int = 64) -> DataFrame:
+def running_rmse(df: DataFrame, key: str, truth: str, pred: str, ranges: int | None = None) -> DataFrame:
     e = F.col(truth) - F.col(pred)
     df = running(df, key, {"_s": e * e, "_n": F.lit(1).cast("bigint")}, ranges=ranges)
     return df.withColumn("rmse", F.sqrt(F.col("_s") / F.col("_n"))).drop("_s", "_n")

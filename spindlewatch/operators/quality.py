@@ -96,7 +96,7 @@ def missing_features(present: DataFrame, parent: DataFrame, keys: list[str]) ->
     return present.select(*keys).distinct().join(parent.select(keys[-1]).distinct(), keys[-1], "left_anti")
 
 
-def nearest_rank(df: DataFrame, value: str, by: list[str], probs: dict[str, float], ranges: int = 64) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, by: list[str], probs: dict[str, float], ranges: int | None = None) -> DataFrame:
     """Exact nearest-rank quantiles at round((n-1)·p) with ties to even.
 
     Equal values are one row with a count, and running counts find the value that covers each rank.

@@ -55,7 +55,7 @@ def partition(df: DataFrame, keys: list[str], parts: int, seed: int = 1) -> Data
     return df.withColumn("part", F.floor(uniform(keys, seed) * parts).cast("int"))
 
 
-def add_noise(df: DataFrame, key: str, value: str, fraction: float, seed: int = 1, ranges: int = 64) -> DataFrame:
+def add_noise(df: DataFrame, key: str, value: str, fraction: float, seed: int = 1, ranges: int | None = None) -> DataFrame:
     """Gaussian noise of ``fraction`` times the standard deviation of the values seen so far in the order ``key``."""
     x = F.col(value)
     df = running(df, key, {"_s": x, "_q": x * x, "_c": F.lit(1).cast("bigint")}, ranges=ranges)
@@ -148,7 +148,7 @@ def uncertain(df: DataFrame, posterior: str, threshold: float) -> DataFrame:
     return stage(df, {"queried": f"coalesce(try_divide(array_max({posterior}), {share}), 0.0D) < {threshold!r}D"})
 
 
-def budget_spent(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+def budget_spent(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """Share of queried rows up to and including each row."""
     df = running(df, key, {"_q": F.col("queried").cast("bigint"), "_n": F.lit(1).cast("bigint")}, ranges=ranges)
     return df.withColumn("spent", F.col("_q") / F.col("_n")).drop("_q", "_n")

@@ -18,7 +18,7 @@ def no_change(df: DataFrame, key: str, label: str, default: int = 0) -> DataFram
     return previous(df, key, label, "prediction", default)
 
 
-def impute_numeric(df: DataFrame, key: str, column: str, strategy: str, constant: float = 0.0, ranges: int = 64) -> DataFrame:
+def impute_numeric(df: DataFrame, key: str, column: str, strategy: str, constant: float = 0.0, ranges: int | None = None) -> DataFrame:
     """Replaces nulls by what the rows before say: ``last``, ``mean``, ``max``, ``min`` (all starting from 0) or ``constant``."""
     x = F.col(column)
     if strategy == "constant":
@@ -32,7 +32,7 @@ def impute_numeric(df: DataFrame, key: str, column: str, strategy: str, constant
     return df.withColumn(column, F.coalesce(x, value)).drop("_v")
 
 
-def impute_nominal(df: DataFrame, key: str, column: str, strategy: str, values: list[str] = (), ranges: int = 64) -> DataFrame:
+def impute_nominal(df: DataFrame, key: str, column: str, strategy: str, values: list[str] = (), ranges: int | None = None) -> DataFrame:
     """Replaces nulls by the last value or the most frequent one so far (of the known ``values``; the first on ties)."""
     x = F.col(column)
     if strategy == "last":
@@ -44,7 +44,7 @@ def impute_nominal(df: DataFrame, key: str, column: str, strategy: str, values:
     return df.withColumn(column, F.coalesce(x, F.when(best.n > 0, best.v))).drop(*counts)
 
 
-def source_weight(df: DataFrame, key: str, error: Column, w: float, ranges: int = 64) -> DataFrame:
+def source_weight(df: DataFrame, key: str, error: Column, w: float, ranges: int | None = None) -> DataFrame:
     """Weight of the source model: w to the number of its errors before the row."""
     df = running(df, key, {"_e": error.cast("bigint")}, exclusive=True, ranges=ranges)
     return df.withColumn("theta", F.pow(F.lit(w), F.col("_e"))).drop("_e")

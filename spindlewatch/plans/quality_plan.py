@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spindlewatch.functions import parse
 from spindlewatch.functions.names import ROOT_CAUSES, infer_medium, infer_vendor, mask_disk_id, model_key, model_key_joined
 from spindlewatch.functions.scalars import r4
-from spindlewatch.operators import answers, quality, sampling, sequences
+from spindlewatch.operators import answers, quality, rulebook, sampling, sequences
 from spindlewatch.operators.windows import stage
 from spindlewatch.plans.answers_plan import CACHE_SQL, RULES, cache, normalized
 from spindlewatch.plans.bridge import FEATURES, daily, daily_sql, table
@@ -33,6 +33,16 @@ def q_contract(spark, sf):
     return out.select("model", r4(F.col("used_threshold")).alias("used_threshold"), "mode", F.array_join("features", ",").alias("features"))
 
 
+def q_layers(spark, sf):
+    """Rule layers per sensor, the more specific one winning field by field: all models, HDD models, one model."""
+    s = contract_stats(spark, sf)
+    base = s.groupBy("feature").agg(F.round(F.max("ratio"), 2).alias("weight"), F.lit("unknown").alias("group"), F.lit(3).alias("min_points"))
+    medium = s.where("model != 'mc1' AND ratio < 0.85").groupBy("feature").agg(F.round(F.min("ratio"), 2).alias("weight"), F.lit("hdd").alias("group"))
+    model = s.where("model = 'hi7' AND variance > 100").select("feature", F.lit(None).cast("double").alias("weight"), F.lit("hi7").alias("group"), F.lit(5).alias("min_points"))
+    out = rulebook.merge_layers([base, medium, model])
+    return out.select("feature", r4(F.col("weight")).alias("weight"), "group", F.col("min_points").cast("bigint").alias("min_points"))
+
+
 def q_spelling(spark, sf):
     ev = table(spark, sf, "events").select(F.when(F.col("user_id") % 3 == 0, F.upper("event_type")).when(F.col("user_id") % 3 == 1, F.concat(F.lit(" "), "event_type")).otherwise(F.col("event_type")).alias("model"))
     return quality.common_spelling(ev)
@@ -189,8 +199,9 @@ def q_no_change(spark, sf):
 
 def _q_impute(strategy):
     def q(spark, sf):
-        ev = table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("value") - 20).alias("value"))
-        return sequences.impute_numeric(ev, "event_id", "value", strategy).select("event_id", F.floor(F.col("value") * 100 + F.lit(0.5)).cast("bigint").alias("cents"))
+        ev = table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.round(F.col("value") * 100) - 2000).alias("cents"))
+        # whole cents keep running sums exact in any order
+        return sequences.impute_numeric(ev, "event_id", "cents", strategy).select("event_id", r4(F.col("cents")).alias("cents"))
 
     return q
 
@@ -218,7 +229,7 @@ _LOOSE_SQL = (
 )
 _POIS = lambda u, lam: f"(WITH RECURSIVE p(i,t,s) AS (SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i+1, t*({lam})/(i+1), s+t*({lam})/(i+1) FROM p WHERE i<99 AND s<={u}*exp({lam})) SELECT max(i) FROM p)"
 _TRANS = f"oc AS (WITH {CACHE_SQL} SELECT disk, day, rc, cf, rk FROM cz), nc AS (WITH {_LOOSE_SQL} SELECT disk, day, rc, cf, rk FROM cz), tn AS (SELECT o.disk, o.day, o.rc||'->'||n.rc AS transition, o.cf AS ocf, n.cf AS ncf, o.rk AS ork, n.rk AS nrk FROM oc o JOIN nc n USING (disk, day))"
-_IMP = "im AS (SELECT event_id, CASE WHEN user_id%3<>0 THEN value-20 END AS v FROM events)"
+_IMP = "im AS (SELECT event_id, CASE WHEN user_id%3<>0 THEN round(value*100)-2000 END AS v FROM events)"
 _pw = "ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _cents = lambda e: f"floor(({e})*100+0.5::DOUBLE)::BIGINT AS cents"
 _EKEY = "CASE user_id%3 WHEN 0 THEN upper(event_type) WHEN 1 THEN ' '||event_type ELSE event_type END"
@@ -226,6 +237,7 @@ _EKEY = "CASE user_id%3 WHEN 0 THEN upper(event_type) WHEN 1 THEN ' '||event_typ
 QUERIES = {
     "feature_contract_stats": q_contract_stats,
     "feature_contract_choice": q_contract,
+    "rule_profile_layers": q_layers,
     "model_common_spelling": q_spelling,
     "model_names": q_names,
     "model_suffix_match": q_suffix,
@@ -269,6 +281,8 @@ ORACLE = {
       rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ratio DESC, variance DESC, pos) AS r FROM cs)
       SELECT us.model, round(coalesce(t,0.0::DOUBLE),4)+0.0::DOUBLE AS used_threshold, CASE WHEN t IS NULL THEN 'topk_backstop' ELSE 'threshold' END AS mode,
       string_agg(feature,',' ORDER BY pos) FILTER (CASE WHEN t IS NOT NULL THEN ratio>=t AND variance>=1.0 ELSE r<=4 AND ratio>0 END) AS features FROM us JOIN rk ON rk.model=us.model GROUP BY us.model, t""",
+    "rule_profile_layers": f"""WITH {_CS}, b AS (SELECT feature, round(max(ratio),2) AS w FROM cs GROUP BY 1), m AS (SELECT feature, round(min(ratio),2) AS w FROM cs WHERE model<>'mc1' AND ratio<0.85 GROUP BY 1), h AS (SELECT feature FROM cs WHERE model='hi7' AND variance>100)
+      SELECT b.feature, {_R('coalesce(m.w,b.w)', 'weight')}, CASE WHEN h.feature IS NOT NULL THEN 'hi7' WHEN m.feature IS NOT NULL THEN 'hdd' ELSE 'unknown' END AS "group", CASE WHEN h.feature IS NOT NULL THEN 5 ELSE 3 END::BIGINT AS min_points FROM b LEFT JOIN m USING (feature) LEFT JOIN h ON h.feature=b.feature""",
     "model_common_spelling": f"WITH c AS (SELECT {_EKEY} AS model, count(*) AS n FROM events GROUP BY 1) SELECT trim(lower(model)) AS key, sum(n)::BIGINT AS rows, arg_min(model,(-n,model)) AS model FROM c GROUP BY 1",
     "model_names": f"""WITH {daily_sql()} SELECT DISTINCT disk, model, 'AAAA_'||regexp_replace(substr(disk,6),'[0-9]','N','g') AS masked, regexp_replace(lower(model),'[^a-z0-9]','','g') AS key, replace(lower(model),' ','_') AS key_joined,
       CASE model WHEN 'mc1' THEN 'ssd' ELSE 'hdd' END AS medium, CASE model WHEN 'mc1' THEN 'alibaba' WHEN 'WDC WD30EFRX' THEN 'wd' WHEN 'ST3000DM001' THEN 'seagate' ELSE 'generic' END AS vendor FROM daily""",
@@ -315,11 +329,11 @@ ORACLE = {
     "active_budget_spent": f"SELECT event_id, {_R('avg((value<5)::INT) OVER (ORDER BY event_id)', 'spent')} FROM events",
     "lagged_labels": f"WITH {daily_sql()} SELECT disk, day, lag(failure,1) OVER w::BIGINT AS lag1, lag(failure,2) OVER w::BIGINT AS lag2 FROM daily WINDOW w AS (PARTITION BY disk ORDER BY day)",
     "no_change_prediction": "SELECT event_id, coalesce(lag((event_type='click')::INT) OVER (ORDER BY event_id),0)::BIGINT AS prediction FROM events",
-    "impute_last": f"WITH {_IMP} SELECT event_id, {_cents(f'coalesce(v,last_value(v IGNORE NULLS) OVER ({_pw}),0)')} FROM im",
-    "impute_mean": f"WITH {_IMP} SELECT event_id, {_cents(f'coalesce(v,avg(v) OVER ({_pw}),0)')} FROM im",
-    "impute_max": f"WITH {_IMP} SELECT event_id, {_cents(f'coalesce(v,greatest(max(v) OVER ({_pw}),0))')} FROM im",
-    "impute_min": f"WITH {_IMP} SELECT event_id, {_cents(f'coalesce(v,least(min(v) OVER ({_pw}),0))')} FROM im",
-    "impute_constant": f"WITH {_IMP} SELECT event_id, {_cents('coalesce(v,0)')} FROM im",
+    "impute_last": f"WITH {_IMP} SELECT event_id, {_R(f'coalesce(v,last_value(v IGNORE NULLS) OVER ({_pw}),0)', 'cents')} FROM im",
+    "impute_mean": f"WITH {_IMP} SELECT event_id, {_R(f'coalesce(v,sum(v) OVER ({_pw})/count(v) OVER ({_pw}),0)', 'cents')} FROM im",
+    "impute_max": f"WITH {_IMP} SELECT event_id, {_R(f'coalesce(v,greatest(max(v) OVER ({_pw}),0))', 'cents')} FROM im",
+    "impute_min": f"WITH {_IMP} SELECT event_id, {_R(f'coalesce(v,least(min(v) OVER ({_pw}),0))', 'cents')} FROM im",
+    "impute_constant": f"WITH {_IMP} SELECT event_id, {_R('coalesce(v,0)', 'cents')} FROM im",
     "impute_nominal_last": f"WITH n AS (SELECT event_id, CASE WHEN user_id%3<>0 THEN event_type END AS k FROM events) SELECT event_id, coalesce(k,last_value(k IGNORE NULLS) OVER ({_pw})) AS kind FROM n",
     "impute_nominal_mode": f"""WITH n AS (SELECT event_id, CASE WHEN user_id%3<>0 THEN event_type END AS k FROM events), c AS (SELECT event_id, k, {', '.join(f"coalesce(count(*) FILTER (k='{v}') OVER ({_pw}),0) AS c_{v}" for v in ('click', 'error', 'purchase', 'signup', 'view'))} FROM n)
       SELECT event_id, coalesce(k, CASE WHEN m=0 THEN NULL WHEN c_click=m THEN 'click' WHEN c_error=m THEN 'error' WHEN c_purchase=m THEN 'purchase' WHEN c_signup=m THEN 'signup' ELSE 'view' END) AS kind FROM (SELECT *, greatest(c_click,c_error,c_purchase,c_signup,c_view) AS m FROM c)""",

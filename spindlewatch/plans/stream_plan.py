@@ -333,6 +333,23 @@ _EWMA = _fold(
      "(3.97::DOUBLE-6.56::DOUBLE*p+48.73::DOUBLE*pow(p,3)-330.13::DOUBLE*pow(p,5)+848.18::DOUBLE*pow(p,7))*sd AS lim", "n+1>30 AND z>p+lim AS c", "n+1>=30 AND NOT c AND z>p+0.5::DOUBLE*lim AS w"],
     f"{_S(n='n', t='t', z='z')}, p, w, c",
 )
+_EDDM = _fold(
+    _S(rows="0::BIGINT", n=f"0.0{_D}", mean=f"0.0{_D}", sp=f"0.0{_D}", pk=f"0.0{_D}", last="0::BIGINT", w="false"),
+    ["s.rows+1 AS rows", "x=1 AS hit", "CASE WHEN hit THEN rows-s.last END AS gap", "CASE WHEN hit THEN s.n+1 ELSE s.n END AS n", "CASE WHEN hit THEN s.mean+(gap-s.mean)/n ELSE s.mean END AS mean",
+     "CASE WHEN hit THEN s.sp+(gap-mean)*(gap-s.mean) ELSE s.sp END AS sp", "CASE WHEN hit THEN mean+2*sqrt(sp/n) END AS lv", "CASE WHEN hit AND lv>s.pk AND rows+1>30 THEN lv ELSE s.pk END AS pk", "CASE WHEN hit THEN rows ELSE s.last END AS last",
+     "coalesce(hit AND lv<=s.pk AND rows+1>30 AND n>30 AND s.pk>0 AND lv/nullif(s.pk,0)<0.9::DOUBLE,false) AS c", "coalesce(CASE WHEN hit THEN NOT c AND lv<=s.pk AND rows+1>30 AND n>30 AND s.pk>0 AND lv/nullif(s.pk,0)<0.95::DOUBLE ELSE s.w END,false) AS w"],
+    f"{_S(rows='rows', n='n', mean='mean', sp='sp', pk='pk', last='last', w='w')}, mean, w, c",
+).replace("CASE WHEN r.chg THEN {'rows':0::BIGINT,'n':0.0::DOUBLE,'mean':0.0::DOUBLE,'sp':0.0::DOUBLE,'pk':0.0::DOUBLE,'last':0::BIGINT,'w':false}", "CASE WHEN r.chg THEN {'rows':0::BIGINT,'n':0.0::DOUBLE,'mean':0.0::DOUBLE,'sp':0.0::DOUBLE,'pk':0.0::DOUBLE,'last':0::BIGINT,'w':r.warn}")
+_apart = lambda k, conf: f"sqrt((n-{k})/(2*{k}*n)*ln(2/{conf}::DOUBLE))"
+_wd = lambda k: f"sqrt(ln(1/0.001::DOUBLE)/(2*{k}))"
+_HDDMA = _fold(
+    _S(n=f"0.0{_D}", c=f"0.0{_D}", ln=f"0.0{_D}", lc=f"0.0{_D}", hn=f"0.0{_D}", hc=f"0.0{_D}"),
+    ["s.n+1 AS n", "s.c+x AS c", "c/n AS m", "CASE WHEN s.ln=0 THEN n ELSE s.ln END AS ln0", "CASE WHEN s.ln=0 THEN c ELSE s.lc END AS lc0", "CASE WHEN s.hn=0 THEN n ELSE s.hn END AS hn0", "CASE WHEN s.hn=0 THEN c ELSE s.hc END AS hc0",
+     f"lc0/ln0+{_wd('ln0')}>=m+{_wd('n')} AS lo", f"hc0/hn0-{_wd('hn0')}<=m-{_wd('n')} AS hi", "CASE WHEN lo THEN n ELSE ln0 END AS ln", "CASE WHEN lo THEN c ELSE lc0 END AS lc", "CASE WHEN hi THEN n ELSE hn0 END AS hn", "CASE WHEN hi THEN c ELSE hc0 END AS hc",
+     f"ln<n AND m-lc/ln>={_apart('ln', 0.001)} AS ch", f"NOT ch AND ln<n AND m-lc/ln>={_apart('ln', 0.005)} AS w", f"NOT ch AND hn<n AND hc/hn-m>={_apart('hn', 0.001)} AS dn"],
+    f"CASE WHEN dn THEN {_S(n=f'0.0{_D}', c=f'0.0{_D}', ln=f'0.0{_D}', lc=f'0.0{_D}', hn=f'0.0{_D}', hc=f'0.0{_D}')} ELSE {_S(n='n', c='c', ln='ln', lc='lc', hn='hn', hc='hc')} END, m, w, ch",
+)
+_CUSUM = _sum_fold("greatest(0.0::DOUBLE,s.t+x-mean-0.005::DOUBLE)", 3.0)
 _PT = "pt AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label AS class FROM embeddings)"
 _AS = f"""{_PT}, ce AS (SELECT class AS id, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM pt GROUP BY class),
 asg AS (SELECT p.*, c.id AS cluster, (x-cx)*(x-cx)+(y-cy)*(y-cy) AS d2 FROM pt p, ce c QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY (x-cx)*(x-cx)+(y-cy)*(y-cy), c.id)=1)"""
@@ -428,7 +445,15 @@ ORACLE = {
     "drift_ddm": _DDM,
     "drift_ewma": _EWMA,
     "drift_page_hinkley": _sum_fold("(1-0.0001::DOUBLE)*s.t+(x-mean-0.005::DOUBLE)", 3.0),
-    "drift_cusum": _sum_fold("greatest(0.0::DOUBLE,s.t+x-mean-0.005::DOUBLE)", 3.0),
+    "drift_cusum": _CUSUM,
+    "drift_eddm": _EDDM,
+    "drift_hddm_a": _HDDMA,
+    "drift_segments": f"""WITH d AS MATERIALIZED ({_CUSUM}), s AS (SELECT d.model_no, d.event_id, coalesce(sum(change::INT) OVER (PARTITION BY d.model_no ORDER BY d.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS segment FROM d)
+      SELECT s.model_no, segment, count(*) AS n, {_R("avg((event_type='error')::INT)", 'error_rate')} FROM s JOIN events USING (event_id) GROUP BY ALL""",
+    "drift_evaluation": f"""WITH d0 AS MATERIALIZED ({_CUSUM}), d AS (SELECT *, event_id%1000=500 AS tc FROM d0), g AS (SELECT *, coalesce(sum(tc::INT) OVER (PARTITION BY model_no ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS seg FROM d),
+      a AS (SELECT model_no, seg, count(*) AS r, count(*) FILTER (change) AS det, count(*) FILTER (tc) AS tr, min(event_id) AS f, min(event_id) FILTER (change) AS h, min(event_id) FILTER (warning) AS w FROM g GROUP BY ALL)
+      SELECT model_no, sum(r)::BIGINT AS instances, sum(det)::BIGINT AS detected, count(*) FILTER (seg>0 AND w IS NOT NULL AND (h IS NULL OR w<=h)) AS warned_changes, sum(tr)::BIGINT AS true_changes, count(*) FILTER (seg>0 AND h IS NOT NULL) AS found_changes,
+      round(coalesce(coalesce(sum(h-f+1) FILTER (seg>0 AND h IS NOT NULL),0)/nullif(sum(tr)::DOUBLE,0),0.0::DOUBLE),4)+0.0::DOUBLE AS mean_delay FROM a GROUP BY model_no""",
     "drift_gma": _sum_fold("0.99::DOUBLE*s.t+(1.0::DOUBLE-0.99::DOUBLE)*(x-mean)", 0.02),
     "distance_outliers": f"""WITH {_PT}, p AS (SELECT *, vec_id//200 AS tile FROM pt), c AS (SELECT a.tile, a.vec_id, count(*) AS n FROM p a JOIN p b ON a.tile=b.tile AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=0.05::DOUBLE*0.05::DOUBLE GROUP BY ALL)
       SELECT tile, vec_id, n<6 AS outlier FROM c""",
