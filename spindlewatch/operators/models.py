@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spindlewatch.functions.ordered import overlap_tiles, row_numbers, running
 from spindlewatch.operators.windows import stage
+from spindlewatch.session import cut_lineage
 
 # ---- estimators ---------------------------------------------------------------------------------------------------------------
 
@@ -104,20 +105,70 @@ def naive_bayes_predict(df: DataFrame, stats: DataFrame, klass: str, features: l
     return df.withColumns({name: best.k, f"{name}_score": best.s}).drop("_model")
 
 
+def _models_before(per_chunk: DataFrame, klass: str, sums: list[str], by: list[str], delay_chunks: int) -> DataFrame:
+    """Model of every chunk from statistics per (chunk, class, by): running sums over the chunks before it.
+
+    The table has one row per chunk, class and ``by``; combinations without rows are filled with zeros.
+    """
+    classes = per_chunk.agg(F.collect_set(klass)).scalar()
+    keys = per_chunk.select("chunk", *by).distinct().withColumn("_k", classes).select("chunk", *by, F.explode("_k").alias(klass))
+    filled = keys.join(per_chunk, ["chunk", *by, klass], "left").fillna(0, sums)
+    w = Window.partitionBy(*by, klass).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1 - delay_chunks)
+    return filled.select("chunk", *by, klass, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums]).where("rows > 0")
+
+
+def _chunked(df: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+    return row_numbers(df, key, "n").withColumn("chunk", F.floor((F.col("n") - 1) / F.lit(chunk_rows)).cast("bigint"))
+
+
 def prequential_naive_bayes(df: DataFrame, key: str, klass: str, features: list[str], chunk_rows: int, delay_chunks: int = 0) -> DataFrame:
     """Test-then-train by chunks without a loop: chunk t is scored by the statistics of the chunks before t - delay.
 
     Statistics are additive, so the model of every chunk is a running sum over the small table of chunk statistics.
     """
-    numbered = row_numbers(df, key, "n").withColumn("chunk", F.floor((F.col("n") - 1) / F.lit(chunk_rows)).cast("bigint"))
+    numbered = _chunked(df, key, chunk_rows)
     per_chunk = naive_bayes_fit(numbered, klass, features, ["chunk"])
     sums = [c for c in per_chunk.columns if c not in ("chunk", klass)]
-    chunks, classes = per_chunk.select("chunk").distinct(), per_chunk.select(klass).distinct()
-    grid = chunks.withColumn("_k", classes.agg(F.collect_set(klass)).scalar()).select("chunk", F.explode("_k").alias(klass))
-    filled = grid.join(per_chunk, ["chunk", klass], "left").fillna(0, sums)
-    w = Window.partitionBy(klass).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1 - delay_chunks)
-    models = filled.select("chunk", klass, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums]).where("rows > 0")
-    return naive_bayes_predict(numbered, models, klass, features, ["chunk"])
+    return naive_bayes_predict(numbered, _models_before(per_chunk, klass, sums, [], delay_chunks), klass, features, ["chunk"])
+
+
+def prequential_folds(
+    df: DataFrame, key: str, klass: str, features: list[str], chunk_rows: int, folds: int, mode: str = "cv", delay_chunks: int = 0, seed: int = 1
+) -> DataFrame:
+    """Prequential validation with ``folds`` models; adds ``fold`` and its prediction.
+
+    ``cv``: a row tests the model of its fold and trains all others. ``split``: it tests all others and trains its own. ``bootstrap``: it
+    tests every model and trains each Poisson(1) times.
+    """
+    from spindlewatch.operators.sampling import poisson_sql, uniform
+
+    numbered = cut_lineage(_chunked(df, key, chunk_rows))  # read by training and testing
+    every = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
+    mine = numbered.withColumn("_f", F.floor(uniform([key], seed) * folds).cast("int"))
+    if mode == "bootstrap":
+        trains = mine.withColumn("fold", every).withColumn("_u", uniform([key, "fold"], seed))
+        trains = stage(trains, {"_c": poisson_sql("_u", "1.0D")}).where("_c > 0")
+        trains, tests = stage(trains, {"_x": "explode(sequence(1, _c))"}), mine.withColumn("fold", every)
+    else:
+        own, others = F.col("fold") == F.col("_f"), F.col("fold") != F.col("_f")
+        spread = mine.withColumn("fold", every)
+        trains, tests = spread.where(others if mode == "cv" else own), spread.where(own if mode == "cv" else others)
+    per_chunk = naive_bayes_fit(trains, klass, features, ["chunk", "fold"])
+    sums = [c for c in per_chunk.columns if c not in ("chunk", "fold", klass)]
+    models = _models_before(per_chunk, klass, sums, ["fold"], delay_chunks)
+    return naive_bayes_predict(tests.drop("_f"), models, klass, features, ["chunk", "fold"])
+
+
+def periodic_holdout(df: DataFrame, key: str, klass: str, features: list[str], test_rows: int, chunk_rows: int) -> DataFrame:
+    """The first ``test_rows`` rows are held out; after every chunk of the rest the model so far scores them (``chunk`` = chunks trained)."""
+    numbered = row_numbers(df, key, "n")
+    rest = numbered.where(F.col("n") > test_rows).withColumn("chunk", F.floor((F.col("n") - test_rows - 1) / F.lit(chunk_rows)).cast("bigint"))
+    per_chunk = naive_bayes_fit(rest, klass, features, ["chunk"])
+    sums = [c for c in per_chunk.columns if c not in ("chunk", klass)]
+    upto = _models_before(per_chunk.withColumn("chunk", F.col("chunk") + 1), klass, sums, [], -1)
+    last = rest.agg(F.max("chunk")).scalar()
+    tests = numbered.where(F.col("n") <= test_rows).withColumn("chunk", F.explode(F.sequence(F.lit(1).cast("bigint"), last + 1)))
+    return naive_bayes_predict(tests, upto, klass, features, ["chunk"])
 
 
 def multinomial_bayes(docs: DataFrame, doc: str, text: str, klass: str, max_classes: int = 1000) -> DataFrame:

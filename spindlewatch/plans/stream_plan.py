@@ -205,6 +205,30 @@ def q_preq_bayes(delay):
     return q
 
 
+def scored_events(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value", "user_id")
+    return ev.select("event_id", (F.col("event_type") == "error").cast("int").alias("klass"), "value", (F.col("user_id") % 7).cast("double").alias("u"))
+
+
+def q_preq_cv(mode):
+    def q(spark, sf):
+        out = models.prequential_folds(scored_events(spark, sf), "event_id", "klass", ["value", "u"], 250, 4, mode)
+        return out.groupBy("fold", "chunk").agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("scored"), r4(F.avg("prediction_score")).alias("mean_score"))
+
+    return q
+
+
+def q_holdout(spark, sf):
+    out = models.periodic_holdout(scored_events(spark, sf), "event_id", "klass", ["value", "u"], 200, 250)
+    return out.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), r4(F.avg((F.col("prediction") == F.col("klass")).cast("double"))).alias("accuracy"), r4(F.avg("prediction_score")).alias("mean_score"))
+
+
+def q_active_windowed(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", (F.col("value") < 5).cast("double").alias("q"), ((F.col("event_type") == "error") == (F.col("value") > 30)).cast("double").alias("hit"))
+    out = metrics.sliding(ev, "event_id", {"accuracy": F.col("hit"), "label_cost": F.col("q")}, 300)
+    return out.select("n", r4(F.col("accuracy")).alias("accuracy"), r4(F.col("label_cost")).alias("label_cost"))
+
+
 def q_multinomial(spark, sf):
     out = models.multinomial_bayes(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
     return out.groupBy("lang", "prediction").agg(F.count(F.lit(1)).alias("n"))
@@ -349,6 +373,14 @@ _HDDMA = _fold(
      f"ln<n AND m-lc/ln>={_apart('ln', 0.001)} AS ch", f"NOT ch AND ln<n AND m-lc/ln>={_apart('ln', 0.005)} AS w", f"NOT ch AND hn<n AND hc/hn-m>={_apart('hn', 0.001)} AS dn"],
     f"CASE WHEN dn THEN {_S(n=f'0.0{_D}', c=f'0.0{_D}', ln=f'0.0{_D}', lc=f'0.0{_D}', hn=f'0.0{_D}', hc=f'0.0{_D}')} ELSE {_S(n='n', c='c', ln='ln', lc='lc', hn='hn', hc='hc')} END, m, w, ch",
 )
+_bl = lambda m, q, a, b: [f"CASE WHEN {m}<0 THEN x ELSE 0.05::DOUBLE*x+0.95::DOUBLE*{m} END AS {a}", f"CASE WHEN {m}<0 THEN 1.0::DOUBLE ELSE 0.05::DOUBLE*0.05::DOUBLE+0.95::DOUBLE*0.95::DOUBLE*{q} END AS {b}"]
+_HDDMW = _fold(
+    _S(tm=f"-1.0{_D}", ts=f"0.0{_D}", ed=f"1e300{_D}", am=f"-1.0{_D}", asq=f"0.0{_D}", bm=f"-1.0{_D}", bs=f"0.0{_D}"),
+    [*_bl("s.tm", "s.ts", "tm", "ts"), "tm+sqrt(ts*ln(1/0.001::DOUBLE)/2) AS e", "e<s.ed AS b", "CASE WHEN b THEN e ELSE s.ed END AS ed", "CASE WHEN b THEN tm ELSE s.am END AS am", "CASE WHEN b THEN ts ELSE s.asq END AS asq",
+     *_bl("s.bm", "s.bs", "b0", "b1"), "CASE WHEN b THEN -1.0::DOUBLE ELSE b0 END AS bm", "CASE WHEN b THEN 0.0::DOUBLE ELSE b1 END AS bs",
+     "am>=0 AND bm>=0 AND bm-am>sqrt((asq+bs)*ln(1/0.001::DOUBLE)/2) AS ch", "NOT ch AND am>=0 AND bm>=0 AND bm-am>sqrt((asq+bs)*ln(1/0.005::DOUBLE)/2) AS w"],
+    f"{_S(tm='tm', ts='ts', ed='ed', am='am', asq='asq', bm='bm', bs='bs')}, tm, w, ch",
+)
 _CUSUM = _sum_fold("greatest(0.0::DOUBLE,s.t+x-mean-0.005::DOUBLE)", 3.0)
 _PT = "pt AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label AS class FROM embeddings)"
 _AS = f"""{_PT}, ce AS (SELECT class AS id, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM pt GROUP BY class),
@@ -380,6 +412,29 @@ def _preq(delay: int) -> str:
       SELECT chunk, count(*) AS n, count(sc) AS scored, {_R('avg(sc)', 'mean_score')} FROM s GROUP BY chunk"""
 
 
+_LDX = lambda x, i: f"CASE WHEN v{i}>0 THEN {_LD(x, f'm{i}', f'v{i}')} ELSE CASE WHEN {x}=m{i} THEN 0.0::DOUBLE ELSE -700.0::DOUBLE END END"
+_STX = ", ".join(f"sum({c}) AS s{i}, sum({c}*{c}) AS q{i}" for i, c in enumerate(("value", "u")))
+_MVX = ", ".join(f"s{i}/n AS m{i}, CASE WHEN n>1 THEN greatest(0.0::DOUBLE,(q{i}-s{i}*s{i}/n)/(n-1)) ELSE 0.0::DOUBLE END AS v{i}" for i in (0, 1))
+_UNI = lambda keys: f"(('0x'||substr(md5('1|'||{keys}),1,13))::BIGINT::DOUBLE/{2**52}.0::DOUBLE)"
+
+
+def _folds_sql(mode: str) -> str:
+    test = {"cv": "ef.fold=f", "split": "ef.fold<>f", "bootstrap": "true"}[mode]
+    train = {"cv": "fold<>f", "split": "fold=f", "bootstrap": "true"}[mode]
+    copies = "(SELECT count(*) FROM pt WHERE ps<=pu*exp(1.0::DOUBLE))" if mode == "bootstrap" else "1"
+    return f"""WITH e AS (SELECT event_id, (event_type='error')::INT AS k, value, (user_id%7)::DOUBLE AS u, (row_number() OVER (ORDER BY event_id)-1)//250 AS chunk, floor({_UNI('event_id')}*4)::INT AS f FROM events),
+      pt AS (SELECT (SELECT sum(exp(-lgamma(j+1))) FROM (SELECT unnest(range(0,i+1)) AS j)) AS ps FROM (SELECT unnest(range(0,30)) AS i)),
+      ef0 AS (SELECT e.*, fold, {_UNI("event_id||'|'||fold")} AS pu FROM e, (SELECT unnest(range(0,4)) AS fold)), ef AS (SELECT *, {copies} AS cp FROM ef0),
+      tn AS (SELECT chunk, fold, k, value, u, unnest(range(0,cp)) AS c FROM ef WHERE {train}),
+      m0 AS (SELECT t.chunk, tn.fold, k, count(*) AS n, {_STX} FROM (SELECT DISTINCT chunk FROM e) t JOIN tn ON tn.chunk<t.chunk GROUP BY ALL), m AS (SELECT *, {_MVX}, sum(n) OVER (PARTITION BY chunk, fold) AS tot FROM m0),
+      s AS (SELECT ef.fold, ef.chunk, ef.event_id, max(ln(m.n/m.tot)+{_LDX('value', 0)}+{_LDX('u', 1)}) AS sc FROM ef LEFT JOIN m ON m.chunk=ef.chunk AND m.fold=ef.fold WHERE {test} GROUP BY ALL)
+      SELECT fold::INT AS fold, chunk, count(*) AS n, count(sc) AS scored, {_R('avg(sc)', 'mean_score')} FROM s GROUP BY ALL"""
+
+
+_HOLD = f"""WITH e AS (SELECT event_id, (event_type='error')::INT AS k, value, (user_id%7)::DOUBLE AS u, row_number() OVER (ORDER BY event_id) AS rn FROM events), r AS (SELECT *, (rn-201)//250 AS chunk FROM e WHERE rn>200),
+      m0 AS (SELECT t.chunk+1 AS chunk, k, count(*) AS n, {_STX} FROM (SELECT DISTINCT chunk FROM r) t JOIN r ON r.chunk<=t.chunk GROUP BY ALL), m AS (SELECT *, {_MVX}, sum(n) OVER (PARTITION BY chunk) AS tot FROM m0),
+      s AS (SELECT m.chunk, e.event_id, e.k AS y, m.k, ln(m.n/m.tot)+{_LDX('value', 0)}+{_LDX('u', 1)} AS sc FROM e JOIN m ON e.rn<=200), b AS (SELECT chunk, event_id, any_value(y) AS y, arg_max(k,(sc,-k)) AS p, max(sc) AS sc FROM s GROUP BY ALL)
+      SELECT chunk, count(*) AS n, {_R('avg((p=y)::INT)', 'accuracy')}, {_R('avg(sc)', 'mean_score')} FROM b GROUP BY chunk"""
 _MS = f"""{_PRED}, ms AS (SELECT disk, day, failure, unnest(['a','b','c']) AS member, unnest([vote_1, least(1.0::DOUBLE,coalesce(smart_199_raw,0.0::DOUBLE)/60.0::DOUBLE), 0.2::DOUBLE]) AS p FROM pr),
 mw AS (SELECT member, avg(pow(CASE WHEN failure=1 THEN 1.0::DOUBLE-p ELSE p END,2)) AS mse, count(*) FILTER ((p>0.5)::INT<>failure) AS err FROM ms GROUP BY member)"""
 _RT = "rt AS (SELECT o_custkey::INT AS \"user\", l_partkey::INT AS item, l_quantity AS rating FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"
@@ -430,6 +485,11 @@ QUERIES = {
     "naive_bayes": q_bayes,
     "prequential_naive_bayes": q_preq_bayes(0),
     "prequential_delayed": q_preq_bayes(2),
+    "prequential_cross_validation": q_preq_cv("cv"),
+    "prequential_split_validation": q_preq_cv("split"),
+    "prequential_bootstrap_validation": q_preq_cv("bootstrap"),
+    "periodic_holdout": q_holdout,
+    "active_windowed_accuracy": q_active_windowed,
     "multinomial_naive_bayes": q_multinomial,
     "ensemble_weights": q_weights,
     "weighted_vote": q_vote,
@@ -448,6 +508,7 @@ ORACLE = {
     "drift_cusum": _CUSUM,
     "drift_eddm": _EDDM,
     "drift_hddm_a": _HDDMA,
+    "drift_hddm_w": _HDDMW,
     "drift_segments": f"""WITH d AS MATERIALIZED ({_CUSUM}), s AS (SELECT d.model_no, d.event_id, coalesce(sum(change::INT) OVER (PARTITION BY d.model_no ORDER BY d.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)::BIGINT AS segment FROM d)
       SELECT s.model_no, segment, count(*) AS n, {_R("avg((event_type='error')::INT)", 'error_rate')} FROM s JOIN events USING (event_id) GROUP BY ALL""",
     "drift_evaluation": f"""WITH d0 AS MATERIALIZED ({_CUSUM}), d AS (SELECT *, event_id%1000=500 AS tc FROM d0), g AS (SELECT *, coalesce(sum(tc::INT) OVER (PARTITION BY model_no ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS seg FROM d),
@@ -494,6 +555,11 @@ ORACLE = {
       SELECT l_returnflag, count(*) AS n, {_R('avg(sc)', 'mean_score')} FROM s GROUP BY 1""",
     "prequential_naive_bayes": _preq(0),
     "prequential_delayed": _preq(2),
+    "prequential_cross_validation": _folds_sql("cv"),
+    "prequential_split_validation": _folds_sql("split"),
+    "prequential_bootstrap_validation": _folds_sql("bootstrap"),
+    "periodic_holdout": _HOLD,
+    "active_windowed_accuracy": "SELECT row_number() OVER (ORDER BY event_id) AS n, round(avg(((event_type='error')=(value>30))::INT) OVER w,4)+0.0::DOUBLE AS accuracy, round(avg((value<5)::INT) OVER w,4)+0.0::DOUBLE AS label_cost FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)",
     "multinomial_naive_bayes": """WITH w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text),'[^\\p{L}\\p{Nd}]+')) AS word FROM documents), b AS (SELECT doc_id, lang, word, count(*) AS c FROM w WHERE word<>'' GROUP BY ALL),
       t AS (SELECT word, lang AS k, sum(c) AS c FROM b GROUP BY ALL), n AS (SELECT k, sum(c) AS t FROM t GROUP BY k), p AS (SELECT lang AS k, count(*) AS p FROM documents GROUP BY 1), v AS (SELECT count(DISTINCT word) AS v FROM t),
       s AS (SELECT b.doc_id, b.lang, n.k, sum(b.c*ln((coalesce(t.c,0)+1.0::DOUBLE)/(n.t+v.v)))+any_value(ln(p.p)) AS g FROM b CROSS JOIN n CROSS JOIN v JOIN p ON p.k=n.k LEFT JOIN t ON t.word=b.word AND t.k=n.k GROUP BY ALL)
