@@ -140,14 +140,14 @@ def prequential_folds(
     ``cv``: a row tests the model of its fold and trains all others. ``split``: it tests all others and trains its own. ``bootstrap``: it
     tests every model and trains each Poisson(1) times.
     """
-    from spindlewatch.operators.sampling import poisson_sql, uniform
+    from spindlewatch.operators.sampling import poisson_counts, uniform
 
     numbered = cut_lineage(_chunked(df, key, chunk_rows))  # read by training and testing
     every = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     mine = numbered.withColumn("_f", F.floor(uniform([key], seed) * folds).cast("int"))
     if mode == "bootstrap":
         trains = mine.withColumn("fold", every).withColumn("_u", uniform([key, "fold"], seed))
-        trains = stage(trains, {"_c": poisson_sql("_u", "1.0D")}).where("_c > 0")
+        trains = poisson_counts(trains, "_u", 1.0, "_c").where("_c > 0")
         trains, tests = stage(trains, {"_x": "explode(sequence(1, _c))"}), mine.withColumn("fold", every)
     else:
         own, others = F.col("fold") == F.col("_f"), F.col("fold") != F.col("_f")

@@ -21,24 +21,37 @@ def normal(keys: list[str], seed: int = 1) -> Column:
     return F.sqrt(-2.0 * F.log(1.0 - u1)) * F.cos(F.lit(6.283185307179586) * u2)
 
 
-def poisson_sql(u: str, lam: str) -> str:
-    """Poisson count for a uniform ``u`` by the inverse distribution; sums terms only where the count is not 0."""
-    step = f"(a, i) -> if(a.s > {u} * exp({lam}), a, named_struct('p', a.p * {lam} / i, 's', a.s + a.p * {lam} / i, 'k', a.k + 1))"
-    fold = f"aggregate(sequence(1, 99), named_struct('p', 1.0D, 's', 1.0D, 'k', 0), {step}, a -> a.k)"
-    return f"if({u} * exp({lam}) < 1.0D, 0, {fold})"
+def poisson_counts(df: DataFrame, u: str, lam: float | str, out: str) -> DataFrame:
+    """Poisson count for a uniform column ``u`` by the inverse distribution; ``lam`` is a number or a column.
+
+    A count k needs the sum of lam^i/i! up to k-1 to stay at or below u·e^lam. For a number these sums are literals; for a column they
+    are added up, only where the count is not 0 and only as far as a 52-bit uniform can reach.
+    """
+    if isinstance(lam, float):
+        sums, term, i = [1.0], 1.0, 1
+        while term > 1e-18 * sums[-1]:
+            term *= lam / i
+            sums.append(sums[-1] + term)
+            i += 1
+        # the one-element transform binds the target, which would otherwise be inlined and computed per comparison
+        literal = ", ".join(f"{x!r}D" for x in sums)
+        return stage(df, {out: f"transform(array({u} * exp({lam!r}D)), t -> size(filter(array({literal}), x -> x <= t)))[0]"})
+    df = stage(df, {"_t": f"{u} * exp({lam})", "_steps": f"cast(ceil({lam} + 9.0D * sqrt({lam}) + 12.0D) AS int)"})
+    step = f"(a, i) -> if(a.s > _t, a, named_struct('p', a.p * {lam} / i, 's', a.s + a.p * {lam} / i, 'k', a.k + 1))"
+    fold = f"aggregate(sequence(1, _steps), named_struct('p', 1.0D, 's', 1.0D, 'k', 0), {step}, a -> a.k)"
+    return stage(df, {out: f"if(_t < 1.0D, 0, {fold})"}).drop("_t", "_steps")
 
 
 def poisson_weights(df: DataFrame, keys: list[str], label: str, down_ratio: Column, lam: float = 6.0, seed: int = 1) -> DataFrame:
     """Training weight per row: negatives Poisson(lam / down_ratio), positives Poisson(lam)."""
     df = df.withColumns({"_u": uniform(keys, seed), "_lam": F.when(F.col(label) > 0, F.lit(lam)).otherwise(F.lit(lam) / down_ratio)})
-    return stage(df, {"weight": poisson_sql("_u", "_lam")}).drop("_u", "_lam")
+    return poisson_counts(df, "_u", "_lam", "weight").drop("_u", "_lam")
 
 
 def bootstrap(df: DataFrame, keys: list[str], lam: float = 1.0, seed: int = 1) -> DataFrame:
     """Each row repeated Poisson(lam) times (``copy`` counts from 1)."""
-    df = df.withColumns({"_u": uniform(keys, seed), "_lam": F.lit(lam)})
-    df = stage(df, {"_k": poisson_sql("_u", "_lam")}).where("_k > 0")
-    return stage(df, {"copy": "explode(sequence(1, _k))"}).drop("_u", "_lam", "_k")
+    df = poisson_counts(df.withColumn("_u", uniform(keys, seed)), "_u", float(lam), "_k").where("_k > 0")
+    return stage(df, {"copy": "explode(sequence(1, _k))"}).drop("_u", "_k")
 
 
 def resample(df: DataFrame, keys: list[str], label: str, fractions: dict, seed: int = 1) -> DataFrame:
