@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindlewatch.llm import cuckoo, mixing, packing, topk, urlfilter
+from spindlewatch.llm import cuckoo, mixing, packing, tokencount, topk, urlfilter, warc
 from spindlewatch.llm.common import table
 
 CAPACITY = 4096
@@ -34,10 +34,20 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, BUDGET).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -50,7 +60,9 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filters": op2_url_filters,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_counts": op5_token_counts,
     "op8_source_mix": op8_source_mix,
     "op10_exact_topk": op10_exact_topk,
 }
@@ -67,6 +79,13 @@ rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'blo
 b AS (SELECT p.page_id, p.host, p.path, max({{'n': length(rh || rp), 'h': length(rh), 'rule': rh || rp, 'verdict': rv}}) AS m
   FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL)
 SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM b""",
+    "op3_warc": """
+WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS sha, sha1(payload) AS hex FROM d),
+g AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i::INT + 1, 5))::INT) AS v, min(page_id) OVER (PARTITION BY sha) AS first FROM h)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((v[j // 4 + 1] >> (15 - 5 * (j % 4))::INT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM g""",
     "op4_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
