@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindlewatch.llm import cuckoo, mixing, packing, tokencount, topk, urlfilter, warc
+from spindlewatch.llm import cuckoo, langid, mixing, packing, tokencount, topk, urlfilter, warc
 from spindlewatch.llm.common import table
 
 CAPACITY = 4096
@@ -52,6 +52,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, BUDGET).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    predicted = langid.predict(docs, langid.fit(docs, vocabulary("piece_bpe_32k.model")))
+    return predicted.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.search(rows, rows.where("vec_id % 20 = 0"), 20)
@@ -64,6 +70,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op8_source_mix": op8_source_mix,
+    "op9_language_id": op9_language_id,
     "op10_exact_topk": op10_exact_topk,
 }
 
