@@ -2,10 +2,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindlewatch.llm import cuckoo, packing
+from spindlewatch.llm import cuckoo, langid, mixing, ngramjoin, packing
 from spindlewatch.llm.common import stage, table
-from spindlewatch.llm.queries import CAPACITY, END_ID, vocabulary
+from spindlewatch.llm.queries import BUDGET, CAPACITY, END_ID, WEIGHTS, vocabulary
+
+
+#: A text whose best language has less than this share of its probability is rejected.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a language that the model knows stay; text without a letter or without a clear language goes."""
+    model = langid.fit(docs, vocabulary("piece_bpe_32k.model"))
+    return langid.keep(docs, model, LEAST_SHARE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,12 +24,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cuckoo.deduplicate(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each component of linked texts stays; rows without doc_id can't be linked and stay."""
+    same = ngramjoin.classes(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(same, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated or left out so that sources meet their targets."""
+    return mixing.mixed(docs, WEIGHTS, BUDGET)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows of the mix as token sequences."""
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), CAPACITY, END_ID)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("packing", packed)]
+STAGES = [("language_id", language), ("exact_dedup", exact_dedup), ("ngram_join", near_dedup), ("source_mix", source_mix), ("packing", packed)]
 ORACLE_SQL = None
 
 

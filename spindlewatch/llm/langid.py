@@ -173,6 +173,39 @@ def fit(docs: DataFrame, vocabulary: str, sample_rows: int = SAMPLE_ROWS, rounds
     return Model(languages, weights, vocabulary)
 
 
+def _scorer(model: Model):
+    """A function from a batch of texts to languages and shares; it remembers words between batches."""
+    pieces, known, scores = Pieces(model.vocabulary), {}, np.zeros((1 << 16, len(model.languages)))
+
+    def score(column: pa.Array) -> tuple[list[str], list[float]]:
+        nonlocal scores
+        split = [words_of(t.decode()) for t in texts(column)]
+        new = list({w for words in split for w in words}.difference(known)) if model.languages else []
+        if len(known) + len(new) > KNOWN_WORDS:
+            known.clear()
+            new = list({w for words in split for w in words})
+        if len(known) + len(new) > len(scores):
+            scores = np.vstack([scores[: len(known)], np.zeros((len(known) + 2 * len(new), len(model.languages)))])
+        base = len(known)
+        for places, words in by_length(["▁" + w for w in new], pieces.widest):
+            scores[base + np.array(places)] = forward(pieces.lookup(words), model.weights)
+        known.update((w, base + i) for i, w in enumerate(new))
+        names, shares = [], []
+        for words in split:
+            if not words or not model.languages:
+                names.append(UNDETERMINED)
+                shares.append(0.0)
+                continue
+            total = scores[list(map(known.__getitem__, words))].sum(axis=0)
+            odds = np.exp(total - total.max())
+            best = int(np.argmax(total))
+            names.append(model.languages[best])
+            shares.append(float(odds[best] / odds.sum()))
+        return names, shares
+
+    return score
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of docs: doc_id, lang_pred, score (the language's share of the text's probability).
 
@@ -182,31 +215,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, known, scores = Pieces(model.vocabulary), {}, np.zeros((1 << 16, len(model.languages)))
+        score = _scorer(model)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            split = [words_of(t.decode()) for t in texts(batch.column(1))]
-            new = list({w for words in split for w in words}.difference(known)) if model.languages else []
-            if len(known) + len(new) > KNOWN_WORDS:
-                known.clear()
-                new = list({w for words in split for w in words})
-            if len(known) + len(new) > len(scores):
-                scores = np.vstack([scores[: len(known)], np.zeros((len(known) + 2 * len(new), len(model.languages)))])
-            base = len(known)
-            for places, words in by_length(["▁" + w for w in new], pieces.widest):
-                scores[base + np.array(places)] = forward(pieces.lookup(words), model.weights)
-            known.update((w, base + i) for i, w in enumerate(new))
-            names, shares = [], []
-            for words in split:
-                if not words or not model.languages:
-                    names.append(UNDETERMINED)
-                    shares.append(0.0)
-                    continue
-                total = scores[list(map(known.__getitem__, words))].sum(axis=0)
-                odds = np.exp(total - total.max())
-                best = int(np.argmax(total))
-                names.append(model.languages[best])
-                shares.append(float(odds[best] / odds.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            names, shares = score(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PREDICTED)
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language has at least this share; no shuffle."""
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
+        for batch in batches:
+            names, shares = score(batch.column(at))
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, shares)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
