@@ -11,6 +11,7 @@ to no rows; other columns are ignored; ties of equal pieces take any order, whic
 """
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,15 +29,40 @@ KNOWN_WORDS = 400_000
 BLOCK_PIECES = 4_000
 
 
+#: Latin letters and then ASCII punctuation other than the apostrophe: such a word is one run of each to this kind of vocabulary.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordEncoder:
-    """Token ids of whole texts. White space never reaches a token of this kind of vocabulary, so words are encoded once and remembered."""
+    """Token ids of whole texts. White space never reaches a token of this kind of vocabulary, so words are encoded once and remembered.
+
+    Plain words go to the vocabulary's merges at once; all others take the whole chain of its normalisation and splitting.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.known: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        merges, rest = self.tokenizer.model.tokenize, []
+        for word in words:
+            plain = PLAIN.fullmatch(word.decode())
+            if plain is None:
+                rest.append(word)
+                continue
+            letters, marks = plain.group(1).lower(), plain.group(2)
+            ids = [t.id for t in merges(letters if letters.isascii() else self.bytewise(letters)[0][0])]
+            if marks:
+                ids += [t.id for t in merges(marks)]
+            self.known[word] = np.array(ids, "<u4").tobytes()
+        for at in range(0, len(rest), 5_000):
+            some = rest[at : at + 5_000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+
     def encode(self, documents: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids per document. The words of one batch are known together, so the memory has a bound."""
         split = [d.split() for d in documents]
@@ -44,10 +70,7 @@ class WordEncoder:
         if len(self.known) + len(missing) > KNOWN_WORDS:
             self.known.clear()
             missing = list({w for words in split for w in words})
-        for at in range(0, len(missing), 5_000):
-            some = missing[at : at + 5_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn(missing)
         get = self.known.__getitem__
         for words in split:
             yield b"".join(map(get, words))
