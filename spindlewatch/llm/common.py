@@ -1,7 +1,10 @@
 """Helpers shared by the operators of this folder."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +69,14 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield view[a:b]
 
 
+def worker_memory(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task under this key: vocabularies and bounded caches, never results."""
+    held = sys.modules.setdefault("_spindlewatch_worker", types.ModuleType("_spindlewatch_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds name, the 0-based place of a row in the whole order: ranges are numbered apart and one offset per range is added.
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindlewatch.llm.common import bounded_batches, stage, texts
+from spindlewatch.llm.common import bounded_batches, stage, texts, worker_memory
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 500_000
+KNOWN_RUNS = 300_000
 BLOCK_PIECES = 4_000
 
 
@@ -45,19 +47,26 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            merged = self.tokenizer.model.tokenize(run if run.isascii() else self.bytewise(run)[0][0])
+            ids = self.runs[run] = array("I", [t.id for t in merged]).tobytes()
+        return ids
 
     def _learn(self, words: list[bytes]) -> None:
-        merges, rest = self.tokenizer.model.tokenize, []
+        rest = []
+        if len(self.runs) > KNOWN_RUNS:
+            self.runs.clear()
         for word in words:
             plain = PLAIN.fullmatch(word.decode())
             if plain is None:
                 rest.append(word)
-                continue
-            letters, marks = plain.group(1).lower(), plain.group(2)
-            ids = [t.id for t in merges(letters if letters.isascii() else self.bytewise(letters)[0][0])]
-            if marks:
-                ids += [t.id for t in merges(marks)]
-            self.known[word] = np.array(ids, "<u4").tobytes()
+            else:
+                letters, marks = plain.groups()
+                self.known[word] = self._run(letters.lower()) + self._run(marks) if marks else self._run(letters.lower())
         for at in range(0, len(rest), 5_000):
             some = rest[at : at + 5_000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
@@ -84,7 +93,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_memory(("words", tokenizer), lambda: WordEncoder(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(list(texts(batch.column(1))))):
