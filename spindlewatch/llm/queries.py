@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindlewatch.llm import cuckoo, langid, mixing, ngramjoin, packing, tokencount, topk, urlfilter, warc
+from spindlewatch.llm import cuckoo, langid, mixing, ngramjoin, packing, suffixes, tokencount, topk, urlfilter, warc
 from spindlewatch.llm.common import table
 
 CAPACITY = 4096
@@ -48,6 +48,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.section_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.classes(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op8_source_mix": op8_source_mix,
     "op9_language_id": op9_language_id,
