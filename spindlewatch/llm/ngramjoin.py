@@ -5,7 +5,7 @@ A document's set are the 64-bit fingerprints of its distinct shingles. Copies of
 1. Counting. Batches of documents send every shingle once to the bucket of its fingerprint and learn which shingles other sets have as
    well, and how many. A set in which more shingles are its own than a partner may miss has no partner; only the rest goes on.
 2. The global order of shingles is (frequency, fingerprint). Linked sets share a shingle of their prefixes in this order. Prefix lists
-   give candidate pairs in rounds: a list's members are compared with few of them (by a hash of the id, twice as many each round) and
+   give candidate pairs in rounds: a list's members are compared with few of them (first the one with the fewest shingles of its own, then by a hash of the id, twice as many each round) and
    only across components found so far, so that a group of near copies is joined without all its pairs, and yet every pair that could
    add a link between two components is compared in the end.
 3. The order is cut into FRAGMENTS fragments of equal weight. A task counts the overlaps of candidate pairs within one fragment; the
@@ -30,7 +30,7 @@ SHINGLE = 5
 FRAGMENTS = 16
 BUCKET_BYTES = 8 << 20
 SHARD_TOKENS = 32_000_000
-FIRST_CENTRES = 4
+FIRST_CENTRES = 2
 SHINGLED = "doc_id long, n_shingles long, set binary, tokens array<long>, counts array<int>"
 
 
@@ -132,16 +132,19 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     """Components among different sets: node, root; None if nothing is linked."""
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     usable = (prefix - (F.col("n") - F.size("tokens"))).cast("int")
-    lists = sets.select(F.explode(F.slice("tokens", F.lit(1), F.greatest(usable, F.lit(1)))).alias("token"), "rid", "n")
-    busy = lists.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    own = (F.col("n") - F.size("tokens")) / F.col("n")
+    common = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n")
+    lists = sets.select(F.explode(F.slice("tokens", F.lit(1), F.greatest(usable, F.lit(1)))).alias("token"), "rid", "n", F.struct(own.alias("own"), (-common).alias("rare"), "rid").alias("rank"))
+    busy = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("rank").alias("lead")).where("m > 1").select("token", "m", F.col("lead.rid").alias("lead"))
     chance = F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    postings = stage(lists.join(busy, "token").withColumn("h", chance), "postings")
+    # the member with the fewest shingles of its own leads its list and is compared first; in a group of near copies that is the original
+    postings = stage(lists.drop("rank").join(busy, "token").withColumn("h", F.when(F.col("rid") == F.col("lead"), -1.0).otherwise(chance)).drop("lead"), "postings")
     largest = postings.agg(F.max("m")).first()[0]
     if largest is None:
         return None
     segments = _fragments(sets)
     shards = max(1, int(sets.agg(F.sum(F.size("tokens"))).first()[0]) // SHARD_TOKENS)
-    labels, low, high, last = None, 0.0, float(FIRST_CENTRES), False
+    labels, low, high, last = None, float("-inf"), 0.0, False
     while not last:
         last = high >= largest
         own = postings if labels is None else postings.join(labels, postings["rid"] == labels["node"], "left").drop("node")
@@ -169,7 +172,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
                 labels = stage(moved.unionByName(found), "labels")
         elif own.isEmpty():
             break
-        low, high = high, high * 2
+        low, high = high, max(float(FIRST_CENTRES), high * 2)
     return labels
 
 
