@@ -133,8 +133,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     usable = (prefix - (F.col("n") - F.size("tokens"))).cast("int")
     own = (F.col("n") - F.size("tokens")) / F.col("n")
-    common = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x) / F.col("n")
-    lists = sets.select(F.explode(F.slice("tokens", F.lit(1), F.greatest(usable, F.lit(1)))).alias("token"), "rid", "n", F.struct(own.alias("own"), (-common).alias("rare"), "rid").alias("rank"))
+    lists = sets.select(F.explode(F.slice("tokens", F.lit(1), F.greatest(usable, F.lit(1)))).alias("token"), "rid", "n", F.size("tokens").alias("s"), F.struct(own.alias("own"), "rid").alias("rank"))
     busy = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("rank").alias("lead")).where("m > 1").select("token", "m", F.col("lead.rid").alias("lead"))
     chance = F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     # the member with the fewest shingles of its own leads its list and is compared first; in a group of near copies that is the original
@@ -150,10 +149,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
         own = postings if labels is None else postings.join(labels, postings["rid"] == labels["node"], "left").drop("node")
         own = own.withColumn("label", F.col("rid") if labels is None else F.coalesce("root", "rid"))
         live = own.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token")
-        own = stage(own.join(live, "token").select("token", "rid", "n", "m", "h", "label"), "lists")
-        centres = own.where((F.col("h") >= low / F.col("m")) & (F.col("h") < high / F.col("m"))).select("token", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("h").alias("ch"), F.col("label").alias("cl"))
+        own = stage(own.join(live, "token").select("token", "rid", "n", "s", "m", "h", "label"), "lists")
+        centres = own.where((F.col("h") >= low / F.col("m")) & (F.col("h") < high / F.col("m"))).select("token", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("s").alias("cs"), F.col("h").alias("ch"), F.col("label").alias("cl"))
         later = (F.col("h") > F.col("ch")) | ((F.col("h") == F.col("ch")) & (F.col("rid") > F.col("c")))
-        near = F.greatest("n", "cn") * percent <= F.least("n", "cn") * 100
+        # no pair has more in common than the smaller number of shared shingles
+        near = (F.greatest("n", "cn") * percent <= F.least("n", "cn") * 100) & ((100 + percent) * F.least("s", "cs") >= percent * (F.col("n") + F.col("cn")))
         met = own.join(centres, "token").where(later & (F.col("label") != F.col("cl")) & near)
         pairs = met.select(F.col("c").alias("a"), F.col("rid").alias("b"), F.col("cn").alias("na"), F.col("n").alias("nb")).distinct()
         common = overlaps(pairs, segments, shards)
