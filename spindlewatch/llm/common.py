@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spindlewatch.session import work_dir
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches close at 16 MB, so long texts can't fill a Python worker. A smaller setting of the session stays."""
+    """Arrow batches close at 8 MB, so long texts can't fill a Python worker. A smaller setting of the session stays."""
     set_now = spark.conf.get(BATCH_KEY, str(ARROW_BYTES))
     if not set_now.isdigit() or int(set_now) > ARROW_BYTES:
         spark.conf.set(BATCH_KEY, str(ARROW_BYTES))
