@@ -1,6 +1,7 @@
 """Helpers shared by the operators of this folder."""
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -69,6 +70,14 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield view[a:b]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a Python worker lives on between tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if give_back is not None:
+        give_back(0)
+
+
 def worker_memory(key: tuple, make: Callable[[], Any]) -> Any:
     """What a Python worker keeps from task to task under this key: vocabularies and bounded caches, never results."""
     held = sys.modules.setdefault("_spindlewatch_worker", types.ModuleType("_spindlewatch_worker")).__dict__

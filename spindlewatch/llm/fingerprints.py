@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spindlewatch.llm.common import texts
+from spindlewatch.llm.common import texts, trim
 
 LARGEST_COUNT = 65_535
 SENT = "bucket int, batch long, kind int, tokens binary, docs binary, counts binary, mixed binary, own_docs binary, own_sets binary"
@@ -77,6 +77,8 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int, make: Callable[[bytes]
                 })
         schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "docs", "counts", "mixed", "own_docs", "own_sets")])
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        del rows, token, doc, sets
+        trim()
 
 
 def count(frame: pd.DataFrame) -> pd.DataFrame:
@@ -110,6 +112,7 @@ def count(frame: pd.DataFrame) -> pd.DataFrame:
                 these = (df > 0) & ((n > 1) == bool(shared))
                 if these.any():
                     rows.append((batch, 0, spread(t[these]), d[these].tobytes(), df[these].astype("<u2").tobytes(), shared, None, None))
+    trim()
     return pd.concat([kept[names], pd.DataFrame(rows, columns=names)], ignore_index=True).astype({"batch": "int64", "kind": "int32", "shared": "int32"})
 
 
