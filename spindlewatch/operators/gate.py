@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindlewatch.functions.names import model_key, normalize_cause_list
+from spindlewatch.functions.names import ROOT_CAUSES, model_key, normalize_cause_list
 from spindlewatch.functions.scalars import clip01, safe_double, to_bool
 from spindlewatch.operators.windows import stage
 from spindlewatch.session import checked_broadcast
@@ -75,6 +75,24 @@ def semantic_dims(event_keys: list[str], meta_keys: list[str], features: list[st
     return list(dict.fromkeys(out))
 
 
+# Words of a policy that mean yes and no.
+YES_WORDS = ["1", "true", "yes", "y", "on"]
+NO_WORDS = ["0", "false", "no", "n", "off"]
+
+
+def policy_flag(value, default: bool) -> bool:
+    """A policy's yes or no, also as text; an empty or unknown word leaves the default."""
+    word = str(value).strip().lower()
+    return word in YES_WORDS if word in YES_WORDS + NO_WORDS else bool(default)
+
+
+def policy_causes(value) -> list[str]:
+    """Allowed causes from a list or text with commas, each once; what is no cause counts as unknown."""
+    words = value.split(",") if isinstance(value, str) else list(value or [])
+    causes = [w if w in ROOT_CAUSES else "unknown" for w in (str(x).strip().lower() for x in words)]
+    return list(dict.fromkeys(causes))
+
+
 def policy_table(spark: SparkSession, policies: dict[str, dict], dim: int) -> DataFrame:
     """One validated row per model key. ``policies`` maps a model to its overrides; ``default`` applies to all."""
     clip = lambda v: min(1.0, max(0.0, float(v or 0.0)))
@@ -87,9 +105,9 @@ def policy_table(spark: SparkSession, policies: dict[str, dict], dim: int) -> Da
         mode = str(p["gate_mode"]).strip().lower()
         rows.append(
             (
-                key, bool(p["enabled"]), clip(p["min_q_score"]), bool(p["min_rule_match"]), clip(p["min_mapped_event_ratio"]),
-                bool(p["drop_unknown_root"]), list(p["allowed_root_causes"]), clip(p["llm_scale_alpha"]), mode if mode in ("hard", "soft") else "hard",
-                clip(p["soft_min_weight"]), keep_dims(p["keep_dims"], dim), bool(p["dense_meta_pack"]), clip(p["dense_meta_scale"]),
+                key, policy_flag(p["enabled"], POLICY_DEFAULT["enabled"]), clip(p["min_q_score"]), policy_flag(p["min_rule_match"], POLICY_DEFAULT["min_rule_match"]), clip(p["min_mapped_event_ratio"]),
+                policy_flag(p["drop_unknown_root"], POLICY_DEFAULT["drop_unknown_root"]), policy_causes(p["allowed_root_causes"]), clip(p["llm_scale_alpha"]), mode if mode in ("hard", "soft") else "hard",
+                clip(p["soft_min_weight"]), keep_dims(p["keep_dims"], dim), policy_flag(p["dense_meta_pack"], POLICY_DEFAULT["dense_meta_pack"]), clip(p["dense_meta_scale"]),
                 keep_dims(p["dense_meta_dims"], dim), p["fallback"] if p["fallback"] in ("nollm", "zero") else "nollm",
             )
         )

@@ -103,8 +103,9 @@ def merge_metadata(old: DataFrame, new: DataFrame, disk: str = "disk") -> DataFr
 
 
 def drop_after_failure(daily: DataFrame, failures: DataFrame, disk: str = "disk", day: str = "day", fail_day: str = "fail_day") -> DataFrame:
-    """Removes rows of a disk after its failure day."""
-    joined = daily.join(failures.select(disk, F.col(fail_day).alias("_f")), disk, "left")
+    """Removes rows of a disk after its first failure day; a failure without a day removes nothing."""
+    first = failures.groupBy(disk).agg(F.min(fail_day).alias("_f"))
+    joined = daily.join(first, disk, "left")
     return joined.where(F.col("_f").isNull() | (F.col("_f") >= F.col(day))).drop("_f")
 
 

@@ -62,7 +62,7 @@ def suffix_match(wanted: DataFrame, known: DataFrame) -> DataFrame:
 
     A key's suffixes after each ``_`` are enumerated, so the non-equi match becomes an equi-join.
     """
-    parts = "transform(sequence(0, size(split({0}, '_')) - 1), i -> array_join(slice(split({0}, '_'), i + 1, 99), '_'))"
+    parts = "transform(sequence(0, size(split({0}, '_')) - 1), i -> array_join(slice(split({0}, '_'), i + 1, size(split({0}, '_'))), '_'))"
     k = stage(known.select(F.col("key").alias("known")).distinct(), {"suffix": f"explode({parts.format('known')})"})
     w = stage(wanted.select(F.col("key").alias("wanted")).distinct(), {"suffix": f"explode({parts.format('wanted')})"})
     longer = w.where("suffix = wanted").join(k, "suffix").select("wanted", "known")

@@ -24,7 +24,7 @@ def q_daily_csv(spark, sf):
     d = daily(spark, sf).select(F.date_format("day", "yyyy-MM-dd").alias("date"), "model", F.col("disk").alias("serial_number"), "failure", *FEATURES)
     d.repartition("date").withColumn("p", F.col("date")).write.partitionBy("p").csv(out, header=True)
     # the day folders stand in for day files: the reader takes one path per day
-    files = [f"{out}/p=2024-01-{i:02d}" for i in range(1, 31)]
+    files = [f"{out}/p={r.date}" for r in d.select("date").distinct().orderBy("date").collect()]  # one row per day
     raw = readers._by_header(spark, files, {})
     return raw.select(
         F.col("serial_number").alias("disk"), F.to_date("date").alias("day"), F.col("failure").cast("bigint").alias("failure"),

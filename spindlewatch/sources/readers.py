@@ -163,10 +163,12 @@ def read_ratings(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 def read_evaluation_log(spark: SparkSession, path: str, regression: bool = False) -> DataFrame:
     """Metric table from text logs: one row per day with ``g_`` (global) and ``l_`` (local) columns.
 
-    A day's block starts with its date, so the text source splits records there; blocks are then read independently of each other.
+    A day's block begins at a line that begins with a full date. A file is one log, read whole and cut at those lines.
     """
     names = REGRESSION_METRICS if regression else CLASSIFICATION_METRICS
-    blocks = spark.read.option("lineSep", "\n20").text(path).select(F.concat(F.when(F.col("value").rlike("^20"), "").otherwise("20"), "value").alias("v"))
+    logs = spark.read.text(path, wholetext=True)
+    marked = F.regexp_replace("value", r"(?m)^(\d{4}-\d{2}-\d{2})\b", "\u0001$1")
+    blocks = logs.select(F.explode(F.split(marked, "\u0001")).alias("v"))
     df = blocks.withColumn("date", parse_day(F.regexp_extract("v", r"^(\d{4}-\d{2}-\d{2})", 1))).where("date IS NOT NULL")
     df = df.withColumns(
         {

@@ -17,19 +17,20 @@ from spindlewatch.operators.drift import METHODS
 def ingest_days(stream: DataFrame, store: str, out: str, checkpoint: str, window_days: int = 30, negative_days: int = 7, label_days: int = 20):
     """Day-at-a-time ingestion: every micro-batch stores its rows and writes the as-of sets of its days.
 
-    The stored table is the state; a repeated batch overwrites the same day partitions, so a restart gives the same result. Batches
-    carry whole days.
+    The stored table is the state, partitioned by day and batch: a repeated batch overwrites its own rows only, so a day may come in
+    several batches and a restart gives the same result. All as-of days that the rows of a batch can reach are written again.
     """
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         rows = rows.persist()
-        days = [r.day for r in rows.select("day").distinct().orderBy("day").collect()]  # the days of one batch
-        if days:
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(store)
-            reach = F.date_sub(F.lit(days[0]), window_days - 1)
-            history = spark.read.schema(rows.schema).parquet(store).where((F.col("day") >= reach) & (F.col("day") <= F.lit(days[-1])))
-            sets = labels.asof_sets(history, window_days, negative_days, label_days, start=days[0], end=days[-1])
+        first, last = rows.agg(F.min("day"), F.max("day")).first()
+        if first is not None:
+            rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(store)
+            stored = spark.read.schema(rows.schema.add("batch", "long")).parquet(store).drop("batch")
+            end = stored.where(F.col("day") <= F.date_add(F.lit(last), window_days)).agg(F.max("day")).first()[0]
+            history = stored.where((F.col("day") >= F.date_sub(F.lit(first), window_days - 1)) & (F.col("day") <= F.lit(end)))
+            sets = labels.asof_sets(history, window_days, negative_days, label_days, start=first, end=end)
             sets.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("asof_day", "split").parquet(out)
         rows.unpersist()
 

@@ -58,3 +58,24 @@ def test_checked_append(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     with pytest.raises(ValueError, match="columns differ"):
         writers.append_checked(df.withColumnRenamed("v", "w"), path)
+
+
+def test_log_crosses_2020(spark, tmp_path):
+    from spindlewatch.sources import readers
+
+    days = ["2019-12-30", "2019-12-31", "2020-01-01", "2020-01-02", "2021-01-01"]
+    block = "{}\nGlobal Measurements\n20 lines follow\n  x = 1\nLocal Measurements\n  y = 2\n"
+    (tmp_path / "log.txt").write_text("".join(block.format(d) for d in days))
+    assert sorted(str(r.date) for r in readers.read_evaluation_log(spark, str(tmp_path)).collect()) == days
+
+
+def test_day_in_two_batches(spark, tmp_path):
+    from spindlewatch.streaming import jobs
+
+    rows = spark.createDataFrame([("a", "m", "2024-01-01", 0, 1.0), ("b", "m", "2024-01-01", 0, 2.0)], "disk string, model string, day string, failure int, x double")
+    rows = rows.withColumn("day", rows.day.cast("date")).withColumn("failure", rows.failure.cast("long"))
+    for i, disk in enumerate("ab"):
+        rows.where(f"disk = '{disk}'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.ingest_days(stream, str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 2

@@ -173,3 +173,27 @@ def test_impute_constant_and_mode(spark):
     df = spark.createDataFrame([(1, None), (2, "b"), (3, "a"), (4, "b"), (5, None)], "k int, v string")
     got = [r.v for r in sequences.impute_nominal(df, "k", "v", "mode", ["a", "b"]).orderBy("k").collect()]
     assert got == [None, "b", "a", "b", "b"]
+
+
+def test_first_failure_ends_a_disk(spark):
+    from spindlewatch.operators import labels
+
+    daily = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-01-03"), ("b", "2024-01-03")], "disk string, day string")
+    failures = spark.createDataFrame([("a", "2024-01-02"), ("a", "2024-01-04")], "disk string, fail_day string")
+    assert sorted(map(tuple, labels.drop_after_failure(daily, failures).select("disk", "day").collect())) == [("a", "2024-01-01"), ("b", "2024-01-03")]
+
+
+def test_long_keys_match(spark):
+    from spindlewatch.operators import quality
+
+    key = "_".join(["x"] * 104 + ["end"])
+    known = spark.createDataFrame([(key,)], "key string")
+    assert quality.suffix_match(known, known).collect()[0].known == key
+
+
+def test_policy_text_values(spark):
+    from spindlewatch.operators import gate
+
+    p = gate.policy_table(spark, {"m": {"allowed_root_causes": "media, Power,odd", "dense_meta_pack": "false", "min_rule_match": "yes"}}, 8).first()
+    assert ["media", "power", "unknown"] in [list(v) for v in p if isinstance(v, list)]
+    assert [v for v in p if isinstance(v, bool)][-1] is False
