@@ -40,9 +40,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+NO_ESTIMATE = 1 << 60
+
+
+def plan_bytes(df: DataFrame, text: str = "text") -> int:
+    """Catalyst's estimate of the size of df, from file sizes, without a job; where it has none, the bytes of the texts are added up."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < NO_ESTIMATE else int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
 def lower_ascii(text: str | Column) -> Column:
