@@ -5,9 +5,10 @@ A document's set are the 64-bit fingerprints of its distinct shingles. Copies of
 1. Counting. Batches of documents send every shingle once to the bucket of its fingerprint and learn which shingles other sets have as
    well, and how many. A set in which more shingles are its own than a partner may miss has no partner; only the rest goes on.
 2. The global order of shingles is (frequency, fingerprint). Linked sets share a shingle of their prefixes in this order. Prefix lists
-   give candidate pairs in rounds: a list's members are compared with few of them (first the one with the fewest shingles of its own, then by a hash of the id, twice as many each round) and
-   only across components found so far, so that a group of near copies is joined without all its pairs, and yet every pair that could
-   add a link between two components is compared in the end.
+   give candidate pairs in rounds: a list's members are compared with few of them (first its lead, the one with the fewest shingles of its own, then by a hash of the id,
+   GROWTH times as many each round) and only across components found so far, so that a group of near copies is joined without all its
+   pairs. A list skips pairs that would have too few shingles from there on, were this their first common one; in the list of the one
+   that is the first, every pair that could add a link between two components is compared in the end.
 3. The order is cut into FRAGMENTS fragments of equal weight. A task counts the overlaps of candidate pairs within one fragment; the
    partial overlaps are summed per pair and compared with the threshold.
 
@@ -31,6 +32,7 @@ FRAGMENTS = 16
 BUCKET_BYTES = 8 << 20
 SHARD_TOKENS = 32_000_000
 FIRST_CENTRES = 2
+GROWTH = 4
 SHINGLED = "doc_id long, n_shingles long, set binary, tokens array<long>, counts array<int>"
 
 
@@ -133,7 +135,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     usable = (prefix - (F.col("n") - F.size("tokens"))).cast("int")
     own = (F.col("n") - F.size("tokens")) / F.col("n")
-    lists = sets.select(F.explode(F.slice("tokens", F.lit(1), F.greatest(usable, F.lit(1)))).alias("token"), "rid", "n", F.size("tokens").alias("s"), F.struct(own.alias("own"), "rid").alias("rank"))
+    lists = sets.select(F.posexplode(F.slice("tokens", F.lit(1), F.greatest(usable, F.lit(1)))).alias("i", "token"), "rid", "n", F.size("tokens").alias("s"), F.struct(own.alias("own"), "rid").alias("rank"))
+    lists = lists.withColumn("left", F.col("s") - F.col("i")).drop("i")  # shingles from this one on, in the whole order
     busy = lists.groupBy("token").agg(F.count("*").alias("m"), F.min("rank").alias("lead")).where("m > 1").select("token", "m", F.col("lead.rid").alias("lead"))
     chance = F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     # the member with the fewest shingles of its own leads its list and is compared first; in a group of near copies that is the original
@@ -149,11 +152,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
         own = postings if labels is None else postings.join(labels, postings["rid"] == labels["node"], "left").drop("node")
         own = own.withColumn("label", F.col("rid") if labels is None else F.coalesce("root", "rid"))
         live = own.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("token")
-        own = stage(own.join(live, "token").select("token", "rid", "n", "s", "m", "h", "label"), "lists")
-        centres = own.where((F.col("h") >= low / F.col("m")) & (F.col("h") < high / F.col("m"))).select("token", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("s").alias("cs"), F.col("h").alias("ch"), F.col("label").alias("cl"))
+        own = stage(own.join(live, "token").select("token", "rid", "n", "left", "m", "h", "label"), "lists")
+        centres = own.where((F.col("h") >= low / F.col("m")) & (F.col("h") < high / F.col("m"))).select("token", F.col("rid").alias("c"), F.col("n").alias("cn"), F.col("left").alias("cleft"), F.col("h").alias("ch"), F.col("label").alias("cl"))
         later = (F.col("h") > F.col("ch")) | ((F.col("h") == F.col("ch")) & (F.col("rid") > F.col("c")))
-        # no pair has more in common than the smaller number of shared shingles
-        near = (F.greatest("n", "cn") * percent <= F.least("n", "cn") * 100) & ((100 + percent) * F.least("s", "cs") >= percent * (F.col("n") + F.col("cn")))
+        # in the list of its first common shingle a pair has no more in common than the smaller number of shared shingles from there on
+        near = (F.greatest("n", "cn") * percent <= F.least("n", "cn") * 100) & ((100 + percent) * F.least("left", "cleft") >= percent * (F.col("n") + F.col("cn")))
         met = own.join(centres, "token").where(later & (F.col("label") != F.col("cl")) & near)
         pairs = met.select(F.col("c").alias("a"), F.col("rid").alias("b"), F.col("cn").alias("na"), F.col("n").alias("nb")).distinct()
         common = overlaps(pairs, segments, shards)
@@ -172,7 +175,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
                 labels = stage(moved.unionByName(found), "labels")
         elif own.isEmpty():
             break
-        low, high = high, max(float(FIRST_CENTRES), high * 2)
+        low, high = high, max(float(FIRST_CENTRES), high * GROWTH)
     return labels
 
 
