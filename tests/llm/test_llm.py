@@ -161,6 +161,27 @@ def test_ngram_join(spark, rows):
     assert ngramjoin.classes(documents(spark, [])).count() == 0
 
 
+def test_ngram_join_of_many_edited_copies(spark):
+    """Copies with few and many edits from a small vocabulary, so that edited shingles are shared too and most pairs stay below the threshold."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(100)]
+    rows, sets = [], {}
+    for i in range(60):
+        words = list(base)
+        for at in rng.integers(0, 20, rng.integers(0, 7)) * 5:
+            words[at] = rng.choice(WORDS[:2])
+        rows.append((i, " ".join(words[: 100 - i % 3]), "en", "a"))
+        sets[i] = {tuple(rows[-1][1].split()[k : k + 5]) for k in range(96 - i % 3)}
+    root = {i: i for i in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert 1 < len(set(root.values())) < len(sets)
+    got = ngramjoin.classes(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(sets[i]), root[i]) for i in sets)
+
+
 def test_mix(spark, rows):
     docs = documents(spark, rows + [(40 + i, " ".join(WORDS), "en", f"s{i % 4}") for i in range(60)])
     plan = mixing.mix(docs, [3, 1, 2]).toPandas()
