@@ -175,6 +175,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame | None:
                 labels = stage(moved.unionByName(found), "labels")
         elif own.isEmpty():
             break
+        postings = own.where(F.col("m") > high).drop("label")  # lists in one component stay so, and shorter ones have been compared whole
         low, high = high, max(float(FIRST_CENTRES), high * GROWTH)
     return labels
 
