@@ -41,6 +41,11 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def day_range(spark: SparkSession, sf: str) -> tuple:
+    """First and last day of the daily table, as dates; none of an empty one."""
+    return table(spark, sf, "events").select(F.to_date("ts").alias("day")).agg(F.min("day"), F.max("day")).first()
+
+
 _MODEL_SQL = "CASE user_id % 4 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODELS)) + " END"
 
 

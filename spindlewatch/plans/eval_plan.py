@@ -1,14 +1,17 @@
 """Queries over delayed evaluation, evaluators, fusion grids and guards."""
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from spindlewatch.functions.scalars import r4
 from spindlewatch.operators import delayed, guards, metrics
 from spindlewatch.operators.windows import stage
 from spindlewatch.plans.answers_plan import CACHE_SQL, cache
-from spindlewatch.plans.bridge import daily, daily_sql, table
+from spindlewatch.plans.bridge import daily, daily_sql, day_range, table
 
+# the SQL twins state the evaluation days of the given tables; the queries take theirs from the table (eval_days)
 START, END, WAIT, LABEL = "2024-01-11", "2024-01-31", 10, 5
 
 
@@ -18,8 +21,14 @@ def predictions(spark, sf):
     return stage(df, {"vote_1": "least(1.0D, coalesce(smart_5_raw, 0.0D) / 60.0D)"}).withColumn("vote_0", 1.0 - F.col("vote_1"))
 
 
+def eval_days(spark, sf):
+    """First and last evaluation: the queues fill for WAIT days without one, and the last day is judged on the day after it."""
+    first, last = day_range(spark, sf)
+    return (None, None) if first is None else (first + timedelta(days=WAIT), last + timedelta(days=1))
+
+
 def trace(spark, sf, threshold=0.5, exact=False):
-    return delayed.delay_trace(predictions(spark, sf), WAIT, START, END, threshold, exact)
+    return delayed.delay_trace(predictions(spark, sf), WAIT, *eval_days(spark, sf), threshold, exact)
 
 
 def _round(df, names):
@@ -40,7 +49,7 @@ def _q_trace(threshold, exact):
 
 def q_trace_regression(spark, sf):
     preds = predictions(spark, sf).withColumn("prediction", F.col("vote_1"))
-    df = delayed.delay_trace_regression(preds, WAIT, LABEL, START, END)
+    df = delayed.delay_trace_regression(preds, WAIT, LABEL, *eval_days(spark, sf))
     return _round(_big(df.drop("model"), ["queue_size"]), ["truth", "prediction"])
 
 
@@ -229,7 +238,7 @@ THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
 
 def threshold_runs(spark, sf):
     """Recall and accuracy per model and vote threshold: judged once, counted per threshold."""
-    tr = delayed.delay_trace(predictions(spark, sf), WAIT, START, END, 0.5)
+    tr = trace(spark, sf)
     grid = tr.selectExpr("*", f"explode(array({', '.join(f'{t}D' for t in THRESHOLDS)})) AS h").withColumn("pred_class", (F.col("vote_1") >= F.col("h")).cast("int"))
     return guards.threshold_grid(metrics.confusion(grid, ["model", "h", "eval_day"]), ["model", "h"])
 
