@@ -36,10 +36,20 @@ def micro_clusters(points: DataFrame, coords: list[str], side: float, by: list[s
 
 def horizon(buckets: DataFrame, bucket: str, start: int, end: int) -> DataFrame:
     """Micro-clusters of a time horizon from those per (time bucket, cell): sums are additive."""
-    df = buckets.where(F.col(bucket).between(start, end))
+    return _added(buckets.where(F.col(bucket).between(start, end)), ["cell"])
+
+
+def horizons(buckets: DataFrame, bucket: str, h: int) -> DataFrame:
+    """The horizon of every bucket that has points: micro-clusters of the ``h`` buckets up to it, as ``horizon`` and cell."""
+    ends = F.explode(F.sequence(F.col(bucket), F.col(bucket) + h - 1))
+    out = _added(buckets.withColumn("horizon", ends), ["horizon", "cell"])
+    return out.join(buckets.select(F.col(bucket).alias("horizon")).distinct(), "horizon", "left_semi")
+
+
+def _added(buckets: DataFrame, by: list[str]) -> DataFrame:
     d = "size(any_value(ls))"
     add = lambda c: F.expr(f"transform(sequence(0, {d} - 1), i -> aggregate(collect_list({c}), 0.0D, (a, x) -> a + x[i]))")
-    out = df.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), add("ls").alias("ls"), add("ss").alias("ss"))
+    out = buckets.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), add("ls").alias("ls"), add("ss").alias("ss"))
     return out.withColumn("centre", F.transform("ls", lambda s: s / F.col("weight")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALT_ROWS = 20_000
+PAIR_ROWS = 1_000
 
 
 def cell_of(coords: list[str], side: float) -> Column:
@@ -62,11 +63,26 @@ def distance_outliers(points: DataFrame, id_col: str, coords: list[str], radius:
 
 
 def range_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, coords: list[str], radius: float, by: list[str] = ()) -> DataFrame:
-    """Pairs of two tables within ``radius`` (cells of side ``radius``, adjacent cells only). The output is as large as the answer."""
+    """Pairs of two tables within ``radius`` (cells of side ``radius``, adjacent cells only). The output is as large as the answer.
+
+    The two sides of a filled cell are dealt into blocks of about PAIR_ROWS rows, and every block of one side meets every block of the other.
+    """
     d = len(coords)
     lhs = left.select(*by, F.col(left_id).alias("_l"), *[F.col(c).alias(f"_a_{c}") for c in coords], cell_of(coords, radius).alias("_home"))
     lhs = lhs.withColumn("_cell", F.explode(F.transform(offsets(d, 1), lambda o: shifted(F.col("_home"), o)))).drop("_home")
     rhs = right.select(*by, F.col(right_id).alias("_r"), *coords, cell_of(coords, radius).alias("_cell"))
+    blocks = lambda df, name: df.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIR_ROWS)).cast("int").alias(name))
+    cells = blocks(lhs, "_ls").join(blocks(rhs, "_rs"), [*by, "_cell"])  # only cells that both sides reach
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lhs = lhs.join(cells, [*by, "_cell"]).withColumn("_lb", own("_l", "_ls")).withColumn("_rb", every("_rs")).drop("_ls", "_rs")
+    rhs = rhs.join(cells, [*by, "_cell"]).withColumn("_rb", own("_r", "_rs")).withColumn("_lb", every("_ls")).drop("_ls", "_rs")
     d2 = distance2([F.col(f"_a_{c}") for c in coords], [F.col(c) for c in coords])
-    pairs = lhs.join(rhs, [*by, "_cell"]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
+    pairs = lhs.join(rhs, [*by, "_cell", "_lb", "_rb"]).withColumn("distance", F.sqrt(d2)).where(F.col("distance") <= radius)
     return pairs.select(*by, F.col("_l").alias(left_id), F.col("_r").alias(right_id), "distance")
+
+
+def neighbour_pairs(points: DataFrame, id_col: str, coords: list[str], radius: float, by: list[str] = ()) -> DataFrame:
+    """Every pair of one table's points within ``radius`` once: ``id_col`` < ``other_id``."""
+    other = points.select(*by, F.col(id_col).alias("other_id"), *coords)
+    return range_pairs(points, other, id_col, "other_id", coords, radius, by).where(F.col(id_col) < F.col("other_id"))

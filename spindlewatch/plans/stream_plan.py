@@ -71,6 +71,11 @@ def q_range_join(spark, sf):
     return neighbours.range_pairs(a, b, "vec_id", "other_id", XY, 0.03).withColumn("distance", r4(F.col("distance")))
 
 
+def q_neighbours(spark, sf):
+    """All points with all points; ``distance_range_join`` is the form with two tables, here of some labels each."""
+    return neighbours.neighbour_pairs(points(spark, sf), "vec_id", XY, 0.03).withColumn("distance", r4(F.col("distance")))
+
+
 def micro(spark, sf):
     return clusters.micro_clusters(points(spark, sf), XY, SIDE)
 
@@ -90,6 +95,13 @@ def q_horizon(spark, sf):
     return m.select(_text("cell").alias("cell"), "n", r4(F.get("ls", F.lit(0))).alias("ls0"), r4(F.get("ss", F.lit(1))).alias("ss1"))
 
 
+def q_horizons(spark, sf):
+    """The last three buckets at every bucket; ``micro_clusters_horizon`` is one fixed horizon."""
+    p = points(spark, sf).withColumn("bucket", F.floor(F.col("vec_id") / 100).cast("bigint"))
+    m = clusters.horizons(clusters.micro_clusters(p, XY, SIDE, by=["bucket"]), "bucket", 3)
+    return m.select("horizon", _text("cell").alias("cell"), "n", r4(F.get("ls", F.lit(0))).alias("ls0"), r4(F.get("ss", F.lit(1))).alias("ss1"))
+
+
 def q_dbscan(spark, sf):
     out = clusters.dbscan(micro(spark, sf), EPS, MU, 2)
     return out.select(_text("cell").alias("cell"), _text("cluster").alias("cluster"), "core")
@@ -462,8 +474,10 @@ QUERIES = {
     "drift_segments": q_segments,
     "distance_outliers": q_outliers,
     "distance_range_join": q_range_join,
+    "distance_self_join": q_neighbours,
     "micro_clusters_decayed": q_micro,
     "micro_clusters_horizon": q_horizon,
+    "micro_clusters_horizons": q_horizons,
     "dbscan_micro_clusters": q_dbscan,
     "denstream_clusters": q_denstream,
     "dstream_density_grid": q_dstream,
@@ -521,6 +535,8 @@ ORACLE = {
     "distance_range_join": f"""WITH {_PT}, d AS (SELECT a.vec_id, b.vec_id AS other_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance FROM pt a JOIN pt b ON a.class<2 AND b.class=2) SELECT vec_id, other_id, {_R('distance', 'distance')} FROM d WHERE distance<=0.03""",
     "micro_clusters_decayed": f"WITH {_PT}, w AS (SELECT *, pow(0.5::DOUBLE,vec_id//100) AS w FROM pt) SELECT floor(x/{SIDE}::DOUBLE)::BIGINT||','||floor(y/{SIDE}::DOUBLE)::BIGINT AS cell, count(*) AS n, {_R('sum(w)', 'weight')}, {_R('sum(w*x)', 'ls0')}, {_R('sum(w*y*y)', 'ss1')} FROM w GROUP BY 1",
     "micro_clusters_horizon": f"WITH {_PT} SELECT floor(x/{SIDE}::DOUBLE)::BIGINT||','||floor(y/{SIDE}::DOUBLE)::BIGINT AS cell, count(*) AS n, {_R('sum(x)', 'ls0')}, {_R('sum(y*y)', 'ss1')} FROM pt WHERE vec_id//100 BETWEEN 1 AND 3 GROUP BY 1",
+    "distance_self_join": f"""WITH {_PT}, d AS (SELECT a.vec_id, b.vec_id AS other_id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance FROM pt a JOIN pt b ON a.vec_id<b.vec_id) SELECT vec_id, other_id, {_R('distance', 'distance')} FROM d WHERE distance<=0.03""",
+    "micro_clusters_horizons": f"WITH {_PT}, h AS (SELECT DISTINCT vec_id//100 AS horizon FROM pt) SELECT horizon, floor(x/{SIDE}::DOUBLE)::BIGINT||','||floor(y/{SIDE}::DOUBLE)::BIGINT AS cell, count(*) AS n, {_R('sum(x)', 'ls0')}, {_R('sum(y*y)', 'ss1')} FROM pt JOIN h ON vec_id//100 BETWEEN horizon-2 AND horizon GROUP BY ALL",
     "dbscan_micro_clusters": _dbscan_sql("1.0::DOUBLE", 0.0, MU),
     "denstream_clusters": _dbscan_sql("pow(0.8::DOUBLE,vec_id//100)", 0.5, MU / 2),
     "dstream_density_grid": f"""WITH RECURSIVE {_PT}, g AS (SELECT {_CELL}, sum(pow(0.9::DOUBLE,vec_id//100)) AS w FROM pt GROUP BY ALL), k AS (SELECT *, [i,j] AS c, CASE WHEN w>=6.0/(40*(1-0.9::DOUBLE)) THEN 'dense' WHEN w<=2.0/(40*(1-0.9::DOUBLE)) THEN 'sparse' ELSE 'transitional' END AS kind FROM g),

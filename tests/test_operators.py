@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spindlewatch.functions import ordered
 from spindlewatch.operators import clusters, drift, gate, guards, metrics, models, neighbours, sampling, sequences
 from spindlewatch.plans.answers_plan import DIM, cache
+from spindlewatch.plans.registry import queries
 
 
 def test_running_over_hot_ranges(spark):
@@ -57,6 +58,28 @@ def test_range_pairs(spark):
     assert got == {(i, j) for i in range(200) for j in range(200) if d[i, j] <= 0.15}
 
 
+def test_all_pairs_of_one_table_with_a_hot_cell(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PAIR_ROWS", 20)  # forces several blocks on both sides of the crowded cell
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(0.07, 0.004, (150, 2)), rng.uniform(-1, 1, (150, 2)), [[0.5, 0.5]] * 3])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "a int, x double, y double")
+    pairs = [(r.a, r.other_id) for r in neighbours.neighbour_pairs(df, "a", ["x", "y"], 0.15).collect()]
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(axis=2))
+    assert sorted(pairs) == [(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if d[i, j] <= 0.15]
+
+
+def test_every_vector_has_a_horizon(spark, sf):
+    out = queries()["micro_clusters_horizons"](spark, sf).groupBy("horizon").agg(F.sum("n").alias("n")).collect()
+    n = [min(b + 1, 3) * 100 for b in range(5)]  # 500 vectors in buckets of 100
+    assert {r.horizon: r.n for r in out} == dict(enumerate(n))
+
+
+def test_neighbours_of_all_labels(spark, sf):
+    pairs = queries()["distance_self_join"](spark, sf)
+    label = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label")
+    assert pairs.join(label, "vec_id").select("label").distinct().count() == 10
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "node int")
     edges = spark.createDataFrame([(i, i + 1) for i in range(59) if i != 29], "src int, dst int")
