@@ -3,9 +3,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,8 @@ from spindlewatch.functions.ordered import overlap_tiles, row_numbers, running
 from spindlewatch.operators.windows import stage
 from spindlewatch.session import cut_lineage
 
+FITS = 4
+
 # ---- estimators ---------------------------------------------------------------------------------------------------------------
 
 
@@ -226,13 +230,30 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     return out.drop("features", "rawPrediction", "probability")
 
 
-def train_per_day(sets: DataFrame, features: list[str], label: str, days: list, kind: str = "forest", weight: str | None = None, **params) -> DataFrame:
-    """A model per as-of day from its train rows, scoring its test rows. The loop is over days; each fit is a distributed job."""
-    out = None
-    for day in days:
+def train_per_day(
+    sets: DataFrame, features: list[str], label: str, days: list | None = None, kind: str = "forest", weight: str | None = None, **params
+) -> DataFrame:
+    """A model per as-of day from its train rows, scoring its test rows; without ``days`` for every as-of day with test rows.
+
+    Each fit is a distributed job, and FITS of them run at a time. A day without train rows has no model: its rows get no prediction.
+    """
+    sets = cut_lineage(sets)
+    trains = F.count_if((F.col("split") == "train") & (F.col(weight) > 0 if weight else F.lit(True)))
+    counts = sets.groupBy("asof_day").agg(trains.alias("train"), F.count_if(F.col("split") == "test").alias("test")).collect()  # one row per day
+    if days is None:
+        days = sorted(r.asof_day for r in counts if r.test)
+    taught = {str(r.asof_day) for r in counts if r.train}
+
+    def scored(day):
         today = sets.where(F.col("asof_day") == F.lit(day))
-        scored = fit_predict(today.where("split = 'train'"), today.where("split = 'test'"), features, label, kind, weight, **params)
-        out = scored if out is None else out.unionByName(scored)
+        train, test = today.where("split = 'train'"), today.where("split = 'test'")
+        return fit_predict(train, test, features, label, kind, weight, **params) if str(day) in taught else test
+
+    with ThreadPool(FITS) as pool:
+        parts = pool.map(inheritable_thread_target(scored), days)
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 

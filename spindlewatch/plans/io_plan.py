@@ -9,7 +9,7 @@ from spindlewatch.operators.windows import feature_stats, stage
 from spindlewatch.plans.answers_plan import CACHE_SQL, DIM, cache
 from spindlewatch.plans.bridge import FEATURES, daily, daily_sql, table
 from spindlewatch.plans.eval_plan import _PRED, FULL, ORACLE as EVAL_ORACLE, daily_counts, predictions, trace
-from spindlewatch.plans.labels_plan import _FD
+from spindlewatch.plans.labels_plan import _FD, TAIL, last_day
 from spindlewatch.plans.stream_plan import ORACLE as STREAM_ORACLE, PARAMS
 from spindlewatch.plans.windows_plan import ORACLE as WINDOW_ORACLE
 from spindlewatch.operators import labels
@@ -34,7 +34,7 @@ def q_daily_csv(spark, sf):
 
 def q_sets_parquet(spark, sf):
     out = work_dir(spark, "sets")
-    writers.write_sets(labels.asof_sets(daily(spark, sf), 30, 7, 5, end="2024-02-10"), out)
+    writers.write_sets(labels.asof_sets(daily(spark, sf), 30, 7, 5, end=last_day(spark, sf, TAIL)), out)
     back = spark.read.parquet(out)
     return back.groupBy("asof_day", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
 

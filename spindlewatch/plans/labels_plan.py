@@ -1,13 +1,21 @@
 """Queries over as-of labels and training sets."""
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from spindlewatch.functions.scalars import r4
 from spindlewatch.operators import labels
-from spindlewatch.plans.bridge import FEATURES, daily, daily_sql
+from spindlewatch.plans.bridge import FEATURES, daily, daily_sql, day_range
 
 W, L, A = 30, 7, 5  # days positives stay, days negatives stay, label days
+TAIL = 11  # as-of days after the last day of the table: their sets have no test rows; the SQL twins end there on the given tables
+
+
+def last_day(spark, sf, more=0):
+    last = day_range(spark, sf)[1]
+    return last and last + timedelta(days=more)
 
 
 def q_label_interval(spark, sf):
@@ -30,28 +38,34 @@ def q_label_join(spark, sf):
 
 
 def q_asof_sets(spark, sf):
-    sets = labels.asof_sets(daily(spark, sf), W, L, A, end="2024-02-10")
+    sets = labels.asof_sets(daily(spark, sf), W, L, A, end=last_day(spark, sf, TAIL))
     return sets.select("asof_day", "disk", "day", "split", F.col("label").cast("bigint").alias("label"))
 
 
 def q_imbalance(spark, sf):
-    sets = labels.asof_sets(daily(spark, sf), W, L, A, end="2024-02-10")
+    sets = labels.asof_sets(daily(spark, sf), W, L, A, end=last_day(spark, sf, TAIL))
     out = labels.imbalance(sets.where("split = 'train' OR split = 'test'"))
     return out.withColumn("ratio", r4(F.col("ratio")))
 
 
 def q_asof_no_history(spark, sf):
-    sets = labels.asof_sets(daily(spark, sf), W, L, A, end="2024-02-10", keep_history=False)
+    sets = labels.asof_sets(daily(spark, sf), W, L, A, end=last_day(spark, sf, TAIL), keep_history=False)
     return sets.groupBy("asof_day", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
 
 
 def q_asof_regression(spark, sf):
-    sets = labels.asof_sets(daily(spark, sf), W, L, A, end="2024-02-10", regression=True)
+    sets = labels.asof_sets(daily(spark, sf), W, L, A, end=last_day(spark, sf, TAIL), regression=True)
     return sets.groupBy("asof_day").agg(F.count(F.lit(1)).alias("n"), r4(F.sum("label")).alias("target_sum"))
 
 
 def q_asof_forget_no(spark, sf):
-    sets = labels.asof_sets(daily(spark, sf), W, L, A, start="2024-01-25", end="2024-01-30", forget=False)
+    sets = labels.asof_sets(daily(spark, sf), W, L, A, start=last_day(spark, sf, -5), end=last_day(spark, sf), forget=False)
+    return sets.groupBy("asof_day").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
+
+
+def q_asof_forget_no_all(spark, sf):
+    """Every as-of day of the table; ``asof_sets_forget_nothing`` has the last six, as its SQL twin."""
+    sets = labels.asof_sets(daily(spark, sf), W, L, A, end=last_day(spark, sf), forget=False)
     return sets.groupBy("asof_day").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
 
 
@@ -93,6 +107,7 @@ QUERIES = {
     "asof_sets_without_history": q_asof_no_history,
     "asof_regression_targets": q_asof_regression,
     "asof_sets_forget_nothing": q_asof_forget_no,
+    "asof_sets_forget_nothing_all_days": q_asof_forget_no_all,
     "disk_metadata": q_metadata,
     "disk_metadata_upsert": q_metadata_merge,
     "drop_rows_after_failure": q_drop_after_failure,
@@ -115,6 +130,9 @@ ORACLE = {
       fl AS (SELECT disk, day AS f FROM daily WHERE failure=1)
       SELECT asof_day, count(*) AS n, sum((SELECT count(*)>0 FROM fl WHERE fl.disk=d.disk AND fl.f BETWEEN d.day AND d.day+{A} AND fl.f<=c.asof_day)::BIGINT)::BIGINT AS positives
       FROM daily d JOIN cal c ON d.day<=c.asof_day GROUP BY asof_day""",
+    "asof_sets_forget_nothing_all_days": f"""WITH {daily_sql()}, cal AS (SELECT DISTINCT day AS asof_day FROM daily), fl AS (SELECT disk, day AS f FROM daily WHERE failure=1)
+      SELECT asof_day, count(*) AS n, sum((SELECT count(*)>0 FROM fl WHERE fl.disk=d.disk AND fl.f BETWEEN d.day AND d.day+{A} AND fl.f<=c.asof_day)::BIGINT)::BIGINT AS positives
+      FROM daily d JOIN cal c ON d.day<=c.asof_day GROUP BY asof_day""",
     "disk_metadata": f"""WITH {daily_sql()} SELECT disk, model, count(*) AS collect_days, min(day) AS start_date, min(day) FILTER (failure=1) AS failed_date
       FROM daily GROUP BY disk, model""",
     "drop_rows_after_failure": f"""WITH {daily_sql()}, {_F1} SELECT d.disk, d.day, coalesce(fail_day=d.day,false)::BIGINT AS failure

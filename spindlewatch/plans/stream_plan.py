@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spindlewatch.functions.scalars import r4
 from spindlewatch.operators import clusters, drift, metrics, models, neighbours
 from spindlewatch.operators.windows import stage
-from spindlewatch.plans.bridge import daily, daily_sql, table
+from spindlewatch.plans.bridge import daily, daily_sql, day_range, table
 from spindlewatch.plans.eval_plan import _PRED, predictions
 
 
@@ -326,9 +326,11 @@ def q_forest(spark, sf):
 
     d = daily(spark, sf)
     feats = ["smart_5_raw", "smart_199_raw", "smart_194_raw", "smart_192_raw"]
-    sets = sampling.poisson_weights(labels.asof_sets(d, 30, 7, 5, start="2024-01-24", end="2024-01-25"), ["disk", "day"], "label", F.lit(2.0))
+    sets = sampling.poisson_weights(labels.asof_sets(d, 30, 7, 5, end=day_range(spark, sf)[1]), ["disk", "day"], "label", F.lit(2.0))
     sets = sets.withColumn("weight", F.when(F.col("split") == "test", 1.0).otherwise(F.col("weight").cast("double")))
-    out = models.train_per_day(sets, feats, "label", ["2024-01-24", "2024-01-25"], "forest", "weight", numTrees=10, maxDepth=4, seed=1)
+    # two classes also on a day whose train rows are of one
+    sets = sets.withColumn("label", F.col("label").cast("double").alias("label", metadata={"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}))
+    out = models.train_per_day(sets, feats, "label", None, "forest", "weight", numTrees=10, maxDepth=4, seed=1)
     return out.groupBy("asof_day").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction").isin(0.0, 1.0)).alias("judged"))
 
 

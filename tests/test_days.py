@@ -26,3 +26,22 @@ def rows(spark, sf, name, days=()):
 def test_evaluation_days_follow_the_table(spark, sf, moved, name):
     want = rows(spark, sf, name)
     assert want and rows(spark, moved, name, ("eval_day", "source_day")) == want
+
+
+ASOF = ["asof_train_test_sets", "asof_imbalance_ratio", "asof_sets_without_history", "asof_regression_targets", "asof_sets_forget_nothing", "asof_sets_partitioned"]
+
+
+@pytest.mark.parametrize("name", ASOF)
+def test_asof_days_follow_the_table(spark, sf, moved, name):
+    want = rows(spark, sf, name)
+    assert want and rows(spark, moved, name, ("asof_day", "day")) == want
+
+
+def test_forgetting_nothing_reports_every_day(spark, sf):
+    assert len(rows(spark, sf, "asof_sets_forget_nothing_all_days")) == 30
+
+
+def test_forest_of_every_day(spark, sf):
+    got = rows(spark, sf, "forest_per_day")
+    assert len(got) == 30 and got[0][2] == 0  # nothing to train on before the first day
+    assert all(n == judged for _, n, judged in got[1:])
