@@ -253,6 +253,45 @@ def multi_target(df: DataFrame, targets: list[str], preds: list[str], by: list[s
     return stage(out, cols).drop(*err)
 
 
+def multi_target_relative(
+    df: DataFrame, targets: list[str], preds: list[str], key: str, by: list[str] = (), ranges: int | None = None, tie: list[str] = ()
+) -> DataFrame:
+    """Mean over targets of relative MAE and RMSE: errors against those of the mean of the rows seen so far, the row included.
+
+    ``key``, then ``tie``, is the unique order of the rows. Null when a target never left its running mean.
+    """
+    sums = {f"_y{i}": F.col(t).cast("double") for i, t in enumerate(targets)}
+    df = running(df, key, {"_seen": F.lit(1).cast("bigint"), **sums}, within=list(by), ranges=ranges, tie=tie)
+    aggs = []
+    for i, (t, p) in enumerate(zip(targets, preds)):
+        e, m = F.abs(F.col(t) - F.col(p)), F.abs(F.col(t) - F.col(f"_y{i}") / F.col("_seen"))
+        aggs += [F.sum(e).alias(f"_e{i}"), F.sum(m).alias(f"_m{i}"), F.sum(e * e).alias(f"_s{i}"), F.sum(m * m).alias(f"_q{i}")]
+    return _relative(df.groupBy(*by).agg(F.count(F.lit(1)).alias("instances"), *aggs), len(targets))
+
+
+def _relative(df: DataFrame, k: int) -> DataFrame:
+    mae, rmse = ([f"{o}try_divide({a}{i}, {b}{i}))" for i in range(k)] for o, a, b in (("(", "_e", "_m"), ("sqrt(", "_s", "_q")))
+    out = stage(df, {"relative_mae": f"({' + '.join(mae)}) / {k}.0D", "relative_rmse": f"({' + '.join(rmse)}) / {k}.0D"})
+    return out.drop(*[f"{x}{i}" for x in ("_e", "_m", "_s", "_q") for i in range(k)])
+
+
+def multi_target_windowed(df: DataFrame, targets: list[str], preds: list[str], key: str, width: int, ranges: int | None = None) -> DataFrame:
+    """Per row the plain and relative errors over the last ``width`` rows of the order ``key`` (``n`` is the row's position).
+
+    The mean that a row is compared with is that of the window ending at the row.
+    """
+    k = len(targets)
+    means = sliding(df, key, {f"_y{i}": F.col(t).cast("double") for i, t in enumerate(targets)}, width, ranges)
+    values = {}
+    for i, (t, p) in enumerate(zip(targets, preds)):
+        e, m = F.abs(F.col(t) - F.col(p)), F.abs(F.col(t) - F.col(f"_y{i}"))
+        values |= {f"_e{i}": e, f"_m{i}": m, f"_s{i}": e * e, f"_q{i}": m * m}
+    # sliding() numbers the rows again
+    out = sliding(means.drop("n"), key, values, width, ranges).drop(*[f"_y{i}" for i in range(k)])
+    mean = lambda c: " + ".join(f"{c}{i}" for i in range(k))
+    return _relative(stage(out, {"mae": f"({mean('_e')}) / {k}.0D", "rmse": f"sqrt(({mean('_s')}) / {k}.0D)"}), k)
+
+
 def fold_summary(curves: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Mean and sample deviation of every metric over folds or runs."""
     aggs = [f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_samp))]

@@ -181,6 +181,23 @@ def q_multitarget(spark, sf):
     return _round(a.join(b, "l_returnflag"), ["mae", "rmse", "relative_rmse"])
 
 
+def _two_targets(spark, sf):
+    """Two targets per event in event order: its value in cents and its user."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", "value", "user_id")
+    return stage(ev, {"t1": "floor(value * 100.0D + 0.5D)", "p1": "2000.0D", "t2": "cast(user_id % 50 AS double)", "p2": "25.0D"})
+
+
+def q_multitarget_relative(spark, sf):
+    """Errors relative to the running mean; ``relative_rmse`` of ``multi_target_metrics`` divides by the spread around the final mean."""
+    out = metrics.multi_target_relative(_two_targets(spark, sf), ["t1", "t2"], ["p1", "p2"], "event_id", ["event_type"])
+    return _round(out, ["relative_mae", "relative_rmse"])
+
+
+def q_multitarget_windowed(spark, sf):
+    out = metrics.multi_target_windowed(_two_targets(spark, sf), ["t1", "t2"], ["p1", "p2"], "event_id", 1000)
+    return _round(out.select("event_id", "mae", "rmse", "relative_mae", "relative_rmse"), ["mae", "rmse", "relative_mae", "relative_rmse"])
+
+
 def q_folds(spark, sf):
     ev = events_scored(spark, sf).withColumn("fold", F.col("seq") % 5).withColumn("tile", F.floor(F.col("seq") / 1000).cast("bigint"))
     curve = ev.groupBy("fold", "tile").agg(F.avg(_hit()).alias("accuracy"))
@@ -385,6 +402,8 @@ QUERIES = {
     "regression_windowed": q_sliding_regression,
     "multi_label_metrics": q_multilabel,
     "multi_target_metrics": q_multitarget,
+    "multi_target_relative": q_multitarget_relative,
+    "multi_target_windowed": q_multitarget_windowed,
     "fold_mean_and_std": q_folds,
     "or_fusion_grid": q_fusion,
     "model_status": q_status,

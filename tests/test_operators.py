@@ -80,6 +80,28 @@ def test_neighbours_of_all_labels(spark, sf):
     assert pairs.join(label, "vec_id").select("label").distinct().count() == 10
 
 
+def _relative_by_rows(rows, width):
+    """(mae, rmse, relative mae, relative rmse) after each row: the reference's sums, one row after the other."""
+    t, p = (np.array([r[j : j + 2] for r in rows], float) for j in (0, 2))
+    base = np.array([t[i] - t[max(0, i + 1 - width) : i + 1].mean(axis=0) for i in range(len(rows))])
+    for i in range(len(rows)):
+        e, m = (abs(x[max(0, i + 1 - width) : i + 1]) for x in (t - p, base))
+        with np.errstate(all="ignore"):
+            yield e.mean(), np.sqrt((e * e).mean()), (e.sum(axis=0) / m.sum(axis=0)).mean(), np.sqrt((e * e).sum(axis=0) / (m * m).sum(axis=0)).mean()
+
+
+def test_multi_target_against_the_running_mean(spark):
+    rng = np.random.default_rng(6)
+    rows = [(float(i + rng.normal()), float(rng.normal()), float(i), 0.0) for i in range(400)]  # the first target's mean moves
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, t1 double, t2 double, p1 double, p2 double")
+    got = metrics.multi_target_relative(df, ["t1", "t2"], ["p1", "p2"], "k", ranges=8).first()
+    assert got.instances == 400
+    assert np.allclose((got.relative_mae, got.relative_rmse), list(_relative_by_rows(rows, 400))[-1][2:])
+    part = metrics.multi_target_windowed(df, ["t1", "t2"], ["p1", "p2"], "k", 30, ranges=8).toPandas().sort_values("k")
+    assert part.n.tolist() == list(range(1, 401))
+    assert np.allclose(part[["mae", "rmse", "relative_mae", "relative_rmse"]].values[1:].astype(float), list(_relative_by_rows(rows, 30))[1:])
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.createDataFrame([(i,) for i in range(60)], "node int")
     edges = spark.createDataFrame([(i, i + 1) for i in range(59) if i != 29], "src int, dst int")
