@@ -26,6 +26,7 @@ CANDIDATES = 96
 LEAF_ROWS = 1_024
 BLOCK_ROWS = 4_096
 BLOCK_ASKS = 512
+ASKS_AT_ONCE = 256
 SLACK = 1e-9
 LOWEST, HIGHEST = -(1 << 62), 1 << 62
 ROW = "vec_id long, label long, dims int, length2 double, v binary, node string"
@@ -205,20 +206,27 @@ def visits(asks: DataFrame, tree: Tree) -> DataFrame:
 
 
 def best_of(asks: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exactly: of every ask the k best rows of a block that it may take."""
+    """Exactly: of every ask the k best rows of a block that it may take. All asks of a block are answered by one product."""
     dims = int(asks["dims"].iloc[0])
     own, label, ids = matrix(rows["v"], dims), rows["label"].to_numpy(), rows["vec_id"].to_numpy()
+    of_anchor = asks.drop_duplicates("anchor_id")
+    place = pd.Series(np.arange(len(of_anchor)), index=of_anchor["anchor_id"])[asks["anchor_id"]].to_numpy()
+    scores = products(matrix(of_anchor["v"], dims), own)
+    columns = [asks[c].to_numpy()[:, None] for c in ("anchor_id", "same", "label", "low", "high")]
     found = []
-    for anchor, some in asks.groupby("anchor_id"):
-        scores = products(matrix(some["v"].iloc[:1], dims), own)[0]
-        for ask, same, of, low, high in some[["ask", "same", "label", "low", "high"]].itertuples(index=False):
-            at = np.flatnonzero(((label == of) == same) & (scores >= low) & (scores <= high) & (ids != anchor))
-            if len(at) > 4 * k:
-                edge = np.partition(scores[at], len(at) - k)[len(at) - k]
-                at = at[scores[at] >= edge]
-            at = at[np.lexsort((ids[at], -scores[at]))[:k]]
-            found += [(anchor, ask, ids[i], scores[i]) for i in at.tolist()]
-    return pd.DataFrame(found, columns=["anchor_id", "ask", "vec_id", "score"]).astype({"anchor_id": "int64", "ask": "int32", "vec_id": "int64", "score": "int64"})
+    for a in range(0, len(asks), ASKS_AT_ONCE):
+        anchor, same, of, low, high = (c[a : a + ASKS_AT_ONCE] for c in columns)
+        s = scores[place[a : a + ASKS_AT_ONCE]]
+        at, row = np.nonzero(((label[None] == of) == same) & (s >= low) & (s <= high) & (ids[None] != anchor))
+        s = s[at, row]
+        order = np.lexsort((ids[row], -s, at))
+        at, row, s = at[order], row[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        turn = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+        keep = turn < k
+        found.append((at[keep] + a, ids[row[keep]], s[keep]))
+    at, row_ids, s = (np.concatenate(c) for c in zip(*found))
+    return pd.DataFrame({"anchor_id": asks["anchor_id"].to_numpy()[at], "ask": asks["ask"].to_numpy()[at], "vec_id": row_ids, "score": s})
 
 
 def searched(asked: DataFrame, tree: Tree, k: int) -> DataFrame:
