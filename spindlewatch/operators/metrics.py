@@ -85,6 +85,12 @@ def run_summary(daily: DataFrame, by: list[str] = ()) -> DataFrame:
     return stage(out, {"f1": "try_divide(2.0D * precision * recall, precision + recall)"})
 
 
+def regression_run_summary(daily: DataFrame, value: str = "avg_err_days", by: list[str] = ()) -> DataFrame:
+    """Mean, sample deviation, largest and smallest daily error in days, and over how many days; days without one don't count."""
+    x = F.when(~F.isnan(value), F.col(value))
+    return daily.groupBy(*by).agg(F.count(x).alias("days"), F.avg(x).alias("days_mean"), F.stddev_samp(x).alias("days_std"), F.max(x).alias("days_max"), F.min(x).alias("days_min"))
+
+
 def ordered_kappas(df: DataFrame, key: str, truth: str = "true_class", pred: str = "pred_class", ranges: int | None = None) -> DataFrame:
     """Kappa against the last class seen and against the running majority class, over the whole-table order ``key``."""
     ones = (F.col(truth) == 1).cast("bigint")

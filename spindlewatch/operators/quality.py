@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindlewatch.functions.names import ROOT_CAUSES, model_key_joined, smart_name
 from spindlewatch.functions.ordered import running
 from spindlewatch.operators.windows import stage
+from spindlewatch.session import checked_broadcast
 
 # Coverage thresholds tried in this order.
 COVERAGE_STEPS = [0.99, 0.95, 0.9, 0.8, 0.5]
@@ -83,7 +84,7 @@ def rank_event_features(
 
     ``rule_weights`` (sensor, weight, grouped) holds the sensors a rule or seed names; they stay candidates at any presence.
     """
-    df = presence.join(F.broadcast(rule_weights), "sensor", "left")  # one row per ruled sensor
+    df = presence.join(checked_broadcast(rule_weights), "sensor", "left")
     seed = F.col("sensor").isin(list(seeds))
     score = F.col("presence") * (1.0 + F.coalesce("weight", F.lit(0.70)) * F.when(F.col("grouped"), 1.0).otherwise(0.35)) + F.when(seed, 0.05).otherwise(0.0)
     df = df.withColumn("score", score).where((F.col("presence") >= min_presence) | F.col("weight").isNotNull() | seed)
@@ -92,6 +93,27 @@ def rank_event_features(
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_features).select(model, "sensor", "score", "rank")
 
 
+def backfill_event_features(ranked: DataFrame, models: DataFrame, rule_weights: DataFrame, seeds: list[str], min_features: int, max_features: int, model: str = "model") -> DataFrame:
+    """(model, sensor, rank): ranked features, then ruled sensors by weight, then seeds, until a model has min_features; never more than max_features.
+
+    A model without any ranked feature gets all ruled sensors before that limit counts; ties of weight go to the smaller sensor number.
+    rule_weights (sensor, weight) has a row for each ruled sensor only, so models times rules is a short list.
+    """
+    sid = F.regexp_extract("sensor", r"(\d+)$", 1).try_cast("int")
+    ruled = rule_weights.where("weight IS NOT NULL").select("sensor", F.row_number().over(Window.partitionBy().orderBy(F.desc("weight"), sid)).alias("place"))
+    order = F.array_sort(F.collect_list(F.struct("place", "sensor")))
+    rules = F.coalesce(ruled.agg(F.transform(order, lambda x: x["sensor"]).alias("a")).scalar(), F.array().cast("array<string>"))
+    own = models.select(model).distinct().join(ranked, model, "left").groupBy(model).agg(F.array_sort(F.collect_list(F.when(F.col("sensor").isNotNull(), F.struct("rank", "sensor")))).alias("_o"))
+    out = own.withColumns({"_have": F.transform("_o", lambda x: x["sensor"]), "_rules": rules})
+    fill = "slice(array_except({0}, _have), 1, greatest(0, {1} - size(_have)))"
+    many = f"IF(size(_have) = 0 AND {min_features} <= 0, size(_rules), {max(0, min_features)})"
+    out = stage(out, {"_have": f"concat(_have, {fill.format('_rules', many)})"})
+    seeded = "array(" + ", ".join(f"'{s}'" for s in seeds) + ")" if seeds else "cast(array() AS array<string>)"
+    out = stage(out, {"_have": f"concat(_have, {fill.format(seeded, f'IF(size(_have) = 0 AND {min_features} <= 0, {len(seeds)}, {max(0, min_features)})')})"})
+    out = stage(out, {"_have": f"slice(_have, 1, {max_features})"} if max_features > 0 else {})
+    return out.select(model, F.posexplode("_have").alias("rank", "sensor")).withColumn("rank", F.col("rank") + 1)
+
+
 def missing_features(present: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     return present.select(*keys).distinct().join(parent.select(keys[-1]).distinct(), keys[-1], "left_anti")
 

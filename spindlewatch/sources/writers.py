@@ -54,3 +54,46 @@ def shuffled(df: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:
     from spindlewatch.operators.sampling import uniform
 
     return df.orderBy(uniform(keys, seed)).persist()
+
+
+def write_day_files(rows: DataFrame, path: str, day: str = "date", date_format: str = "%Y-%m-%d") -> DataFrame:
+    """Writes one CSV file per day below a folder, named after the day, and returns (day, file, rows); it is written once that is computed.
+
+    A task streams the days of its partition, one after the other; an attempt that is repeated writes the same files again. Nulls are empty.
+    """
+    import pyarrow as pa
+
+    names = rows.columns
+    text = rows.select(F.col(day).cast("date").alias("_day"), *[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+
+    def run(batches):
+        from pyarrow import csv, fs
+
+        store, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(base, recursive=True)
+        out, writer, current, n = None, None, None, 0
+
+        def close():
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pylist([{"day": current, "file": f"{base}/{current.strftime(date_format)}.csv", "rows": n}], schema=pa.schema([("day", pa.date32()), ("file", pa.string()), ("rows", pa.int64())]))
+
+        for batch in batches:
+            days = batch.column(0).to_pylist()
+            at = 0
+            while at < len(days):
+                end = at
+                while end < len(days) and days[end] == days[at]:
+                    end += 1
+                if days[at] != current:
+                    if writer is not None:
+                        yield close()
+                    current, n = days[at], 0
+                    out = store.open_output_stream(f"{base}/{current.strftime(date_format)}.csv", compression=None)
+                    writer = csv.CSVWriter(out, pa.schema([(c, pa.string()) for c in names]), write_options=csv.WriteOptions(quoting_style="needed"))
+                writer.write_batch(pa.RecordBatch.from_arrays(batch.slice(at, end - at).columns[1:], names=names))
+                n, at = n + end - at, end
+        if writer is not None:
+            yield close()
+
+    return text.where("_day IS NOT NULL").repartition("_day").sortWithinPartitions("_day").mapInArrow(run, "day date, file string, rows long")
