@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spindlewatch.functions.ordered import overlap_tiles, row_numbers, running
 from spindlewatch.operators.windows import stage
+from spindlewatch.session import checked_broadcast
 from spindlewatch.session import cut_lineage
 
 FITS = 4
@@ -283,7 +284,7 @@ def member_weights(scores: DataFrame, member: str, rule: str, beta: float = 0.5,
 def weighted_vote(votes: DataFrame, weights: DataFrame, row: list[str], member: str, klass: str = "class", vote: str = "vote") -> DataFrame:
     """Class with the largest weighted sum of normalised votes; members are few, rows keep their partitioning by key."""
     total = votes.groupBy(*row, member).agg(F.sum(vote).alias("_t"))
-    df = votes.join(total, [*row, member]).join(F.broadcast(weights.select(member, "weight")), member)  # one row per member
+    df = votes.join(total, [*row, member]).join(checked_broadcast(weights.select(member, "weight")), member)
     mass = df.groupBy(*row, klass).agg(F.sum(F.coalesce(F.try_divide(F.col(vote), F.col("_t")), F.lit(0.0)) * F.col("weight")).alias("mass"))
     return mass.groupBy(*row).agg(F.min_by(klass, F.struct(-F.round("mass", 9), F.col(klass))).alias("prediction"), F.max("mass").alias("mass"))
 

@@ -417,6 +417,7 @@ QUERIES = {
     "top_two_configurations": q_top_two,
     "seed_stability": q_seeds,
 }
+_TWO = "SELECT event_id, event_type, floor(value*100.0::DOUBLE+0.5::DOUBLE)::DOUBLE AS t1, 2000.0::DOUBLE AS p1, (user_id%50)::DOUBLE AS t2, 25.0::DOUBLE AS p2 FROM events"
 _TRC = f"eval_day, source_day, disk, true_class::BIGINT AS true_class, pred_class::BIGINT AS pred_class, {_R('vote_0', 'vote_0')}, {_R('vote_1', 'vote_1')}, queue_size, threshold, credit::BIGINT AS credit"
 ORACLE = {
     "delay_trace": f"WITH {_trace_sql(0.5)} SELECT {_TRC} FROM tr",
@@ -456,6 +457,13 @@ ORACLE = {
     "multi_target_metrics": f"""WITH x AS (SELECT l_returnflag, l_quantity AS t1, 25.0::DOUBLE AS p1, l_discount*100.0::DOUBLE AS t2, l_tax*100.0::DOUBLE AS p2 FROM lineitem)
       SELECT l_returnflag, count(*) AS instances, {_R('(avg(abs(t1-p1))+avg(abs(t2-p2)))/2.0::DOUBLE', 'mae')}, {_R('(sqrt(avg((t1-p1)*(t1-p1)))+sqrt(avg((t2-p2)*(t2-p2))))/2.0::DOUBLE', 'rmse')},
       {_R('(sqrt(avg((t1-p1)*(t1-p1)))/stddev_pop(t1)+sqrt(avg((t2-p2)*(t2-p2)))/stddev_pop(t2))/2.0::DOUBLE', 'relative_rmse')} FROM x GROUP BY l_returnflag""",
+    "multi_target_relative": f"""WITH x AS ({_TWO}), m AS (SELECT *, avg(t1) OVER w AS m1, avg(t2) OVER w AS m2 FROM x WINDOW w AS (PARTITION BY event_type ORDER BY event_id))
+      SELECT event_type, count(*) AS instances, {_R('(sum(abs(t1-p1))/sum(abs(t1-m1))+sum(abs(t2-p2))/sum(abs(t2-m2)))/2.0::DOUBLE', 'relative_mae')},
+      {_R('(sqrt(sum((t1-p1)**2)/sum((t1-m1)**2))+sqrt(sum((t2-p2)**2)/sum((t2-m2)**2)))/2.0::DOUBLE', 'relative_rmse')} FROM m GROUP BY event_type""",
+    "multi_target_windowed": f"""WITH x AS ({_TWO}), m AS (SELECT *, avg(t1) OVER w AS m1, avg(t2) OVER w AS m2 FROM x WINDOW w AS (ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)),
+      y AS (SELECT event_id, {', '.join(f'avg(abs(t{i}-p{i})) OVER w AS e{i}, avg(abs(t{i}-m{i})) OVER w AS a{i}, avg((t{i}-p{i})**2) OVER w AS s{i}, avg((t{i}-m{i})**2) OVER w AS q{i}' for i in (1, 2))}
+        FROM m WINDOW w AS (ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW))
+      SELECT event_id, {_R('(e1+e2)/2.0::DOUBLE', 'mae')}, {_R('sqrt((s1+s2)/2.0::DOUBLE)', 'rmse')}, {_R('(e1/nullif(a1,0)+e2/nullif(a2,0))/2.0::DOUBLE', 'relative_mae')}, {_R('(sqrt(s1/nullif(q1,0))+sqrt(s2/nullif(q2,0)))/2.0::DOUBLE', 'relative_rmse')} FROM y""",
     "fold_mean_and_std": f"WITH {_EV}, c AS (SELECT seq%5 AS fold, seq//1000 AS tile, avg(hit) AS a FROM es GROUP BY ALL) SELECT tile, {_R('avg(a)', 'accuracy_mean')}, {_R('stddev_samp(a)', 'accuracy_std')} FROM c GROUP BY tile",
     "or_fusion_grid": f"WITH {_FUSE} SELECT q, risk, map_thr, rule, noise_max, {', '.join(_R(c, c) for c in ('recall', 'precision', 'f1', 'acc', 'fpr'))}, {_R('recall-br', 'd_recall')}, {_R('acc-bacc', 'd_acc')}, acc>=bacc-1.0::DOUBLE AS pass_acc_guard FROM fm, ba",
     "model_status": f"WITH {_STATUS} SELECT model, status, action, {', '.join(_R(c, c) for c in _ST)} FROM ss",

@@ -1,9 +1,9 @@
 """All registered queries by name."""
 from __future__ import annotations
 
-from spindlewatch.plans import answers_plan, eval_plan, io_plan, labels_plan, more_plan, points_plan, policy_plan, quality_plan, reference_plan, stream_plan, windows_plan
+from spindlewatch.plans import answers_plan, eval_plan, files_plan, io_plan, labels_plan, more_plan, points_plan, policy_plan, quality_plan, reference_plan, stream_plan, windows_plan
 
-PLANS = [labels_plan, windows_plan, answers_plan, eval_plan, quality_plan, stream_plan, io_plan, reference_plan, policy_plan, points_plan, more_plan]
+PLANS = [labels_plan, windows_plan, answers_plan, eval_plan, quality_plan, stream_plan, io_plan, reference_plan, policy_plan, points_plan, more_plan, files_plan]
 
 
 def queries() -> dict:

@@ -121,10 +121,19 @@ CACHE_FIELDS = {
 }
 
 
-def read_cache(spark: SparkSession, path: str, dim: int, fmt: str = "json") -> DataFrame:
-    """A vector cache with one array column ``z`` of ``dim`` doubles, from a ``z_llm`` list or from ``z_llm_i`` columns."""
+def read_cache(spark: SparkSession, path: str, dim: int | None = None, fmt: str = "json") -> DataFrame:
+    """A vector cache with one array column ``z`` of ``dim`` doubles, from a ``z_llm`` list or from ``z_llm_i`` columns.
+
+    Without ``dim`` it is the longest list, or one more than the largest i of the columns.
+    """
     raw = spark.read.format(fmt).load(path) if fmt != "json" else spark.read.option("primitivesAsString", False).json(path)
-    if "z_llm" in raw.columns:
+    if dim is None and "z_llm" in raw.columns:
+        dim = raw.agg(F.max(F.size("z_llm"))).first()[0] or 0
+    elif dim is None:
+        dim = 1 + max((int(c.removeprefix("z_llm_")) for c in raw.columns if re.fullmatch(r"z_llm_\d+", c)), default=-1)
+    if dim == 0:
+        z = F.array().cast("array<double>")
+    elif "z_llm" in raw.columns:
         z = F.expr(f"transform(sequence(0, {dim - 1}), i -> coalesce(cast(get(z_llm, i) AS double), 0.0D))")
     else:
         z = F.array(*[F.coalesce(safe_double(F.col(f"z_llm_{i}")), F.lit(0.0)) if f"z_llm_{i}" in raw.columns else F.lit(0.0) for i in range(dim)])
