@@ -17,9 +17,12 @@ DIM = MAPPING.dim
 RULES = answers.AnswerRules(rule_gate=0.5, rule_soft_gate=0.35, strict_types=True)
 
 
-def answer_texts(spark, sf):
-    """Raw answers as a reader might write them: fenced, with odd spellings, some cut off, some of those repaired."""
-    df = stored_summaries(spark, sf).select("disk", "day", "model", "n_rows", "summary_text", "root_cause", "risk_hint", "hardness", "confidence", "events")
+def answer_texts(spark, sf, texts=None):
+    """Raw answers as a reader might write them: fenced, with odd spellings, some cut off, some of those repaired.
+
+    A query that needs the window texts besides stores them once and hands them over.
+    """
+    df = (stored_summaries(spark, sf) if texts is None else texts).select("disk", "day", "model", "n_rows", "summary_text", "root_cause", "risk_hint", "hardness", "confidence", "events")
     df = stage(df, {"k": "cast(substring(disk, 6) AS bigint)"})
     feature = "if(k % 3 = 0, lower(replace(e.feature, '_', '-')), e.feature)"
     kind = "if(k % 3 = 1 AND e.type = 'monotonic_increase', 'going up', e.type)"
@@ -40,17 +43,17 @@ def answer_texts(spark, sf):
     return df.select("disk", "day", "model", "n_rows", "summary_text", "raw_text", "repaired_text")
 
 
-def parsed(spark, sf):
-    return answers.parse_answers(answer_texts(spark, sf), repaired="repaired_text")
+def parsed(spark, sf, texts=None):
+    return answers.parse_answers(answer_texts(spark, sf, texts), repaired="repaired_text")
 
 
-def normalized(spark, sf, rules=RULES):
-    return answers.normalize(parsed(spark, sf), MAPPING, rules)
+def normalized(spark, sf, rules=RULES, texts=None):
+    return answers.normalize(parsed(spark, sf, texts), MAPPING, rules)
 
 
-def cache(spark, sf):
+def cache(spark, sf, texts=None):
     """The vector cache (D14), a stored stage like the texts."""
-    return cut_lineage(answers.with_vector(normalized(spark, sf), MAPPING).drop("record", "raw_text", "repaired_text", "events"))
+    return cut_lineage(answers.with_vector(normalized(spark, sf, texts=texts), MAPPING).drop("record", "raw_text", "repaired_text", "events"))
 
 
 def q_parse(spark, sf):
@@ -133,8 +136,8 @@ def q_cache_miss(spark, sf):
     return gate.cache_misses(daily(spark, sf), kept, ["disk", "day"])
 
 
-def rule_top(spark, sf):
-    df = stored_summaries(spark, sf).where("n_rows > 2").select("disk", "day", parse.rule_scores(parse.lines_of(F.col("summary_text"))).alias("s"))
+def rule_top(texts):
+    df = texts.where("n_rows > 2").select("disk", "day", parse.rule_scores(parse.lines_of(F.col("summary_text"))).alias("s"))
     return df.select("disk", "day", parse.top_cause(F.col("s")).alias("rule_top"))
 
 
@@ -143,7 +146,8 @@ _EV_ONLY = [d for d in EVENT_DIMS if d >= 16]
 
 
 def variant(spark, sf):
-    return gate.cache_variant(cache(spark, sf), 0.1, 0.5, rule_top(spark, sf), dims=EVENT_DIMS, event_dims=_EV_ONLY, compact=True)
+    texts = stored_summaries(spark, sf)
+    return gate.cache_variant(cache(spark, sf, texts), 0.1, 0.5, rule_top(texts), dims=EVENT_DIMS, event_dims=_EV_ONLY, compact=True)
 
 
 def q_variant(spark, sf):
@@ -155,9 +159,10 @@ def q_variant_report(spark, sf):
 
 
 def q_temporal(spark, sf):
-    rules = stored_summaries(spark, sf).where("n_rows > 2").select("disk", "day", parse.rule_scores(parse.lines_of(F.col("summary_text"))).alias("s"))
+    texts = stored_summaries(spark, sf)
+    rules = texts.where("n_rows > 2").select("disk", "day", parse.rule_scores(parse.lines_of(F.col("summary_text"))).alias("s"))
     rules = rules.select("disk", "day", parse.top_cause(F.col("s"), "last_name").alias("rule_top"), parse.top_margin(F.col("s")).alias("rule_margin"))
-    out = gate.temporal_dense(cache(spark, sf), rules)
+    out = gate.temporal_dense(cache(spark, sf, texts), rules)
     return out.select("disk", "day", *[r4(F.get("z", F.lit(i))).alias(f"z_{i}") for i in range(14)])
 
 

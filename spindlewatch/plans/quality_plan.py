@@ -72,14 +72,14 @@ def q_missing(spark, sf):
     return quality.missing_features(present, parent, ["model", "feature"])
 
 
-def windows_with_top(spark, sf):
-    s = stored_summaries(spark, sf)
-    return s.select("model", "disk", "day", "n_rows", F.col("root_cause").alias("truth"), parse.top_cause(parse.rule_scores(parse.lines_of(F.col("summary_text")))).alias("rule_top"))
+def windows_with_top(texts):
+    return texts.select("model", "disk", "day", "n_rows", F.col("root_cause").alias("truth"), parse.top_cause(parse.rule_scores(parse.lines_of(F.col("summary_text")))).alias("rule_top"))
 
 
 def q_quality(spark, sf):
-    c = cache(spark, sf).where("n_rows > 1")
-    out = quality.cache_quality(c, windows_with_top(spark, sf).drop("n_rows", "truth"))
+    texts = stored_summaries(spark, sf)
+    c = cache(spark, sf, texts).where("n_rows > 1")
+    out = quality.cache_quality(c, windows_with_top(texts).drop("n_rows", "truth"))
     return _round(out, ["unknown_ratio", "mapped_event_ratio", "event_density", "parse_repair_rate", "parse_default_rate", "rule_match_ratio", "q_score_q10", "q_score_q50", "q_score_q90", "cache_coverage"])
 
 
@@ -89,8 +89,9 @@ def q_nearest_rank(spark, sf):
 
 
 def pairs(spark, sf):
-    w = windows_with_top(spark, sf).select("disk", "day", "truth")
-    c = cache(spark, sf).select("disk", "day", F.col("root_cause").alias("pred"), "risk_hint", "hardness", "confidence", "parse_source")
+    texts = stored_summaries(spark, sf)
+    w = windows_with_top(texts).select("disk", "day", "truth")
+    c = cache(spark, sf, texts).select("disk", "day", F.col("root_cause").alias("pred"), "risk_hint", "hardness", "confidence", "parse_source")
     return w.join(c, ["disk", "day"])
 
 
@@ -104,8 +105,8 @@ def q_confusion(spark, sf):
 
 
 def both_caches(spark, sf):
-    old = normalized(spark, sf, RULES)
-    return quality.transitions(old, normalized(spark, sf, LOOSE), ["disk", "day"])
+    texts = stored_summaries(spark, sf)
+    return quality.transitions(normalized(spark, sf, RULES, texts), normalized(spark, sf, LOOSE, texts), ["disk", "day"])
 
 
 def q_transitions(spark, sf):
