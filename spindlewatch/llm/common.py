@@ -69,11 +69,27 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def texts(column: pa.Array) -> Iterator[bytes]:
     """The rows of a string column as UTF-8 bytes; null counts as empty."""
     data, offsets = utf8(column)
-    view = data.tobytes()
+    view = data[offsets[0] : offsets[-1]].tobytes()
+    offsets = offsets - offsets[0]
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         yield view[a:b]
 
 
+#: Documents of a part are numbered in 16 bits.
+PART_ROWS = 65_535
+
+
+def parts(batch: pa.RecordBatch, text: int, part_bytes: int, part_rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most part_rows rows, which close when their texts (column number text) reach part_bytes."""
+    _, offsets = utf8(batch.column(text))
+    a = 0
+    while a < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[a] + part_bytes, side="left"))
+        end = min(max(end, a + 1), a + part_rows, batch.num_rows)
+        yield batch.slice(a, end - a)
+        a = end
+
+
 def trim() -> None:
     """Gives freed memory back to the system; a Python worker lives on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -82,12 +98,19 @@ def trim() -> None:
         give_back(0)
 
 
-def worker_memory(key: tuple, make: Callable[[], Any]) -> Any:
-    """What a Python worker keeps from task to task under this key: vocabularies and bounded caches, never results."""
-    held = sys.modules.setdefault("_spindlewatch_worker", types.ModuleType("_spindlewatch_worker")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+def worker_memory(owner: str, key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task for one operator: vocabularies and bounded caches, never results.
+
+    A worker outlives the stages of a pipeline, so what another operator kept is given up first.
+    """
+    held = sys.modules.setdefault("_spindlewatch_worker", types.ModuleType("_spindlewatch_worker")).__dict__.setdefault("held", {})
+    if held and owner not in held:
+        held.clear()
+        trim()
+    own = held.setdefault(owner, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
 
 
 def rank_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -13,9 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spindlewatch.llm.common import texts, trim
+from spindlewatch.llm.common import parts, texts, trim
 
 LARGEST_COUNT = 65_535
+PART_BYTES = 3 << 20
+SENT_ROWS = 16
 SENT = "bucket int, batch long, kind int, tokens binary, docs binary, counts binary, mixed binary, own_docs binary, own_sets binary"
 BACK = "batch long, kind int, tokens binary, docs binary, counts binary, shared int, own_docs binary, own_sets binary"
 
@@ -41,23 +43,24 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int, make: Callable[[bytes]
 
     from pyspark import TaskContext
 
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "docs", "counts", "mixed", "own_docs", "own_sets")])
     part, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        ids = np.array([i for i in batch.column(0).to_pylist()], np.int64)
+    for batch in (p for whole in batches for p in parts(whole, 1, PART_BYTES)):
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         sets = [make(t) for t in texts(batch.column(1))]
-        if not sets:
-            continue
         name, number = (part << 24) + number, number + 1
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
         short = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64) if by_set else ids.view(np.uint64)
         sizes = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets)
-        doc = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        del sets
+        doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
         order = np.argsort(token, kind="stable")
         token, doc = token[order], doc[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         count = np.diff(first, append=len(token))
-        rows = [{"bucket": name % buckets, "batch": name, "kind": 1, "tokens": ids.tobytes(), "docs": b"".join(digests), "counts": sizes.tobytes()}]
+        rows = [(name % buckets, name, 1, ids.tobytes(), b"".join(digests), sizes.tobytes(), None, None, None)]
         if len(token):
             own = short[doc]
             mixed = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
@@ -65,19 +68,20 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int, make: Callable[[bytes]
             # the documents of a shingle that several here have wait with their batch; its bucket needs one entry
             several = count > 1
             inside = np.repeat(several, count)
-            rows.append({"bucket": name % buckets, "batch": name, "kind": 2, "tokens": spread(unique[several]), "docs": doc[inside].tobytes(), "counts": count[several].astype("<u4").tobytes()})
+            rows.append((name % buckets, name, 2, spread(unique[several]), doc[inside].tobytes(), count[several].astype("<u4").tobytes(), None, None, None))
+            del own, inside, token, doc
             bucket = (unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 at = slice(cuts[b], cuts[b + 1])
                 here = np.unique(lead[at])
-                rows.append({
-                    "bucket": b, "batch": name, "kind": 0, "tokens": spread(unique[at]), "docs": lead[at].tobytes(), "counts": np.minimum(count[at], LARGEST_COUNT).astype("<u2").tobytes(),
-                    "mixed": np.packbits(mixed[at]).tobytes(), "own_docs": here.tobytes(), "own_sets": short[here].tobytes(),
-                })
-        schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "docs", "counts", "mixed", "own_docs", "own_sets")])
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-        del rows, token, doc, sets
+                counts = np.minimum(count[at], LARGEST_COUNT).astype("<u2").tobytes()
+                rows.append((b, name, 0, spread(unique[at]), lead[at].tobytes(), counts, np.packbits(mixed[at]).tobytes(), here.tobytes(), short[here].tobytes()))
+                if len(rows) >= SENT_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         trim()
 
 
@@ -94,16 +98,20 @@ def count(frame: pd.DataFrame) -> pd.DataFrame:
         counts = [np.frombuffer(x, "<u2") for x in sent["counts"]]
         mixed = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(d)).astype(bool) for x, d in zip(sent["mixed"], docs)]
         sizes = np.array([len(d) for d in docs])
-        token, own, count, mix = np.concatenate(tokens), np.concatenate(sets), np.concatenate(counts).astype(np.int64), np.concatenate(mixed)
+        token = np.concatenate(tokens)
         order = np.argsort(token, kind="stable")
-        sorted_ = token[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        token = token[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         length = np.diff(first, append=len(token))
-        own = own[order]
-        common = (np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)) | np.maximum.reduceat(mix[order].astype(np.uint8), first).astype(bool)
-        total = np.minimum(np.add.reduceat(count[order], first), LARGEST_COUNT) * common
-        back = np.empty(len(token), np.int64)
+        del token
+        own = np.concatenate(sets)[order]
+        common = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        del own, sets
+        common |= np.maximum.reduceat(np.concatenate(mixed)[order].astype(np.uint8), first).astype(bool)
+        total = np.minimum(np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first), LARGEST_COUNT) * common
+        back = np.empty(len(order), np.int32)
         back[order] = np.repeat(total, length)
+        del order
         at = 0
         for batch, t, d, n, size in zip(sent["batch"], tokens, docs, counts, sizes):
             df = back[at : at + size]
@@ -144,7 +152,8 @@ def gather(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes], np
 def shared_fingerprints(docs: DataFrame, buckets: int, make: Callable[[bytes], np.ndarray], by_set: bool) -> DataFrame:
     """Rows for gather(), to be grouped by batch. make gives the sorted distinct fingerprints of a text.
 
-    by_set: documents with equal sets are one owner; otherwise documents with equal doc_id are.
+    by_set: documents with equal sets are one owner; otherwise documents with equal doc_id are. A document is known by its place in a
+    part of its partition; rows are sorted there, so that a task that is run again numbers them alike.
     """
-    sent = docs.select("doc_id", "text").mapInArrow(lambda batches: send(batches, buckets, make, by_set), SENT)
+    sent = docs.select("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(lambda batches: send(batches, buckets, make, by_set), SENT)
     return sent.groupBy("bucket").applyInPandas(count, BACK)
