@@ -126,8 +126,11 @@ def overlaps(pairs: DataFrame, segments: DataFrame, shards: int) -> DataFrame:
     pairs = stage(pairs, "pairs")
     # a list that meets very many others is sent to several shards with some of them each
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PAIRS_AT_ONCE)).alias("salts")).where("salts > 1")
-    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long")))
-    sharded = stage(pairs.join(salts, "a", "left").withColumn("shard", F.pmod(F.xxhash64("a", salt), F.lit(shards)).cast("int")).drop("salts"), "shards")
+    if salts.isEmpty():
+        sharded = pairs.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int"))
+    else:
+        salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1).cast("long")))
+        sharded = stage(pairs.join(salts, "a", "left").withColumn("shard", F.pmod(F.xxhash64("a", salt), F.lit(shards)).cast("int")).drop("salts"), "shards")
     wanted = sharded.select("shard", F.explode(F.array("a", "b")).alias("rid")).distinct()
     left = sharded.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
     right = segments.join(wanted, "rid").select(F.col("shard").alias("_shard"), F.col("fragment").alias("_fragment"), "rid", "packed")
