@@ -1,10 +1,11 @@
 """WARC archives compressed with a dictionary per file.
 
-Equal payloads are found by their SHA-256 (one aggregation with map-side combine, so a group of copies of any size costs a task one row);
-the page with the smallest id holds the response, the others become revisits without a payload. Each task writes archives of bounded
-size: a Zstandard dictionary is trained on records of the archive, stands in a leading skippable frame, and every record is a frame of
-its own. Archives are read back with Spark's binary reader, so any store that Spark reads will do; they are written through pyarrow's
-file systems below the given folder, under names that a repeated task uses again.
+Equal payloads are found by their SHA-256; the page with the smallest id holds the response, the others become revisits without a
+payload. Winners are chosen on digests and ids alone; one more aggregation with map-side combine moves each payload once, so a group of
+copies of any size costs a task one row. Each task writes archives of bounded size: a Zstandard dictionary is trained on records of the
+archive, stands in a leading skippable frame, and every record is a frame of its own. Archives are read back with Spark's binary reader,
+so any store that Spark reads will do; they are written through pyarrow's file systems below the given folder, under names of their own
+for every attempt of a task. The paths that the successful attempts returned are a stored table, and only these archives are read.
 """
 from __future__ import annotations
 
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindlewatch.llm.common import bounded_batches
-from spindlewatch.session import work_dir
+from spindlewatch.llm.common import bounded_batches, stage
+from spindlewatch.session import checked_broadcast, work_dir
 
 #: Fixed values of the format: magic numbers of the dictionary frame and of a dictionary.
 SKIPPABLE = 0x184D2A5D
@@ -28,7 +29,7 @@ SAMPLE_BYTES = 1 << 20
 DICTIONARY_BYTES = 16 << 10
 LEVEL = 3
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-WRITTEN = "path string, records long, bytes long"
+WRITTEN = "name string, records long, bytes long"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -112,35 +113,41 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, copy, url, payload (null for revisits), sha, n_bytes, refers_to, first_copy: what the archives will hold.
+    """page_id, copy, url, payload (null for revisits), sha1, n_bytes, kind, refers_to: what the archives will hold.
 
     Of equal payloads of at least min_bytes bytes the smallest page_id is the response; null ids come last. Of rows that repeat one
     (page_id, payload), one is the response.
     """
     payload = F.coalesce("html", F.lit(""))
     bytes_ = payload.cast("binary")
-    keyed = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha2(bytes_, 256)).alias("sha"), F.octet_length(bytes_).cast("long").alias("n_bytes"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id")
-    # one row for each payload, combined in the map tasks: the response itself
-    shared = keyed.where(F.col("n_bytes") >= min_bytes)
-    first = shared.groupBy("sha", "n_bytes").agg(F.min_by(F.struct("page_id", "url", "payload"), F.struct(order, F.col("url").isNull(), F.coalesce("url", F.lit("")))).alias("r"))
-    response = first.select("r.page_id", F.lit(0).cast("long").alias("copy"), "r.url", "r.payload", "sha", "n_bytes", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
-    # the rest by their keys alone; no payload is shuffled for them
-    own = shared.groupBy("sha", "page_id", "url").agg(F.count("*").alias("n"))
-    chosen = first.select(F.col("sha").alias("_sha"), F.col("r.page_id").alias("_first"), F.col("r.url").alias("_url"), "n_bytes")
+    sha, sha1, n_bytes = F.unhex(F.sha2(bytes_, 256)).alias("sha"), F.sha1(bytes_).alias("sha1"), F.octet_length(bytes_).cast("long").alias("n_bytes")
+    none, zero = F.lit(None), F.lit(0).cast("long")
+    order = F.struct(F.struct(F.col("page_id").isNull().alias("none"), "page_id").alias("id"), F.col("url").isNull(), F.coalesce("url", F.lit("")))
+    # which page is the response, by keys alone
+    keys = pages.select("page_id", "url", sha, sha1, n_bytes).where(F.col("n_bytes") >= min_bytes)
+    own = stage(keys.groupBy("sha", "page_id", "url").agg(F.count("*").alias("n"), F.min("sha1").alias("sha1"), F.min("n_bytes").alias("n_bytes")), "payload-keys")
+    chosen = own.groupBy("sha").agg(F.min_by(F.struct("page_id", "url"), order).alias("r")).select(F.col("sha").alias("_sha"), F.col("r.page_id").alias("_first"), F.col("r.url").alias("_url"))
     met = own.join(chosen, own["sha"] == chosen["_sha"])
     is_first = F.col("page_id").eqNullSafe(F.col("_first")) & F.col("url").eqNullSafe(F.col("_url"))
     more = met.withColumn("n", F.col("n") - is_first.cast("long")).where("n > 0")
-    revisit = more.select("page_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "url", F.lit(None).cast("string").alias("payload"), "sha", "n_bytes", F.lit("revisit").alias("kind"), F.col("_first").alias("refers_to"))
-    small = keyed.where(F.col("n_bytes") < min_bytes).select("page_id", F.lit(0).cast("long").alias("copy"), "url", "payload", "sha", "n_bytes", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
-    digests = first.select(F.col("sha").alias("_s"), F.sha1(F.col("r.payload").cast("binary")).alias("sha1"))
-    revisit = revisit.join(digests, revisit["sha"] == digests["_s"]).drop("_s")
-    rows = response.withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).unionByName(revisit)
-    return rows.unionByName(small.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))) if min_bytes > 0 else rows
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
+    revisit = more.select("page_id", copies, "url", none.cast("string").alias("payload"), "sha1", "n_bytes", F.lit("revisit").alias("kind"), F.col("_first").alias("refers_to"))
+    # one row for each payload, combined in the map tasks: the same choice, with the payload
+    shared = pages.select("page_id", "url", payload.alias("payload"), sha, sha1, n_bytes).where(F.col("n_bytes") >= min_bytes)
+    first = shared.groupBy("sha").agg(F.min_by(F.struct("page_id", "url", "payload", "sha1", "n_bytes"), order).alias("r"))
+    response = first.select("r.page_id", zero.alias("copy"), "r.url", "r.payload", "r.sha1", "r.n_bytes", F.lit("response").alias("kind"), none.cast("long").alias("refers_to"))
+    rows = response.unionByName(revisit)
+    if min_bytes > 0:
+        small = pages.select("page_id", zero.alias("copy"), "url", payload.alias("payload"), sha1, n_bytes, F.lit("response").alias("kind"), none.cast("long").alias("refers_to"))
+        rows = rows.unionByName(small.where(F.col("n_bytes") < min_bytes))
+    return rows
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Writes the archives below folder; one row per archive. The archives exist once the result has been computed."""
+    """Writes the archives below folder; one row (name, records, bytes) per archive. The archives exist once the result has been computed.
+
+    A repeated attempt writes archives of its own; those of attempts that failed are in no row of the result.
+    """
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +161,10 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal number, waiting, size
             data = archive(waiting)
-            path = f"{base}/part-{context.partitionId():06d}-{number:04d}.warc.zst"
-            own = f"{path}.{context.taskAttemptId()}.tmp"
-            with store.open_output_stream(own, compression=None) as out:
+            name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{number:04d}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(data)
-            store.move(own, path)
-            done = pa.RecordBatch.from_pylist([{"path": path, "records": len(waiting), "bytes": len(data)}])
+            done = pa.RecordBatch.from_pylist([{"name": name, "records": len(waiting), "bytes": len(data)}])
             number, waiting, size = number + 1, [], 0
             return done
 
@@ -176,11 +181,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         if waiting:
             yield flush()
 
-    return records(pages, min_bytes).drop("sha").mapInArrow(run, WRITTEN)
+    return records(pages, min_bytes).mapInArrow(run, WRITTEN)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the archives below folder: page_id, payload_bytes, payload_digest, record_type, refers_to.
+def read(spark: SparkSession, folder: str, written: DataFrame | None = None) -> DataFrame:
+    """Every record of the archives below folder that written names (of all, without it): page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     The block of a response is checked against its digest.
     """
@@ -200,6 +205,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    if written is not None:
+        names = written.select(F.col("name").alias("_name"))
+        files = files.join(checked_broadcast(names), F.substring_index("path", "/", -1) == F.col("_name"), "left_semi")
     return files.select("content").mapInArrow(run, ROWS)
 
 
@@ -215,5 +223,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    write(pages, target, min_bytes).agg(F.sum("records")).collect()  # one number; runs the writers
-    return read(spark, target)
+    return read(spark, target, stage(write(pages, target, min_bytes), "archives"))
