@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spindlewatch.functions import parse
 from spindlewatch.functions.scalars import r4
-from spindlewatch.operators import budgets, metrics, quality, sketches, window_measures
+from spindlewatch.operators import budgets, metrics, models, quality, sketches, window_measures
 from spindlewatch.plans.bridge import FEATURES, daily, daily_sql, table
 from spindlewatch.plans.eval_plan import ORACLE as EVAL_ORACLE, q_trace_regression
 from spindlewatch.plans.quality_plan import _CS, contract_stats
@@ -137,6 +137,44 @@ def q_backfill(spark, sf):
     return out.select("model", "sensor", F.col("rank").cast("bigint").alias("rank"))
 
 
+# ---- learners ----------------------------------------------------------------------------------------------------------------
+KINDS = {
+    "tree": {"maxDepth": 4}, "stump": {}, "forest": {"numTrees": 5, "seed": 1}, "boosting": {"maxIter": 4, "seed": 1}, "logistic": {"maxIter": 50}, "svm": {"maxIter": 50},
+    "mlp": {"layers": [3, 4, 2], "seed": 1, "maxIter": 150}, "linear": {}, "regression_tree": {"maxDepth": 7, "maxBins": 128},
+}
+
+
+def _taught(spark, sf):
+    """Events with a label that follows from the value, and two features that say nothing."""
+    ev = table(spark, sf, "events").select("event_id", (F.coalesce("value", F.lit(0.0)) / 10.0).alias("v"), (F.col("user_id") % 7 / 7.0).alias("a"), (F.col("event_id") % 11 / 11.0).alias("b"))
+    return ev.withColumns({"label": (F.col("v") > 2.5).cast("double"), "target": 2.0 * F.col("v") + 1.0})
+
+
+def q_learners(spark, sf):
+    """Every kind of learner, taught on the even events and judged on the odd ones: is its class right for 97 %, or its error small?"""
+    rows = _taught(spark, sf)
+    train, test = rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")
+    out = None
+    for kind, params in KINDS.items():
+        numeric = kind in ("linear", "regression_tree")
+        label = "target" if numeric else "label"
+        scored = models.fit_predict(train, test, ["v", "a", "b"], label, kind, **params)
+        gap = F.abs(F.col("prediction") - F.col(label))
+        good = F.avg(gap) <= 0.05 * F.stddev_pop(label) if numeric else F.avg((gap < 0.5).cast("double")) >= 0.97
+        own = scored.agg(F.count("*").alias("n"), good.alias("good")).select(F.lit(kind).alias("kind"), "n", "good")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def q_test_then_train(spark, sf):
+    """A tree of all chunks before judges the next one; four chunks of the order."""
+    rows = _taught(spark, sf)
+    last = rows.agg(F.max("event_id")).first()[0] or 0
+    rows = rows.withColumn("chunk", F.floor(F.col("event_id") * 4 / F.lit(last + 1)).cast("int"))
+    scored = models.test_then_train(rows, "chunk", [1, 2, 3], ["v", "a", "b"], "label", "tree", maxDepth=4)
+    return scored.groupBy("chunk").agg(F.count("*").alias("n"), (F.avg((F.col("prediction") == F.col("label")).cast("double")) >= 0.97).alias("good"))
+
+
 # ---- SQL twins ---------------------------------------------------------------------------------------------------------------
 _R = lambda e, n: f"round({e},4)+0.0::DOUBLE AS {n}"
 _BUDGET = f"""WITH RECURSIVE e AS (SELECT event_id, user_id%{PARTS} AS part, (row_number() OVER (ORDER BY event_id)-1)//{CHUNK} AS chunk,
@@ -176,7 +214,7 @@ _SEEDED = ",".join(repr(s) for s in SEEDS)
 QUERIES = {
     "active_budget_chunks": q_budget_chunks, "active_budget_rows": q_budget_rows, "window_cluster_measures": q_window_clusters, "day_files_round_trip": q_day_files,
     "ssd_day_files_round_trip": q_ssd_day_files, "sketch_rank_errors": q_sketches, "regression_run_summary": q_regression_summary, "failed_summaries": q_failed_summaries,
-    "event_feature_backfill": q_backfill,
+    "event_feature_backfill": q_backfill, "learner_kinds": q_learners, "test_then_train_chunks": q_test_then_train,
 }
 ORACLE = {
     "active_budget_chunks": f"{_BUDGET} SELECT part, chunk, {_R('threshold', 'threshold')}, allowed, asked, seen FROM s",
@@ -198,4 +236,6 @@ ORACLE = {
       u AS (SELECT model, sensor, o FROM r UNION ALL SELECT m.model, v.sensor, 10+row_number() OVER (PARTITION BY m.model ORDER BY w DESC) FROM (SELECT DISTINCT model FROM p) m, (VALUES {_VALUES}) v(sensor,w,g)
         UNION ALL SELECT m.model, x.sensor, 20+x.i FROM (SELECT DISTINCT model FROM p) m, (VALUES {','.join(f"('{s}',{i})" for i, s in enumerate([*SEEDS, 'SMART_192']))}) x(sensor,i)),
       d AS (SELECT model, sensor, min(o) AS o FROM u GROUP BY ALL) SELECT model, sensor, row_number() OVER (PARTITION BY model ORDER BY o) AS rank FROM d QUALIFY rank<=5""",
+    "learner_kinds": f"SELECT unnest([{','.join(repr(k) for k in KINDS)}]) AS kind, n, true AS good FROM (SELECT count(*) AS n FROM events WHERE event_id%2=1)",
+    "test_then_train_chunks": "WITH c AS (SELECT (event_id*4/(SELECT max(event_id)+1 FROM events))::DOUBLE AS x FROM events) SELECT floor(x)::INT AS chunk, count(*) AS n, true AS good FROM c WHERE floor(x)>=1 GROUP BY 1",
 }
