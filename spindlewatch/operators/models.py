@@ -347,25 +347,48 @@ def knn_recent(df: DataFrame, key: str, vector: str, klass: str, k: int = 10, li
     return tiled.groupBy("_tile").applyInPandas(score, f"{key} {kt[key]}, {klass} {kt[klass]}, prediction int")
 
 
-def odds_ratio_anomaly(df: DataFrame, features: list[str], bound: str = "cantelli", by: list[str] = ()) -> DataFrame:
-    """Anomaly score of a row: mean over features of ln(p) - ln(1 - p), p the bound on the probability of so large a deviation."""
+def deviation_bound(gap: Column, sd: Column, bound: str) -> Column:
+    """Bound on the probability of a deviation of at least ``gap``; null where it is undefined."""
+    var = sd * sd
+    # The inequalities' forms
+    return {
+        "cantelli": F.try_divide(2.0 * var, var + gap * gap),
+        "chebyshev": F.when(gap > sd, F.try_divide(var, gap * gap)).otherwise(1.0),
+        "gauss": F.when(gap * gap > 4.0 * var / 3.0, F.try_divide(4.0 * var, 9.0 * gap * gap)).otherwise(1.0 - F.try_divide(gap, F.sqrt(3.0 * var))),
+    }[bound]
+
+
+def _with_spread(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """Adds mean and deviation of every feature (``_m0``, ``_d0`` and so on), of the table or of the row's group."""
     aggs = [a for i, f in enumerate(features) for a in (F.avg(f).alias(f"_m{i}"), F.stddev_pop(f).alias(f"_d{i}"))]
     stats = df.groupBy(*by).agg(*aggs)
     if by:
-        df = df.join(stats, list(by))
-    else:
-        one = stats.select(F.struct(*stats.columns)).scalar()
-        df = df.withColumn("_s", one).select("*", "_s.*").drop("_s")
+        return df.join(stats, list(by))
+    one = stats.select(F.struct(*stats.columns)).scalar()
+    return df.withColumn("_s", one).select("*", "_s.*").drop("_s")
+
+
+def odds_ratio_anomaly(df: DataFrame, features: list[str], bound: str = "cantelli", by: list[str] = ()) -> DataFrame:
+    """Anomaly score of a row: mean over features of ln(p) - ln(1 - p), p the bound on the probability of so large a deviation."""
+    df = _with_spread(df, features, list(by))
     terms = []
     for i, f in enumerate(features):
-        gap, var = F.abs(F.col(f) - F.col(f"_m{i}")), F.col(f"_d{i}") * F.col(f"_d{i}")
-        # The inequalities' forms
-        p = {
-            "cantelli": F.try_divide(2.0 * var, var + gap * gap),
-            "chebyshev": F.when(gap > F.col(f"_d{i}"), F.try_divide(var, gap * gap)).otherwise(1.0),
-            "gauss": F.when(gap * gap > 4.0 * var / 3.0, F.try_divide(4.0 * var, 9.0 * gap * gap)).otherwise(1.0 - F.try_divide(gap, F.sqrt(3.0 * var))),
-        }[bound]
+        p = deviation_bound(F.abs(F.col(f) - F.col(f"_m{i}")), F.col(f"_d{i}"), bound)
         p = F.least(F.lit(1.0 - 1e-6), F.greatest(F.lit(1e-6), F.coalesce(p, F.lit(1.0))))
         terms.append(F.log(p) - F.log(1.0 - p))
     score = sum(terms[1:], terms[0]) / float(len(terms))
     return df.withColumn("anomaly_score", score).drop(*[f"_{x}{i}" for x in "md" for i in range(len(features))])
+
+
+def anomaliness_ratio(df: DataFrame, features: list[str], bound: str = "gauss", univariate: float = 0.9, share: float = 0.5, least_sd: float = 0.01, by: list[str] = ()) -> DataFrame:
+    """Adds anomalous_features, judged_features, anomaly: whether more than ``share`` of the features that vary deviate with 1 - p > ``univariate``.
+
+    Features with a deviation of at most ``least_sd`` and values that are null are not judged; without a judged feature there is no anomaly.
+    """
+    df = _with_spread(df, features, list(by))
+    judged = [F.coalesce((F.col(f"_d{i}") > least_sd) & F.col(f).isNotNull(), F.lit(False)) for i, f in enumerate(features)]
+    odd = [j & F.coalesce(1.0 - deviation_bound(F.abs(F.col(f) - F.col(f"_m{i}")), F.col(f"_d{i}"), bound) > univariate, F.lit(False)) for i, (f, j) in enumerate(zip(features, judged))]
+    count = lambda flags: sum((x.cast("bigint") for x in flags[1:]), flags[0].cast("bigint"))
+    df = df.withColumns({"anomalous_features": count(odd), "judged_features": count(judged)})
+    df = df.withColumn("anomaly", F.coalesce(F.try_divide("anomalous_features", "judged_features") > share, F.lit(False)))
+    return df.drop(*[f"_{x}{i}" for x in "md" for i in range(len(features))])

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from spindlewatch.functions import parse
 from spindlewatch.functions.scalars import r4
-from spindlewatch.operators import budgets, metrics, models, quality, sketches, window_measures
+from spindlewatch.operators import answers, budgets, metrics, models, quality, sketches, window_measures
+from spindlewatch.plans.answers_plan import CACHE_SQL, normalized
 from spindlewatch.plans.bridge import FEATURES, daily, daily_sql, table
 from spindlewatch.plans.eval_plan import ORACLE as EVAL_ORACLE, q_trace_regression
 from spindlewatch.plans.quality_plan import _CS, contract_stats
@@ -137,6 +138,27 @@ def q_backfill(spark, sf):
     return out.select("model", "sensor", F.col("rank").cast("bigint").alias("rank"))
 
 
+MEASURED, SOFT_GATES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], [0.45, 0.35, 0.25, 0.15]
+
+
+def q_anomaliness(spark, sf):
+    """Order lines of which more than half of the measures deviate strongly from their flag's mean."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *MEASURED)
+    out = models.anomaliness_ratio(li, MEASURED, "gauss", 0.6, 0.5, by=["l_returnflag"])
+    return out.groupBy("l_returnflag", "anomalous_features", "judged_features", "anomaly").agg(F.count("*").alias("n"), F.sum("l_linenumber").cast("bigint").alias("lines"))
+
+
+def q_gate_sweep(spark, sf):
+    """Causes of the answers by the soft gate of their rule score; the texts are stored once."""
+    texts = stored_summaries(spark, sf)
+    out = None
+    for g in SOFT_GATES:
+        own = normalized(spark, sf, answers.AnswerRules(rule_gate=0.5, rule_soft_gate=g, strict_types=True), texts)
+        own = own.groupBy("root_cause").agg(F.count("*").alias("n")).withColumn("soft_gate", F.lit(g))
+        out = own if out is None else out.unionByName(own)
+    return out.select("soft_gate", "root_cause", "n")
+
+
 # ---- learners ----------------------------------------------------------------------------------------------------------------
 KINDS = {
     "tree": {"maxDepth": 4}, "stump": {}, "forest": {"numTrees": 5, "seed": 1}, "boosting": {"maxIter": 4, "seed": 1}, "logistic": {"maxIter": 50}, "svm": {"maxIter": 50},
@@ -211,10 +233,17 @@ _NAMES = ["n", "f1_p", "purity", "f1_r", "rand", "van_dongen", "homogeneity", "c
 _VALUES = ",".join(f"({s!r},{w}::DOUBLE,{str(g).lower()})" for s, w, g in RULED)
 _SEEDED = ",".join(repr(s) for s in SEEDS)
 
+
+
+def _odd(f: str) -> str:
+    g, v = f"abs({f}-m_{f})", f"(d_{f}*d_{f})"
+    return f"1.0::DOUBLE-(CASE WHEN {g}*{g}>4.0::DOUBLE*{v}/3.0::DOUBLE THEN 4.0::DOUBLE*{v}/(9.0::DOUBLE*{g}*{g}) ELSE 1.0::DOUBLE-{g}/sqrt(3.0::DOUBLE*{v}) END)>0.6::DOUBLE"
+
+
 QUERIES = {
     "active_budget_chunks": q_budget_chunks, "active_budget_rows": q_budget_rows, "window_cluster_measures": q_window_clusters, "day_files_round_trip": q_day_files,
     "ssd_day_files_round_trip": q_ssd_day_files, "sketch_rank_errors": q_sketches, "regression_run_summary": q_regression_summary, "failed_summaries": q_failed_summaries,
-    "event_feature_backfill": q_backfill, "learner_kinds": q_learners, "test_then_train_chunks": q_test_then_train,
+    "event_feature_backfill": q_backfill, "anomaliness_ratio": q_anomaliness, "soft_gate_sweep": q_gate_sweep, "learner_kinds": q_learners, "test_then_train_chunks": q_test_then_train,
 }
 ORACLE = {
     "active_budget_chunks": f"{_BUDGET} SELECT part, chunk, {_R('threshold', 'threshold')}, allowed, asked, seen FROM s",
@@ -236,6 +265,14 @@ ORACLE = {
       u AS (SELECT model, sensor, o FROM r UNION ALL SELECT m.model, v.sensor, 10+row_number() OVER (PARTITION BY m.model ORDER BY w DESC) FROM (SELECT DISTINCT model FROM p) m, (VALUES {_VALUES}) v(sensor,w,g)
         UNION ALL SELECT m.model, x.sensor, 20+x.i FROM (SELECT DISTINCT model FROM p) m, (VALUES {','.join(f"('{s}',{i})" for i, s in enumerate([*SEEDS, 'SMART_192']))}) x(sensor,i)),
       d AS (SELECT model, sensor, min(o) AS o FROM u GROUP BY ALL) SELECT model, sensor, row_number() OVER (PARTITION BY model ORDER BY o) AS rank FROM d QUALIFY rank<=5""",
+    "anomaliness_ratio": f"""WITH s AS (SELECT l_returnflag, {', '.join(f'avg({f}) AS m_{f}, stddev_pop({f}) AS d_{f}' for f in MEASURED)} FROM lineitem GROUP BY l_returnflag),
+      r AS (SELECT l_returnflag, l_linenumber, {'+'.join(f'(d_{f}>0.01 AND {_odd(f)})::INT' for f in MEASURED)} AS odd, {'+'.join(f'(d_{f}>0.01)::INT' for f in MEASURED)} AS judged FROM lineitem JOIN s USING (l_returnflag))
+      SELECT l_returnflag, odd::BIGINT AS anomalous_features, judged::BIGINT AS judged_features, coalesce(odd/nullif(judged,0)>0.5, false) AS anomaly, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM r GROUP BY ALL""",
+    "soft_gate_sweep": " UNION ALL ".join(
+        "SELECT * FROM (WITH {} SELECT {}::DOUBLE AS soft_gate, rc AS root_cause, count(*) AS n FROM cz GROUP BY rc)".format(
+            CACHE_SQL.replace("WHEN tops>=0.35", f"WHEN tops>={g}").replace("tops>=0.2625", f"tops>={0.75 * g!r}").replace("tops>=0.1925", f"tops>={0.55 * g!r}"), g
+        ) for g in SOFT_GATES
+    ),
     "learner_kinds": f"SELECT unnest([{','.join(repr(k) for k in KINDS)}]) AS kind, n, true AS good FROM (SELECT count(*) AS n FROM events WHERE event_id%2=1)",
     "test_then_train_chunks": "WITH c AS (SELECT (event_id*4/(SELECT max(event_id)+1 FROM events))::DOUBLE AS x FROM events) SELECT floor(x)::INT AS chunk, count(*) AS n, true AS good FROM c WHERE floor(x)>=1 GROUP BY 1",
 }
