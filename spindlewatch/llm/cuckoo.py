@@ -13,8 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from spindlewatch.llm.common import lower_ascii, plan_bytes, stage
 
@@ -167,12 +168,16 @@ def duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
+def orderable(docs: DataFrame) -> list[str]:
+    """Columns that have an order."""
+    return [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The kept rows of docs, with all their columns."""
-    from pyspark.sql import Window
-
-    kept = duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_d"))
-    own = addressed(docs)
-    found = own.join(kept, own["doc_id"].eqNullSafe(kept["_id"]) & (own["_digest"] == kept["_d"]))
-    first = F.row_number().over(Window.partitionBy("_id", "_d").orderBy(F.lit(1)))
-    return found.withColumn("_n", first).where("_n = 1").select(*[found[c] for c in docs.columns])
+    """The kept rows of docs, with all their columns. Of rows with equal doc_id and text the first one by all columns stays."""
+    kept = duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.unhex(F.sha2(lower_ascii("text").cast("binary"), 256)).alias("own_digest"))
+    found = own.join(kept, own["own_id"].eqNullSafe(kept["id"]) & (own["own_digest"] == kept["digest"]))
+    order = [F.col(f"row.`{c}`") for c in orderable(docs)]
+    place = F.row_number().over(Window.partitionBy("own_id", "own_digest").orderBy(*order))
+    return found.withColumn("place", place).where("place = 1").select("row.*")

@@ -15,10 +15,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindlewatch.llm.common import WORD, rank_rows, stage
+from spindlewatch.llm.cuckoo import orderable
 from spindlewatch.session import checked_broadcast
 
 BLOCK_ROWS = 2_000
@@ -95,7 +96,7 @@ def rounder(seed: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return lambda frame: _round(frame, seed, level)
 
 
-def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float = CAP, seed: int = 17, cut_last: bool = True) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float = CAP, seed: int = 17, cut_last: bool = True, block_rows: int = BLOCK_ROWS, fanout: int = FANOUT) -> DataFrame:
     """Per row of docs: doc_id, size, source, source_size, target, copies, taken.
 
     size counts words; copies is how often the whole document is taken, taken how many words. With cut_last, the last open document of
@@ -108,19 +109,19 @@ def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float =
     side = checked_broadcast(aims.withColumnRenamed("source", "_source"))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(expected + TOLERANCE)
-    blocks = F.greatest(F.floor(F.col("n") / BLOCK_ROWS), F.lit(1))
+    blocks = F.greatest(F.floor(F.col("n") / block_rows), F.lit(1))
     dealt = keyed.join(side, keyed["source"].eqNullSafe(side["_source"])).select(
         "doc_id", "size", "source", "source_size", "target", whole.cast("long").alias("copies"), F.greatest(expected - whole, F.lit(0.0)).alias("share"),
         F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), F.lit(False).alias("open"),
     )
     done, level = [], 0
-    largest = int(aims.agg(F.max("n")).first()[0] or 0) // BLOCK_ROWS + 1
+    largest = int(aims.agg(F.max("n")).first()[0] or 0) // block_rows + 1
     while True:
         dealt = stage(dealt.groupBy("source", "block").applyInPandas(rounder(seed, level), DEALT), f"shares-{level}")
         if largest <= 1:
             break
         done.append(dealt.where(~F.col("open")))
-        dealt, level, largest = dealt.where("open").withColumn("block", F.floor(F.col("block") / FANOUT)), level + 1, -(-largest // FANOUT)
+        dealt, level, largest = dealt.where("open").withColumn("block", F.floor(F.col("block") / fanout)), level + 1, -(-largest // fanout)
     done.append(dealt)
     rows = done[0]
     for more in done[1:]:
@@ -133,15 +134,18 @@ def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float =
 
 
 def mixed(docs: DataFrame, weights: list[float], budget: float = 1.5, cap: float = CAP, seed: int = 17) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it whole; all columns stay."""
-    plan = mix(docs, weights, budget, cap, seed, cut_last=False).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_n"))
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    same = own["doc_id"].eqNullSafe(plan["_id"]) & (own["_size"] == plan["_size"]) & own["source"].eqNullSafe(plan["_source"])
-    met = own.join(plan, same).select(*[own[c] for c in docs.columns], "_all", "_n", own["_size"].alias("_s"))
-    single = met.where("_n = 1").withColumn("_take", F.col("_all"))
-    from pyspark.sql import Window
-
-    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "_s").orderBy("text"))
-    shared = met.where("_n > 1").withColumn("_turn", turn).withColumn("_take", F.floor(F.col("_all") / F.col("_n")) + (F.col("_turn") <= F.col("_all") % F.col("_n")).cast("long")).drop("_turn")
-    rows = single.unionByName(shared).where("_take > 0")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_take").cast("int"))).alias("_copy")).drop("_copy")
+    """The rows of docs, each as often as the mix takes it whole; all columns stay.
+
+    Rows that agree in doc_id, size and source share their copies; the first ones by text and the other columns get one more if need be.
+    """
+    plan = mix(docs, weights, budget, cap, seed, cut_last=False)
+    plan = plan.groupBy(F.col("doc_id").alias("id"), F.col("size").alias("words"), F.col("source").alias("origin")).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), words.alias("own_words"), F.col("source").alias("own_origin"))
+    same = own["own_id"].eqNullSafe(plan["id"]) & (own["own_words"] == plan["words"]) & own["own_origin"].eqNullSafe(plan["origin"])
+    met = own.join(plan, same)
+    single = met.where("n = 1").select("row", F.col("copies").alias("take"))
+    turn = F.row_number().over(Window.partitionBy("own_id", "own_origin", "own_words").orderBy("row.text", *[F.col(f"row.`{c}`") for c in orderable(docs)]))
+    share = F.floor(F.col("copies") / F.col("n")) + (turn <= F.col("copies") % F.col("n")).cast("long")
+    rows = single.unionByName(met.where("n > 1").select("row", share.alias("take"))).where("take > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))).alias("turn")).select("row.*")
