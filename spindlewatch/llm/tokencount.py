@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spindlewatch.llm.common import bounded_batches, texts
+from spindlewatch.llm.common import bounded_batches, texts, worker_memory
 
+#: A longer run of white space is encoded apart: the library's pattern engine recurses over it.
+LONG_BLANK = 4_096
 RULES = ("start", "end", "majority", "split")
 COUNTED = "doc_id long, section int, start_byte long, n_bytes long, tokens double, crossing long, doc_tokens long"
 
@@ -48,6 +50,37 @@ def attribute(starts: np.ndarray, ends: np.ndarray, borders: np.ndarray, rule: s
     return plain, touched
 
 
+def encode(coder, text: str) -> list[int]:
+    """All tokens of a text, also where it has very long runs of white space.
+
+    The splitting pattern takes white space up to the last character before other text as one piece, and no piece reaches into it from
+    the left; so the text can be cut before such a run and before its last character, or at the end of a run that ends the text.
+    """
+    import regex
+
+    out, at = [], 0
+    for run in regex.finditer(rf"\s{{{LONG_BLANK},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += coder.encode_ordinary(text[at : run.start()])
+        out += coder._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:]) if out else coder.encode_ordinary(text[at:])
+
+
+def coder_of(ranks: str, pattern: str) -> tuple:
+    """The encoder of a vocabulary file and the byte length of each of its tokens."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    size = np.zeros(max(pieces.values()) + 1, np.int64)
+    for piece, rank in pieces.items():
+        size[rank] = len(piece)
+    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=pieces, special_tokens={}), size
+
+
 def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "majority", borders=line_borders) -> DataFrame:
     """Per section of each row of docs: doc_id, section (from 0), start_byte, n_bytes, tokens, crossing, doc_tokens.
 
@@ -59,20 +92,11 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "major
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        coder = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=pieces, special_tokens={})
-        size = np.zeros(max(pieces.values()) + 1, np.int64)
-        for piece, rank in pieces.items():
-            size[rank] = len(piece)
+        coder, size = worker_memory("tokencount", (ranks, pattern), lambda: coder_of(ranks, pattern))
         for batch in batches:
             ids, parts = batch.column(0).to_pylist(), [[] for _ in range(7)]
             for doc_id, text in zip(ids, texts(batch.column(1))):
-                tokens = np.array(coder.encode_ordinary(text.decode()), np.int64)
+                tokens = np.array(encode(coder, text.decode()), np.int64)
                 ends = np.cumsum(size[tokens])
                 edges = borders(text) if text else np.array([0, 0])
                 if len(tokens):
