@@ -223,8 +223,9 @@ def test_topk(spark):
     for i in (x for x in q if x % 20 == 0):
         best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:20]
         want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    got = topk.search(df, df.where("vec_id % 20 = 0"), 20).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    for share_rows, query_block in ((topk.SHARE_ROWS, topk.QUERY_BLOCK), (40, 3)):
+        got = topk.search(df, df.where("vec_id % 20 = 0"), 20, share_rows=share_rows, query_block=query_block).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
     assert topk.search(df.where("false"), df, 5).count() == 0
 
 
@@ -237,3 +238,25 @@ def test_pipeline_keeps_columns(spark, sf):
         assert out.columns == docs.columns, name
         docs = corpus_pipeline.stage(out, "test")
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_chunks_are_pruned_before_they_are_multiplied():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 12)) * 40
+    rows = (centres[rng.integers(0, 40, 6_000)] * rng.lognormal(0, 1, 6_000)[:, None] + rng.normal(size=(6_000, 12))).astype(np.int64)
+    q, ids = rows[:200], np.arange(200)
+    length = np.sqrt((q.astype(float) ** 2).sum(1))
+    best, made, orders = [[np.zeros(0, np.int64), np.zeros(0, np.int64)] for _ in ids], 0, set()
+    by_length = np.argsort(-(rows.astype(float) ** 2).sum(1))
+    for a in range(0, 6_000, 32):
+        some = by_length[a : a + 32]
+        chunk = topk.Chunk(some, rows[some])
+        least = np.array([float(b[1][-1]) if len(b[1]) == 5 else -np.inf for b in best])
+        orders |= {bool(o >= 0) for o in topk.bounds(q, length, least, chunk)[0]}
+        made += topk.visit(q, ids, length, np.full(200, -np.inf), best, chunk, 5)
+    scores = q @ rows.T
+    scores[ids, ids] = -(1 << 62)
+    for i in range(200):
+        order = np.lexsort((np.arange(6_000), -scores[i]))[:5]
+        assert best[i][0].tolist() == order.tolist() and best[i][1].tolist() == scores[i, order].tolist()
+    assert made < 0.2 * 200 * 6_000 and orders == {True, False}
