@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spindlewatch.llm.common import parts, texts, trim
+from spindlewatch.llm.common import parts, texts, trim, utf8
 
 LARGEST_COUNT = 65_535
 PART_BYTES = 3 << 20
@@ -37,7 +37,7 @@ def mixed_bits(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def send(batches: Iterator[pa.RecordBatch], buckets: int, make: Callable[[bytes], np.ndarray], by_set: bool) -> Iterator[pa.RecordBatch]:
+def send(batches: Iterator[pa.RecordBatch], buckets: int, make: Callable, by_set: bool, part_bytes: int) -> Iterator[pa.RecordBatch]:
     """A batch of (doc_id, text): every distinct fingerprint goes to its bucket, the documents of those that several have to the batch."""
     import hashlib
 
@@ -45,16 +45,20 @@ def send(batches: Iterator[pa.RecordBatch], buckets: int, make: Callable[[bytes]
 
     schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("kind", pa.int32())] + [(c, pa.binary()) for c in ("tokens", "docs", "counts", "mixed", "own_docs", "own_sets")])
     part, number = TaskContext.get().partitionId(), 0
-    for batch in (p for whole in batches for p in parts(whole, 1, PART_BYTES)):
+    for batch in (p for whole in batches for p in parts(whole, 1, part_bytes)):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        sets = [make(t) for t in texts(batch.column(1))]
         name, number = (part << 24) + number, number + 1
-        digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        short = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64) if by_set else ids.view(np.uint64)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        token = np.concatenate(sets)
-        del sets
-        doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+        if by_set:
+            sets = [make(t) for t in texts(batch.column(1))]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            short = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            token, doc = np.concatenate(sets), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            del sets
+        else:
+            data, offsets = utf8(batch.column(1))
+            token, doc = make(data[offsets[0] : offsets[-1]], offsets - offsets[0])
+            digests, short, sizes, doc = [bytes(16)] * len(ids), ids.view(np.uint64), np.bincount(doc, minlength=len(ids)), doc.astype(np.uint16)
         order = np.argsort(token, kind="stable")
         token, doc = token[order], doc[order]
         del order
@@ -149,11 +153,12 @@ def gather(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes], np
     return ids, n, sets, token, doc, count
 
 
-def shared_fingerprints(docs: DataFrame, buckets: int, make: Callable[[bytes], np.ndarray], by_set: bool) -> DataFrame:
-    """Rows for gather(), to be grouped by batch. make gives the sorted distinct fingerprints of a text.
+def shared_fingerprints(docs: DataFrame, buckets: int, make: Callable, by_set: bool, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Rows for gather(), to be grouped by batch.
 
-    by_set: documents with equal sets are one owner; otherwise documents with equal doc_id are. A document is known by its place in a
+    by_set: make gives the sorted distinct fingerprints of a text, and documents with equal sets are one owner. Otherwise it gives, for
+    the bytes of many texts and their offsets, the distinct pairs of fingerprint and text, and documents with equal doc_id are one owner. A document is known by its place in a
     part of its partition; rows are sorted there, so that a task that is run again numbers them alike.
     """
-    sent = docs.select("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(lambda batches: send(batches, buckets, make, by_set), SENT)
+    sent = docs.select("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(lambda batches: send(batches, buckets, make, by_set, part_bytes), SENT)
     return sent.groupBy("bucket").applyInPandas(count, BACK)
