@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindlewatch.llm.common import bounded_batches, stage, texts, worker_memory
+from spindlewatch.llm.common import bounded_batches, parts, stage, texts, worker_memory
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
-KNOWN_WORDS = 500_000
-KNOWN_RUNS = 300_000
+KNOWN_WORDS = 300_000
+KNOWN_RUNS = 200_000
+PART_BYTES = 2 << 20
 BLOCK_PIECES = 4_000
 
 
@@ -93,8 +94,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = worker_memory(("words", tokenizer), lambda: WordEncoder(tokenizer)), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        encoder, end = worker_memory("packing", ("words", tokenizer), lambda: WordEncoder(tokenizer)), np.array([end_id], "<u4").tobytes()
+        for batch in (p for whole in batches for p in parts(whole, 1, PART_BYTES)):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(list(texts(batch.column(1))))):
                 ids += end
