@@ -59,7 +59,7 @@ class DayReader(DataSourceReader):
 
     def read(self, partition: DayPartition):
         import pyarrow as pa
-        from pyarrow import csv, fs
+        from pyarrow import compute, csv, fs
 
         store, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path or partition.path.startswith("file:") else (fs.LocalFileSystem(), partition.path)
         if store.get_file_info(path).type == fs.FileType.NotFound:
@@ -74,7 +74,7 @@ class DayReader(DataSourceReader):
             for batch in csv.open_csv(lines, read_options=csv.ReadOptions(block_size=BLOCK_BYTES), convert_options=read):
                 table = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
                 if self.models is not None:
-                    keep = pa.compute.is_in(table["model"], pa.array(sorted(self.models), pa.string()))
+                    keep = compute.is_in(table["model"], pa.array(sorted(self.models), pa.string()))
                     table = {n: c.filter(keep) for n, c in table.items()}
                 rows = len(next(iter(table.values())))
                 columns = []

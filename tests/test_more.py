@@ -1,13 +1,17 @@
 """Budgets, measures per window, day files, sketches and reports against plain Python."""
 import datetime
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindlewatch.operators import budgets, metrics, quality, sketches, window_measures
+from spindlewatch.operators import answers, budgets, metrics, models, quality, sketches, window_measures
+from spindlewatch.plans import answers_plan, more_plan, quality_plan
 from spindlewatch.sources import days, writers
 
 
@@ -137,3 +141,20 @@ def test_backfill(spark):
     assert run(0, 0) == {"a": [7, 9], "b": [5], "c": [5, 199, 9]}
     assert run(4, 0) == {"a": [7, 9, 5, 199], "b": [5, 199, 9, 194], "c": [5, 199, 9, 194]}
     assert run(4, 2) == {"a": [7, 9], "b": [5, 199], "c": [5, 199]}
+
+
+def test_day_files_of_some_models_in_a_fresh_worker(tmp_path):
+    (tmp_path / "20240101.csv").write_text("ds,model,disk_id,r_5\n20240101,mc1,1,2.5\n20240101,other,2,3.5\n")
+    code = f"""
+import datetime
+from pyspark.sql.datasource import EqualTo
+from pyspark.sql.types import StringType, StructField, StructType
+from spindlewatch.sources.days import DayReader
+schema = StructType([StructField(c, StringType()) for c in ("day", "disk", "model", "failure", "smart_5_raw")])
+reader = DayReader({{"kind": "ssd", "path": {str(tmp_path)!r}, "start": "2024-01-01", "days": "1"}}, schema)
+list(reader.pushFilters([EqualTo(("model",), "mc1")]))
+print([r for p in reader.partitions() for b in reader.read(p) for r in b.column(1).to_pylist()])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "['1']", done.stderr
