@@ -363,7 +363,8 @@ def _with_spread(df: DataFrame, features: list[str], by: list[str]) -> DataFrame
     aggs = [a for i, f in enumerate(features) for a in (F.avg(f).alias(f"_m{i}"), F.stddev_pop(f).alias(f"_d{i}"))]
     stats = df.groupBy(*by).agg(*aggs)
     if by:
-        return df.join(stats, list(by))
+        # a few groups as keys of a shuffle would send most rows to a few tasks
+        return df.join(checked_broadcast(cut_lineage(stats)), list(by))
     one = stats.select(F.struct(*stats.columns)).scalar()
     return df.withColumn("_s", one).select("*", "_s.*").drop("_s")
 

@@ -158,3 +158,15 @@ print([r for p in reader.partitions() for b in reader.read(p) for r in b.column(
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "['1']", done.stderr
+
+
+def test_few_groups_do_not_deal_the_rows(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 7).cast("double").alias("x"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = models.odds_ratio_anomaly(rows, ["x"], by=["g"])
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert out.count() == 1000
