@@ -79,6 +79,16 @@ def default_derived(df: DataFrame) -> DataFrame:
 
 def normalize(df: DataFrame, mapping: EventMapping | None = None, rules: AnswerRules = AnswerRules(), summary: str = "summary_text") -> DataFrame:
     """Cleans an answer against its summary: events, blended cause, quality score, event gates and rule agreement."""
+    return blend(prepare(df, mapping, rules, summary), rules)
+
+
+#: What ``blend`` reads besides the cleaned values.
+_READY = ["_cause", "_top", "_tops", "_topg"]
+
+
+def prepare(df: DataFrame, mapping: EventMapping | None = None, rules: AnswerRules = AnswerRules(), summary: str = "summary_text") -> DataFrame:
+    """The part of ``normalize`` that reads texts. Of the rules it follows strict_types, strict_allowed and whitelist only, so
+    several rules that agree on these can be blended from one stored result."""
     text = F.col("_lines")
     mapped = list(mapping.features) if mapping else []
     df = df.withColumn("_lines", parse.lines_of(F.col(summary)))
@@ -158,10 +168,11 @@ def normalize(df: DataFrame, mapping: EventMapping | None = None, rules: AnswerR
     df = df.withColumn("_top", parse.top_cause(F.col("_scores")))
     causes = ", ".join(f"'{c}'" for c in SCORED_CAUSES)
     df = stage(df, {"_topg": f"get(_groups, array_position(array({causes}), _top) - 1)", "_tops": "array_max(_scores)"})
-    return _blend(df, rules)
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c not in _READY])
 
 
-def _blend(df: DataFrame, rules: AnswerRules) -> DataFrame:
+def blend(df: DataFrame, rules: AnswerRules) -> DataFrame:
+    """Cause, scores and gates from what ``prepare`` read; no text is read here."""
     hi = max(0.0, rules.rule_gate)
     soft = min(max(0.0, rules.rule_soft_gate), hi)
     three = rules.blend != "hard_gate"

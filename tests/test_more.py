@@ -170,3 +170,14 @@ def test_few_groups_do_not_deal_the_rows(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert out.count() == 1000
+
+
+def test_texts_are_read_once_for_rules_that_differ_in_gates(spark, sf):
+    parsed = answers_plan.parsed(spark, sf)
+    strict, loose = answers_plan.RULES, answers.AnswerRules(rule_gate=0.9, rule_soft_gate=0.3, quality_gate=0.2, strict_types=True)
+    ready = answers.prepare(parsed, answers_plan.MAPPING, strict)
+    for rules in (strict, loose):
+        want, got = answers.normalize(parsed, answers_plan.MAPPING, rules), answers.blend(ready, rules)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for query in (more_plan.q_gate_sweep, quality_plan.q_transitions):
+        assert "regexp_extract" not in query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
