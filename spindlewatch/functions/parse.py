@@ -138,7 +138,8 @@ def missing_blocks(lines: Column) -> Column:
 
 def malformed_rows(lines: Column) -> Column:
     """Number of anomaly rows that lack one of the required keys."""
-    keyed = lambda r: F.transform(F.split(r, r"\|"), lambda t: F.lower(F.trim(F.regexp_extract(t, r"^([^=]*)=", 1))))
+    named = lambda t: F.when(F.contains(t, F.lit("=")), F.lower(F.trim(F.substring_index(t, "=", 1)))).otherwise(F.lit(""))
+    keyed = lambda r: F.transform(F.split(r, r"\|"), named)
     need = F.array(*[F.lit(k) for k in TABLE_KEYS])
     return F.size(F.filter(table_lines(lines), lambda r: F.size(F.array_except(need, keyed(r))) > 0))
 

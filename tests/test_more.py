@@ -181,3 +181,8 @@ def test_texts_are_read_once_for_rules_that_differ_in_gates(spark, sf):
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     for query in (more_plan.q_gate_sweep, quality_plan.q_transitions):
         assert "regexp_extract" not in query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_failed_summaries_split_a_text_once(spark, sf):
+    plan = more_plan.q_failed_summaries(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # the lines of a text, and the cells of a row
