@@ -262,18 +262,33 @@ def with_vector(df: DataFrame, mapping: EventMapping = EventMapping()) -> DataFr
     return df.drop("_m", "_k", "_cnt", "_ms", "_mp", "_as", "_ap", "_at")
 
 
-def prompt_messages(summary: Column, references: Column, system: str, template: str) -> Column:
-    """Chat messages: system text, one user/assistant pair per reference, then the window itself.
+def _fill(text: Column, template: str) -> Column:
+    def body(lines):
+        allowed = F.array_join(parse.allowed_features(lines), " ")
+        listed = F.replace(F.lit(template), F.lit("{allowed_features}"), F.when(allowed == "", "none").otherwise(allowed))
+        return F.replace(listed, F.lit("{summary}"), text)
+
+    # the lines are bound once, as what reads them does so several times
+    return F.get(F.transform(F.array(parse.lines_of(text)), body), F.lit(0))
 
-    ``references`` is an array of (summary_text, target_json) structs; ``template`` has {summary} and {allowed_features}.
-    """
 
-    def fill(text: Column) -> Column:
-        allowed = F.array_join(parse.allowed_features(parse.lines_of(text)), " ")
-        body = F.replace(F.lit(template), F.lit("{allowed_features}"), F.when(allowed == "", "none").otherwise(allowed))
-        return F.replace(body, F.lit("{summary}"), text)
+def _message(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+def reference_messages(references: Column, template: str) -> Column:
+    """One user/assistant pair per usable reference; none for no references. They do not depend on the window, so a table's
+    references can be written out once for all of its windows."""
     usable = F.filter(references, lambda r: r.summary_text.isNotNull() & (r.summary_text != "") & r.target_json.isNotNull())
-    shots = F.flatten(F.transform(usable, lambda r: F.array(message("user", fill(r.summary_text)), message("assistant", r.target_json))))
-    return F.concat(F.array(message("system", F.lit(system))), F.coalesce(shots, F.array().cast("array<struct<role:string,content:string>>")), F.array(message("user", fill(summary))))
+    shots = F.flatten(F.transform(usable, lambda r: F.array(_message("user", _fill(r.summary_text, template)), _message("assistant", r.target_json))))
+    return F.coalesce(shots, F.array().cast("array<struct<role:string,content:string>>"))
+
+
+def prompt_messages(summary: Column, references: Column, system: str, template: str, written: bool = False) -> Column:
+    """Chat messages: system text, one user/assistant pair per reference, then the window itself.
+
+    ``references`` is an array of (summary_text, target_json) structs, or with ``written`` what ``reference_messages`` made of it;
+    ``template`` has {summary} and {allowed_features}.
+    """
+    shots = references if written else reference_messages(references, template)
+    return F.concat(F.array(_message("system", F.lit(system))), shots, F.array(_message("user", _fill(summary, template))))

@@ -186,3 +186,14 @@ def test_texts_are_read_once_for_rules_that_differ_in_gates(spark, sf):
 def test_failed_summaries_split_a_text_once(spark, sf):
     plan = more_plan.q_failed_summaries(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2  # the lines of a text, and the cells of a row
+
+
+def test_references_are_written_once(spark, sf):
+    rows = spark.createDataFrame([("ALLOWED_EVENT_FEATURES: SMART_5",), ("",), (None,)], "text string")
+    refs = F.array(*[F.struct(F.lit(t).alias("summary_text"), F.lit(j).alias("target_json")) for t, j in (("ALLOWED_EVENT_FEATURES: SMART_9", "{}"), ("", "{}"), ("x", None))])
+    template = "{summary} {allowed_features}"
+    each = answers.prompt_messages(F.col("text"), refs, "s", template)
+    once = answers.prompt_messages(F.col("text"), answers.reference_messages(refs, template), "s", template, written=True)
+    got = rows.select(each.alias("a"), once.alias("b")).collect()
+    assert all(r.a == r.b and len(r.a) == 4 for r in got) and got[0].a[1].content == "ALLOWED_EVENT_FEATURES: SMART_9 SMART_9"
+    assert answers_plan.q_messages(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("assistant") == 1
