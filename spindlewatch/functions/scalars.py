@@ -45,7 +45,8 @@ def _scaled_half_even(x: str, digits: int) -> str:
     hi = f"({a} * 134217729.0D - ({a} * 134217729.0D - {a}))"
     err = f"(({hi} * {scale} - {p}) + ({a} - {hi}) * {scale})"
     at_half = f"CASE WHEN {err} < 0 THEN {low} WHEN {err} > 0 THEN {low} + 1 ELSE {low} + {low} % 2 END"
-    return f"CASE WHEN {p} - {low} = 0.5D THEN {at_half} WHEN {p} - {low} > 0.5D THEN {low} + 1 ELSE {low} END"
+    # only a product at one half can hide on which side of it the exact value lies
+    return f"CASE WHEN {p} - {low} = 0.5D THEN {at_half} ELSE rint({p}) END"
 
 
 def half_even_sql(x: str, digits: int) -> str:
@@ -67,7 +68,7 @@ def round_half_even(x: Column, digits: int) -> Column:
     err = (hi * F.lit(scale) - p) + (F.abs(x) - hi) * F.lit(scale)
     low = F.floor(p).cast("double")
     at_half = F.when(err < 0, low).when(err > 0, low + 1).otherwise(low + low % 2)
-    v = F.when(p - low == 0.5, at_half).when(p - low > 0.5, low + 1).otherwise(low) / F.lit(scale)
+    v = F.when(p - low == 0.5, at_half).otherwise(F.rint(p)) / F.lit(scale)
     return F.when(x < 0, -v).otherwise(v)
 
 
