@@ -19,6 +19,8 @@ from spindlewatch.session import checked_broadcast
 from spindlewatch.session import cut_lineage
 
 FITS = 4
+#: A word that is more than this part of all words is joined by broadcast.
+COMMON_WORDS = 100_000
 
 # ---- estimators ---------------------------------------------------------------------------------------------------------------
 
@@ -179,21 +181,25 @@ def periodic_holdout(df: DataFrame, key: str, klass: str, features: list[str], t
 def multinomial_bayes(docs: DataFrame, doc: str, text: str, klass: str, max_classes: int = 1000) -> DataFrame:
     """Multinomial naive Bayes on word counts with Laplace smoothing: predicted class per document.
 
-    Words are counted per document first. The word table holds one log probability per class and word, so scoring multiplies no rows:
-    one join on the word and one sum per class.
+    Scores are linear in counts, so no word is counted per document. The word table, a stored stage, holds one log probability per class
+    and word. Fewer than ``COMMON_WORDS`` words can each be more than that part of all text: they are broadcast and scored where the text
+    is read. Only the others meet the table in a shuffle by word, and none of them is frequent enough to be a hot key.
     """
     classes = [r[0] for r in docs.select(klass).distinct().orderBy(klass).limit(max_classes + 1).collect()]
     if len(classes) > max_classes:
         raise ValueError(f"more than {max_classes} classes")
     k = range(len(classes))
     words = docs.select(doc, klass, F.explode(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+")).alias("word")).where("word != ''")
-    bag = words.groupBy(doc, klass, "word").agg(F.count(F.lit(1)).alias("c"))
-    table = bag.groupBy("word").agg(*[F.sum(F.when(F.col(klass) == c, F.col("c")).otherwise(0)).alias(f"c{i}") for i, c in enumerate(classes)])
-    sizes = table.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"c{i}").alias(f"t{i}") for i in k])
-    table = table.withColumn("_t", sizes.select(F.struct(*sizes.columns)).scalar())
-    table = table.select("word", *[F.log((F.col(f"c{i}") + 1.0) / (F.col(f"_t.t{i}") + F.col("_t.v"))).alias(f"lp{i}") for i in k])
+    counts = cut_lineage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(klass) == c).alias(f"c{i}") for i, c in enumerate(classes)]))
+    sizes = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"t{i}") for i in k])
+    table = counts.withColumn("_t", sizes.select(F.struct(*sizes.columns)).scalar())
+    common = F.col("n") * COMMON_WORDS > F.col("_t.n")
+    table = table.select("word", common.alias("common"), *[F.log((F.col(f"c{i}") + 1.0) / (F.col(f"_t.t{i}") + F.col("_t.v"))).alias(f"lp{i}") for i in k])
     prior = docs.agg(*[F.log(F.count_if(F.col(klass) == c).cast("double")).alias(f"p{i}") for i, c in enumerate(classes)])
-    scored = bag.join(table, "word").groupBy(doc, klass).agg(*[F.sum(F.col("c") * F.col(f"lp{i}")).alias(f"g{i}") for i in k])
+    often, rest = F.broadcast(table.where("common")), table.where("NOT common")
+    sums = lambda df: df.groupBy(doc, klass).agg(*[F.sum(f"lp{i}").alias(f"lp{i}") for i in k])
+    parts = sums(words.join(often, "word")).unionByName(sums(words.join(often, "word", "left_anti").join(rest, "word")))
+    scored = parts.groupBy(doc, klass).agg(*[F.sum(f"lp{i}").alias(f"g{i}") for i in k])
     scored = scored.withColumn("_p", prior.select(F.struct(*prior.columns)).scalar())
     best = F.array_max(F.array(*[F.struct((F.col(f"g{i}") + F.col(f"_p.p{i}")).alias("g"), F.lit(c).alias("k")) for i, c in enumerate(classes)]))
     return scored.select(doc, klass, best.k.alias("prediction"))

@@ -70,6 +70,8 @@ def policy_grid(trace: DataFrame, policies: list[dict], trigger: float = 0.5, ac
     A kept row whose scaled risk reaches the trigger, in a policy that keeps the risk dimension, warns in addition to the model.
     """
     cube, grid = policy_cube(trace, policies, trigger, list(by), day)
+    # the cube is small in bytes, but each of its rows meets every policy: it is spread over a stated number of tasks rather than coalesced by size
+    cube = cube.repartition(int(cube.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cube.columns)
     wide = cube.selectExpr("*", f"inline({grid})")
     failed = (
         "CASE WHEN no_unknown AND root = 'unknown' THEN 'root_unknown' WHEN size(allowed) > 0 AND NOT array_contains(allowed, root) THEN 'root_cause' "

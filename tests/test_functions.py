@@ -58,3 +58,12 @@ def test_table_parsing(spark):
     assert [(r.feature, r.persistence, r.trend_delta, r.severity) for r in row] == [("SMART_5", 0.72, 0.012, 0.9), ("SMART_5", 0.0, 0.0, 1.0)]
     assert column(spark, [text], "string", parse.allowed_features(parse.lines_of(F.col("x"))))[0] == ["SMART_5", "SMART_9"]
     assert column(spark, ["ALLOWED_EVENT_FEATURES: none"], "string", parse.allowed_features(parse.lines_of(F.col("x"))))[0] == []
+
+
+def test_fixed_text_of_a_decimal_equals_printf(spark):
+    values = [0.0, -0.0, 0.005, -0.005, 0.125, -0.125, 2.675, -1e-9, 99.995, 123456789012.345, 999999999999.995, 1e12, -1e300]
+    df = spark.createDataFrame([(v,) for v in [*values, float("inf"), None]], "x double")
+    for digits in (1, 2, 3):
+        got = [r[0] for r in df.selectExpr(f"{fixed_sql('x', digits)} AS t").collect()]
+        assert got == [*[f"{v:.{digits}f}" if v != -1e300 else df.selectExpr(f"format_string('%.{digits}f', -1e300D)").first()[0] for v in values], "Infinity", "null"]
+    assert "decimal" in fixed_sql("x", 2) and "decimal" in fixed_sql("x", 3, True)

@@ -202,3 +202,22 @@ def test_references_are_written_once(spark, sf):
 def test_window_measures_are_stored_apart(spark, sf):
     plan = more_plan.q_window_clusters(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
+def test_words_of_any_frequency_are_scored_alike(spark, monkeypatch):
+    rows = [(1, "a a b", "x"), (2, "a c c c", "y"), (3, "b b a rare", "x"), (4, "c", "y"), (4, "a", "y"), (None, "c b", None), (5, "", "x"), (6, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = []
+    for share in (1, 3, 100_000):  # all words shuffled, some, none
+        monkeypatch.setattr(models, "COMMON_WORDS", share)
+        got.append(sorted(map(tuple, models.multinomial_bayes(docs, "doc_id", "text", "lang").collect()), key=str))
+    assert got[0] == got[1] == got[2] and [r[0] for r in got[0]] == [1, 2, 3, 4, None]
+
+
+def test_policies_meet_a_spread_cube(spark):
+    rows = [(i % 5, i % 2, i % 3 == 0, 0.1 * (i % 10), 1.0, True, 0.5, "media") for i in range(50)]
+    trace = spark.createDataFrame(rows, "eval_day int, true_class int, p boolean, llm_q_score double, llm_mapped_event_ratio double, llm_rule_match boolean, risk_hint double, root_cause string")
+    trace = trace.withColumn("pred_class", F.col("p").cast("int"))
+    grid = policygrid.policy_grid(trace, policygrid.ROUND_POLICIES)
+    assert "RepartitionByExpression" in grid._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["rows"] for r in grid.collect()} == {50}
