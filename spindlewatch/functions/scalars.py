@@ -11,11 +11,10 @@ FALSE_TOKENS = ["0", "false", "no", "n", "off"]
 
 def safe_double(c: Column, default: float | None = None, finite: bool = False) -> Column:
     """Double or ``default`` for null, unparseable and NaN; with ``finite`` also for infinities."""
-    x = c.try_cast("double")
-    bad = F.isnan(x)
+    null = F.lit(None).cast("double")
+    x = F.nanvl(c.try_cast("double"), null)  # names its input once: inside a lambda an input named twice is evaluated twice
     if finite:
-        bad = bad | (F.abs(x) == F.lit(float("inf")))
-    x = F.when(bad, F.lit(None).cast("double")).otherwise(x)
+        x = F.when(F.abs(x) == F.lit(float("inf")), null).otherwise(x)
     return x if default is None else F.coalesce(x, F.lit(float(default)))
 
 

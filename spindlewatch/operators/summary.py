@@ -18,7 +18,10 @@ def _formatted(values: list[str], digits: int, plus: bool = False) -> str:
 
 
 def with_text(stats: DataFrame) -> DataFrame:
-    """Adds the formatted pieces of a sensor row (``t_*``), before rows are gathered per window."""
+    """Adds the formatted pieces of a sensor row (``t_*``), before rows are gathered per window.
+
+    A sensor that is not active is written in no line but the evidence, so it has no piece but ``t_sev``.
+    """
     df = stage(
         stats,
         {
@@ -29,17 +32,19 @@ def with_text(stats: DataFrame) -> DataFrame:
             "_state": "CASE WHEN current_abnormal THEN 'abnormal' WHEN active THEN 'watch' ELSE 'history' END",
         },
     )
-    two = ["_b", "_c", "_p", "z_like", "severity", "abnormal_ratio", "burst_ratio", "abnormal_ratio_3d", "abnormal_ratio_7d", "abnormal_ratio_14d"]
+    two = ["_b", "_c", "_p", "z_like", "abnormal_ratio", "burst_ratio", "abnormal_ratio_3d", "abnormal_ratio_7d", "abnormal_ratio_14d"]
     df = stage(
         df,
         {
-            "_f": _formatted(two, 2),
-            "_s": _formatted(["slope_3", "slope_14"], 3, True),
-            "_d": f"concat(_sign, {_formatted(['deviation_pct * 100.0D'], 1)}[0])",
-            "_t": f"concat(_sign, {_formatted(['deviation_pct'], 3)}[0])",
+            "_sev2": f"{_formatted(['severity'], 2)}[0]",
+            "_f": f"if(active, {_formatted(two, 2)}, NULL)",
+            "_s": f"if(active, {_formatted(['slope_3', 'slope_14'], 3, True)}, NULL)",
+            "_d": f"if(active, concat(_sign, {_formatted(['deviation_pct * 100.0D'], 1)}[0]), NULL)",
+            "_t": f"if(active, concat(_sign, {_formatted(['deviation_pct'], 3)}[0]), NULL)",
         },
     )
-    b, c, p, z, sev, ratio, burst, r3, r7, r14 = (f"_f[{i}]" for i in range(10))
+    b, c, p, z, ratio, burst, r3, r7, r14 = (f"_f[{i}]" for i in range(9))
+    sev = "_sev2"
     df = stage(
         df,
         {
@@ -56,7 +61,7 @@ def with_text(stats: DataFrame) -> DataFrame:
             "t_sev": f"concat(smart, '(', {sev}, ')')",
         },
     )
-    return df.drop("_b", "_c", "_p", "_sign", "_state", "_f", "_s", "_d", "_t")
+    return df.drop("_b", "_c", "_p", "_sign", "_state", "_sev2", "_f", "_s", "_d", "_t")
 
 
 TEXT_FIELDS = ["t_line", "t_table", "t_ratio", "t_trend", "t_delta", "t_profile", "t_burst", "t_sev"]

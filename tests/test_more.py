@@ -221,3 +221,36 @@ def test_policies_meet_a_spread_cube(spark):
     grid = policygrid.policy_grid(trace, policygrid.ROUND_POLICIES)
     assert "RepartitionByExpression" in grid._jdf.queryExecution().optimizedPlan().toString()
     assert {r["rows"] for r in grid.collect()} == {50}
+
+
+def test_caches_read_window_texts_that_are_not_stored(spark, sf, monkeypatch):
+    """Variant and confusion store one table, the cache without texts; the rules' cause comes from it."""
+    from spindlewatch.plans import answers_plan, quality_plan, windows_plan
+
+    stored = []
+    for plan in (answers_plan, windows_plan):
+        monkeypatch.setattr(plan, "cut_lineage", lambda df: stored.append(df.columns) or df)
+    answers_plan.q_variant(spark, sf)
+    quality_plan.q_confusion(spark, sf)
+    assert [("z" in c, "target" in c) for c in stored] == [(True, False), (True, True)]
+
+
+def test_inactive_sensors_get_no_text_but_severity(spark, sf):
+    from spindlewatch.operators import summary
+    from spindlewatch.plans import windows_plan
+
+    rows = summary.with_text(windows_plan.stats_of(spark, sf).where("n > 0")).groupBy("active").agg(
+        F.count(F.lit(1)).alias("n"), F.count("t_sev").alias("sev"), *[F.count(c).alias(c) for c in ("t_line", "t_table", "t_trend", "t_delta", "t_burst")]
+    ).collect()
+    assert {r["active"] for r in rows} == {True, False}
+    for r in rows:
+        assert r["sev"] == r["n"] and all(r[c] == (r["n"] if r["active"] else 0) for c in ("t_line", "t_table", "t_trend", "t_delta", "t_burst"))
+
+
+def test_safe_double_names_its_input_once(spark):
+    from spindlewatch.functions.scalars import safe_double
+
+    df = spark.createDataFrame([("1.5",), ("NaN",), (None,), ("x",), ("Infinity",)], "a string")
+    out = df.select(safe_double(F.upper("a"), 0.0).alias("v"), safe_double(F.col("a")).alias("w"), safe_double(F.col("a"), finite=True).alias("f"))
+    assert [tuple(r) for r in out.collect()] == [(1.5, 1.5, 1.5), (0.0, None, None), (0.0, None, None), (0.0, None, None), (float("inf"), float("inf"), None)]
+    assert df.select(safe_double(F.upper("a"), 0.0))._jdf.queryExecution().analyzed().toString().count("upper(a") == 1
