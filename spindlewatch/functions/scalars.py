@@ -57,12 +57,14 @@ def fixed_sql(x: str, digits: int, plus: bool = False) -> str:
     """Fixed-point text of ``x``; ``plus`` writes a sign on non-negative values too (SQL text).
 
     Below 1e12 the rounded value has at most 15 digits, so a decimal holds just these; printf, which costs more, writes the rest: larger
-    values, null, NaN and infinities.
+    values, NaN and infinities. Null is written out; printf would cut the word to ``digits`` letters.
     """
     rounded = f"{_scaled_half_even(x, digits)} / {10**digits}.0D"
-    exact = f"concat(if({x} < 0, '-', '{'+' if plus else ''}'), cast(cast({rounded} AS decimal(18, {digits})) AS string))"
+    # only the text of a zero tells its sign
+    negative = f"({x} < 0 OR ({x} = 0 AND startswith(cast({x} AS string), '-')))"
+    exact = f"concat(if({negative}, '-', '{'+' if plus else ''}'), cast(cast({rounded} AS decimal(18, {digits})) AS string))"
     printed = f"format_string('%{'+' if plus else ''}.{digits}f', {half_even_sql(x, digits)})"
-    return f"(CASE WHEN abs({x}) < 1e12D THEN {exact} ELSE {printed} END)"
+    return f"(CASE WHEN abs({x}) < 1e12D THEN {exact} WHEN {x} IS NULL THEN 'null' ELSE {printed} END)"
 
 
 def round_half_even(x: Column, digits: int) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindlewatch.operators import answers, budgets, metrics, models, quality, sketches, window_measures
+from spindlewatch.operators import answers, budgets, metrics, models, policygrid, quality, sketches, window_measures
 from spindlewatch.plans import answers_plan, more_plan, quality_plan
 from spindlewatch.sources import days, writers
 
@@ -253,4 +253,4 @@ def test_safe_double_names_its_input_once(spark):
     df = spark.createDataFrame([("1.5",), ("NaN",), (None,), ("x",), ("Infinity",)], "a string")
     out = df.select(safe_double(F.upper("a"), 0.0).alias("v"), safe_double(F.col("a")).alias("w"), safe_double(F.col("a"), finite=True).alias("f"))
     assert [tuple(r) for r in out.collect()] == [(1.5, 1.5, 1.5), (0.0, None, None), (0.0, None, None), (0.0, None, None), (float("inf"), float("inf"), None)]
-    assert df.select(safe_double(F.upper("a"), 0.0))._jdf.queryExecution().analyzed().toString().count("upper(a") == 1
+    assert df.select(safe_double(F.upper("a"), 0.0).alias("v"))._jdf.queryExecution().analyzed().toString().count("upper(a") == 1
