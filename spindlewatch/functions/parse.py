@@ -21,7 +21,8 @@ ANSWER_SCHEMA = "root_cause string, risk_hint string, hardness string, confidenc
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines. The readers below take this array, so a text is split once however much is read from it."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
+    # one plain character is split at without a regular expression
+    return F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x))
 
 
 def first_line(lines: Column, prefix: str) -> Column:

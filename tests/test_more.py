@@ -254,3 +254,17 @@ def test_safe_double_names_its_input_once(spark):
     out = df.select(safe_double(F.upper("a"), 0.0).alias("v"), safe_double(F.col("a")).alias("w"), safe_double(F.col("a"), finite=True).alias("f"))
     assert [tuple(r) for r in out.collect()] == [(1.5, 1.5, 1.5), (0.0, None, None), (0.0, None, None), (0.0, None, None), (float("inf"), float("inf"), None)]
     assert df.select(safe_double(F.upper("a"), 0.0).alias("v"))._jdf.queryExecution().analyzed().toString().count("upper(a") == 1
+
+
+def test_lines_end_as_before(spark):
+    from spindlewatch.functions import parse
+
+    df = spark.createDataFrame([(" a \r\nb\n\r\n c\r\r\n",), ("",), (None,), ("\n",)], "t string")
+    assert [r["l"] for r in df.select(parse.lines_of(F.col("t")).alias("l")).collect()] == [["a", "b", "", "c\r", ""], [""], [""], ["", ""]]
+
+
+def test_pairs_are_not_joined(spark, sf):
+    """A window's truth and answer are in one row of the stored cache."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    pairs = quality_plan.pairs(spark, sf)
+    assert "Join" not in plan(pairs) and pairs.count() > 0
