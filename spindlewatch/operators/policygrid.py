@@ -38,17 +38,18 @@ def _reached(value: str, thresholds: list[float]) -> str:
 
 
 def _policy_rows(policies: list[dict], qs: list[float], maps: list[float], alphas: list[float]) -> str:
-    """Policies as a literal array of structs; a threshold is its place among those of its kind."""
-    rows = []
+    """Distinct sets of gates as a literal array of structs, each with the policies that share it; a threshold is its place among those of its kind."""
+    shared: dict[str, list[str]] = {}
     for i, p in enumerate(policies):
         dims = keep_dims(p["keep"], 1 << 30)
         causes = ", ".join(f"'{c}'" for c in p["allowed"])
-        rows.append(
-            f"named_struct('policy', {i}, 'tag', '{p['tag']}', 'need_q', {sum(q <= p['q'] for q in qs) if p['q'] > 0 else 0}, 'need_map', {sum(m <= p['map'] for m in maps) if p['map'] > 0 else 0}, "
-            f"'need_rule', {str(bool(p['rule'])).lower()}, 'no_unknown', {str(bool(p['drop_unknown'])).lower()}, 'allowed', cast(array({causes}) AS array<string>), "
-            f"'strong', {alphas.index(p['alpha'])}, 'sees_risk', {str(dims is None or RISK_DIM in dims).lower()})"
+        gates = (
+            f"'need_q', {sum(q <= p['q'] for q in qs) if p['q'] > 0 else 0}, 'need_map', {sum(m <= p['map'] for m in maps) if p['map'] > 0 else 0}, "
+            f"'need_rule', {str(bool(p['rule'])).lower()}, 'no_unknown', {str(bool(p['drop_unknown'])).lower()}, 'allowed', cast(array({causes}) AS array<string>)"
         )
-    return "array(" + ", ".join(rows) + ")"
+        own = f"named_struct('policy', {i}, 'tag', '{p['tag']}', 'strong', {alphas.index(p['alpha'])}, 'sees_risk', {str(dims is None or RISK_DIM in dims).lower()})"
+        shared.setdefault(gates, []).append(own)
+    return "array(" + ", ".join(f"named_struct('set', {k}, {gates}, 'policies', array({', '.join(own)}))" for k, (gates, own) in enumerate(shared.items())) + ")"
 
 
 def policy_cube(trace: DataFrame, policies: list[dict], trigger: float, by: list[str], day: str) -> tuple[DataFrame, str]:
@@ -72,23 +73,34 @@ def policy_grid(trace: DataFrame, policies: list[dict], trigger: float = 0.5, ac
     cube, grid = policy_cube(trace, policies, trigger, list(by), day)
     # the cube is small in bytes, but each of its rows meets every policy: it is spread over a stated number of tasks rather than coalesced by size
     cube = cube.repartition(int(cube.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cube.columns)
-    wide = cube.selectExpr("*", f"inline({grid})")
+    wide = cube.selectExpr("*", f"inline({grid})").drop("policies")
     failed = (
         "CASE WHEN no_unknown AND root = 'unknown' THEN 'root_unknown' WHEN size(allowed) > 0 AND NOT array_contains(allowed, root) THEN 'root_cause' "
         "WHEN at_q < need_q THEN 'q' WHEN need_rule AND NOT match THEN 'rule' WHEN at_map < need_map THEN 'map' ELSE 'none' END"
     )
     wide = stage(wide, {"failed": failed})
-    wide = stage(wide, {"warned": "pred_class = 1 OR (failed = 'none' AND sees_risk AND get(strong_at, strong))"})
-    n = lambda cond: F.sum(F.when(F.expr(cond), F.col("rows")).otherwise(0))
+    # policies with the same gates keep the same rows: these are counted once, and only the few sums meet each policy
+    per = wide.groupBy(*by, day, "true_class", "pred_class", "strong_at", "set").agg(
+        F.sum("rows").alias("rows"), *[F.sum(F.when(F.col("failed") == g, F.col("rows")).otherwise(0)).alias(f"failed_{g}") for g in GATES],
+        F.sum(F.when(F.col("failed") == "none", F.col("rows")).otherwise(0)).alias("kept"),
+    )
+    per = per.selectExpr("*", f"inline(get({grid}.policies, set))")
+    per = stage(per, {"warned": "pred_class = 1 OR (sees_risk AND get(strong_at, strong))", "lost": "rows - kept"})
+    n = lambda cond, c="rows": F.sum(F.when(F.expr(cond), F.col(c)).otherwise(0))
     keys = [*by, "policy", "tag"]
     counts = {"tp": "true_class = 1 AND {}", "fp": "true_class = 0 AND {}", "tn": "true_class = 0 AND NOT {}", "fn": "true_class = 1 AND NOT {}"}
-    cells = wide.groupBy(*keys, day).agg(
-        F.sum("rows").alias("rows"), n("failed = 'none'").alias("kept"), *[n(f"failed = '{g}'").alias(f"failed_{g}") for g in GATES],
-        *[n(c.format("warned")).alias(k) for k, c in counts.items()], *[n(c.format("pred_class = 1")).alias(f"b{k}") for k, c in counts.items()],
+    base = "(pred_class = 1)"  # the model's own warning, all that a row which no gate keeps can have
+    cells = per.groupBy(*keys, day).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "kept", *[f"failed_{g}" for g in GATES])],
+        *[(n(c.format("warned"), "kept") + n(c.format(base), "lost")).alias(k) for k, c in counts.items()], *[n(c.format(base)).alias(f"b{k}") for k, c in counts.items()],
     )
     cells = stage(simple_metrics(cells), {"_br": "coalesce(try_divide(btp, btp + bfn), 0.0D)", "_ba": "try_divide(btp + btn, btp + bfp + btn + bfn)"})
     sums = ["rows", "kept", *[f"failed_{g}" for g in GATES]]
-    out = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *[(F.avg(m) * 100.0).alias(m) for m in ("recall", "acc")], (F.avg("_br") * 100.0).alias("_br"), (F.avg("_ba") * 100.0).alias("_ba"))
+    # days are added up in their order, so that a mean does not depend on the order in which tasks end
+    means = ["recall", "acc", "_br", "_ba"]
+    out = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], F.array_sort(F.collect_list(F.struct(F.col(day).alias("_day"), *means))).alias("_days"))
+    known = {c: f"filter(_days.{c}, x -> x IS NOT NULL)" for c in means}
+    out = stage(out, {c: f"try_divide(aggregate({v}, 0.0D, (a, x) -> a + x), size({v})) * 100.0D" for c, v in known.items()}).drop("_days")
     return stage(out, {"d_recall": "recall - _br", "d_acc": "acc - _ba", "pass_acc_guard": f"acc >= _ba - {acc_drop!r}D"}).drop("_br", "_ba")
 
 
